@@ -32,6 +32,8 @@ PIVOTS, RINGS, CELL, SAMPLE = 16, 64, 4096, 8192
 #: Rows of a block of vectors and of a block of queries; blocks of a cell that share a salt.
 BLOCK, QUERIES, BLOCKS_PER_SALT = 512, 128, 8
 
+_NONE = -(1 << 62)
+
 
 @dataclass
 class Index:
@@ -87,10 +89,10 @@ def fit_pivots(sample: np.ndarray, height: float, rows: int, seed: int = 7) -> I
 def _search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of each query's k best rows of one block; ids ascend in the block."""
     scores = (queries @ vectors.T).astype(np.int64)
-    scores[query_ids[:, None] == ids[None, :]] = np.iinfo(np.int64).min
+    scores[query_ids[:, None] == ids[None, :]] = _NONE
     best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
     value = np.take_along_axis(scores, best, 1).reshape(-1)
-    got = value > np.iinfo(np.int64).min
+    got = value > _NONE
     return np.repeat(query_ids, best.shape[1])[got], ids[best].reshape(-1)[got], value[got]
 
 
