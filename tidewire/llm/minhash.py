@@ -10,9 +10,9 @@ similarity (sum of minima over sum of maxima) is 0.8 or more; classes are what l
    agrees with probability equal to the similarity. Should one stay empty, the rank is doubled.
 2. Bands of ROWS coordinates meet in buckets: a pair of similarity 0.8 shares one of 32 bands with probability
    1 - 5e-8. Exact copies are one representative beforehand.
-3. In each bucket all are compared with the smallest doc_id (a star, not all pairs) on their whole texts. Stars that
-   leave a bucket in several classes are looked at again: 1 - similarity is a metric, so only pairs of different
-   classes whose distances to the star's centre differ by at most 0.2 can be linked; these are compared too.
+3. In each bucket all are compared with the smallest doc_id (a star, not all pairs) on their whole texts. Buckets that
+   stars leave in several classes are looked at again, dealt as blocks: pairs of different classes are compared inside
+   tasks, by their signatures and then exactly, and only the links that join classes leave the task.
 
 Null texts and texts without words are linked with nothing. Rows of equal doc_id share a class.
 """
@@ -27,12 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.blocks import groups
 from tidewire.llm.common import Bitmap, components, map_arrow, written
 from tidewire.llm.textscan import U64, WordRuns, mix, slices
 
 K, ROWS, WORDS, SIMILARITY = 128, 4, 5, 0.8
 #: Rank cells: [0, 2**-DEPTH), then doubling up to 1, then of width 1.
 DEPTH = 12
+#: Documents of a block of a large bucket.
+BLOCK = 512
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,18 +146,21 @@ def similarities(first: np.ndarray, keys: np.ndarray, counts: np.ndarray, pairs:
     return np.where(most > 0, least / np.maximum(most, 1), 0.0)
 
 
-def _compared(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs of doc_ids, on their whole texts, written."""
-    spark = pairs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    listed = Bitmap.of(ends.select(F.xxhash64("doc_id").alias("h")), "h")
+def _texts(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, text of (at least) the listed documents; a bitmap leaves most others out before any shuffle."""
+    listed = Bitmap.of(ids.select(F.xxhash64("doc_id").alias("h")), "h")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(listed.holds(batch.column("h").to_numpy())))
 
     texts = documents.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    texts = texts.transform(map_arrow, chosen, texts.schema).drop("h").dropDuplicates(["doc_id"])
+    return texts.transform(map_arrow, chosen, texts.schema).drop("h").dropDuplicates(["doc_id"])
+
+
+def _compared(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs of doc_ids, on their whole texts, written."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), documents)
     left = texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"})
     right = texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"})
 
@@ -173,6 +179,60 @@ def _compared(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return written(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").transform(map_arrow, compared, "a long, b long, similarity double"))
 
 
+def _linked_in_buckets(members: DataFrame, documents: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join classes (of) in buckets (band), enough to connect what is linked there.
+
+    Large buckets are dealt as pairs of blocks of bounded size. In a task, pairs of different classes whose signatures
+    agree enough for the similarity (within five deviations) are compared exactly, the most alike first, unless links
+    found before already join them; a pair that meets in an earlier band is left to that one.
+    """
+    sizes = written(members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
+    dealt = members.join(sizes, "band").withColumn("own", own).withColumn("pair", F.explode(pairs))
+    dealt = dealt.select(F.xxhash64("band", "pair.i", "pair.j").alias("group"), "doc_id", "of", "own", "band")
+    texts = _texts(dealt.select("doc_id").distinct(), documents)
+    dealt = dealt.join(texts, "doc_id").repartition("group").sortWithinPartitions("group", "doc_id")
+    least = similarity - 5 * np.sqrt(similarity * (1 - similarity) / K)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, "group"):
+            n = len(group)
+            (_, _, data, offsets), *_ = slices(_lower(group["text"].combine_chunks()), 1 << 62)
+            row, keys, counts = shingles(data, offsets)
+            bounds = np.searchsorted(row, np.arange(n + 1))
+            signatures = dart_signatures(row, keys, counts.astype(float), n)
+            bands, here = band_keys(signatures), group["band"].to_numpy()[0]
+            at = int(np.flatnonzero(bands[0].view(np.int64) == here)[0])
+            own, ids = group["own"].to_numpy(), group["doc_id"].to_numpy()
+            _, label = np.unique(group["of"].to_numpy(), return_inverse=True)
+            agree = np.zeros((n, n), np.int16)
+            for k in range(K):
+                agree += signatures[:, k, None] == signatures[None, :, k]
+            i, j = np.nonzero(np.triu(agree >= least * K, 1) & (label[:, None] != label[None, :]))
+            if len(np.unique(own)) > 1:
+                other = own[i] != own[j]  # pairs inside a block belong to that block's own group
+                i, j = i[other], j[other]
+            if at:
+                first = ~(bands[i, :at] == bands[j, :at]).any(1)
+                i, j = i[first], j[first]
+            order = np.argsort(-agree[i, j], kind="stable")
+            found = []
+            for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                if label[x] == label[y]:
+                    continue
+                a, b = slice(*bounds[x : x + 2]), slice(*bounds[y : y + 2])
+                _, u, v = np.intersect1d(keys[a], keys[b], assume_unique=True, return_indices=True)
+                shared = np.minimum(counts[a][u], counts[b][v]).sum()
+                if shared >= similarity * (counts[a].sum() + counts[b].sum() - shared):
+                    found.append((ids[x], ids[y]))
+                    label[label == label[y]] = label[x]
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [f[0] for f in found], "b": [f[1] for f in found]})
+
+    return written(dealt.transform(map_arrow, linked, "a long, b long"))
+
+
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) and kept (doc_id = class_id), one row per document."""
     signed = written(_signed(documents))
@@ -187,17 +247,13 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     links = compared.filter(F.col("similarity") >= similarity).select("a", "b")
     classes = written(components(links))
     # buckets whose members are still of several classes
-    rated = members.join(compared, ["a", "b"]).join(classes.withColumnRenamed("node", "b"), "b", "left")
-    rated = written(rated.select("band", "a", "b", (1 - F.col("similarity")).alias("far"), F.coalesce("component", "b").alias("of")))
+    rated = members.join(classes.withColumnRenamed("node", "b"), "b", "left")
+    rated = written(rated.select("band", "b", F.coalesce("component", "b").alias("of")))
     open_ = written(rated.groupBy("band").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x <> y").select("band"))
-    left = written(rated.join(open_, "band").select("band", "b", "far", "of"))
-    other = left.withColumnsRenamed({"b": "c", "far": "far_c", "of": "of_c"})
-    near = (F.col("b") < F.col("c")) & (F.col("of") != F.col("of_c")) & (F.abs(F.col("far") - F.col("far_c")) <= 1 - similarity + 1e-9)
-    more = written(left.join(other, "band").filter(near).select(F.col("b").alias("a"), F.col("c").alias("b")).distinct())
-    if more.limit(1).count():
-        again = _compared(more, documents).filter(F.col("similarity") >= similarity).select("a", "b")
-        if again.limit(1).count():
-            classes = written(components(links.union(again)))
+    left = rated.join(open_, "band").select("band", F.col("b").alias("doc_id"), "of")
+    again = _linked_in_buckets(written(left), documents, similarity)
+    if again.limit(1).count():
+        classes = written(components(links.union(again)))
     found = copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     placed = known.select("doc_id", "key").join(written(found), "key").select("doc_id", "class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = documents.select("doc_id").join(placed, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
