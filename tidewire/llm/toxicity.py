@@ -4,8 +4,8 @@ A document is a bag of sentences; only documents carry labels. A sentence scores
 weights); the document scores 1 - product of (1 - p) over its sentences (noisy-or), and b and the weights are trained
 from document labels through that product. The sentences that make a document toxic are then those with a high p.
 
-Features are a sentence's lower-case words and the first four and five bytes of each, by hash. Those that occur in
-clearly more documents of one label than of the other (a z of 3 or more) are kept, at most MAX_FEATURES.
+Features are a sentence's lower-case words and the first four and five bytes of each, by hash. Kept are those whose
+documents are toxic too often for chance, given how many features there are, at most MAX_FEATURES.
 
 The fit uses at most SAMPLE labelled documents of each label (those with the smallest hash of doc_id) of at most
 SAMPLE_BYTES of text each; scoring covers every whole text. Null and empty texts count as one empty sentence. Repeated
@@ -27,6 +27,8 @@ from tidewire.llm.common import map_arrow
 from tidewire.llm.textscan import _BYTE_CODES, _BYTE_POWERS, KeyTable, prefix, slices, span_hash
 
 SAMPLE, SAMPLE_BYTES, MAX_FEATURES = 3000, 200_000, 4000
+#: Where b starts; it only falls, lest the many sentences of a long clean document add up to a toxic one.
+BIAS = -11.0
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -76,7 +78,7 @@ class Model:
         at = table.lookup(keys)
         hit = at >= 0
         z = self.bias + np.bincount(owner[hit], self.weights[at[hit]], len(bounds) - 1)
-        return 1 / (1 + np.exp(-z)), bounds, rows
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60))), bounds, rows
 
 
 def _noisy_or(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -84,10 +86,20 @@ def _noisy_or(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.clip(-np.expm1(sums[rows[1:]] - sums[rows[:-1]]), 0, 1)
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 300, l2: float = 2e-3) -> Model:
+def _evidence(d1: np.ndarray, d0: np.ndarray, prior: float) -> np.ndarray:
+    """How little chance explains that d1 of the d1 + d0 documents with a feature are toxic: minus the logarithm of
+    Chernoff's bound; 0 where no more are toxic than elsewhere."""
+    d = d1 + d0
+    share = d1 / np.maximum(d, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = np.where(d1 > 0, share * np.log(share / prior), 0) + np.where(d0 > 0, (1 - share) * np.log((1 - share) / (1 - prior)), 0)
+    return np.where(share > prior, d * kl, 0.0)
+
+
+def fit(texts: list[str], labels: np.ndarray, rounds: int = 600, l2: float = 1e-3) -> Model:
     """Adam on the mean log loss of the bags; sentences without kept features share sigmoid(b)."""
     if not len(labels) or labels.min() == labels.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -7.0 if not len(labels) or labels.max() == 0 else 0.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), BIAS if not len(labels) or labels.max() == 0 else 0.0)
     column = pc.utf8_lower(pa.array(texts, pa.large_string()))
     keys, owners, docs, count, sentence_doc = [], [], [], 0, []
     for a, _, data, offsets in slices(column):
@@ -105,10 +117,9 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 300, l2: float = 2e-
     of = pairs // len(labels)
     n1, n0 = (labels == 1).sum(), (labels == 0).sum()
     d1, d0 = np.bincount(of[toxic], minlength=len(distinct)), np.bincount(of[~toxic], minlength=len(distinct))
-    share = (d1 + d0 + 1) / (n1 + n0 + 2)
-    z = (d1 / n1 - d0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    kept = np.argsort(-np.abs(z))[:MAX_FEATURES]
-    kept = np.sort(kept[np.abs(z[kept]) >= 3])
+    evidence = _evidence(d1, d0, n1 / (n1 + n0))
+    kept = np.argsort(-evidence)[:MAX_FEATURES]
+    kept = np.sort(kept[evidence[kept] >= np.log(max((d1 + d0 > 1).sum(), 1)) - 1])
     column_of = np.full(len(distinct), -1)
     column_of[kept] = np.arange(len(kept))
     use = column_of[feature] >= 0
@@ -116,17 +127,18 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 300, l2: float = 2e-
     used, sentence = np.unique(sentence, return_inverse=True)
     doc = sentence_doc[used]
     plain = np.bincount(sentence_doc, minlength=len(labels)) - np.bincount(doc, minlength=len(labels))
-    theta = np.concatenate((np.log((d1[kept] + 0.5) / n1 / ((d0[kept] + 0.5) / n0)) / 2, [-6.0]))
+    theta = np.concatenate((np.log((d1[kept] + 0.5) / n1 / ((d0[kept] + 0.5) / n0)) / 2, [BIAS]))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         p0 = 1 / (1 + np.exp(-theta[-1]))
-        p = 1 / (1 + np.exp(-(theta[-1] + np.bincount(sentence, theta[feature], len(used)))))
+        p = 1 / (1 + np.exp(-np.clip(theta[-1] + np.bincount(sentence, theta[feature], len(used)), -60, 60)))
         s = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(labels)) + plain * np.log1p(-p0)
         pull = np.where(labels == 1, -np.exp(s) / np.maximum(-np.expm1(s), 1e-9), 1.0) / len(labels)
         dz = pull[doc] * p
         grad = np.append(np.bincount(feature, dz[sentence], len(kept)) + l2 / len(kept) * theta[:-1] if len(kept) else [], dz.sum() + (pull * plain).sum() * p0)
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad * grad
         theta -= 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
+        theta[-1] = min(theta[-1], BIAS)
     return Model(distinct[kept], theta[:-1], float(theta[-1]))
 
 
