@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.features import NAMES
@@ -53,7 +53,7 @@ def seeded_rows(scaled: DataFrame, k: int, seed: int, columns: list[str] = NAMES
     return [list(r) for r in scaled.orderBy(F.xxhash64("seq", F.lit(seed)), "seq").limit(k).select(*columns).collect()]
 
 
-def _gathered(data: DataFrame, columns: list[str], size: int, function: Callable[[pd.DataFrame, np.ndarray], np.ndarray]) -> np.ndarray:
+def gathered(data: DataFrame, columns: list[str], size: int, function: Callable[[pd.DataFrame, np.ndarray], np.ndarray]) -> np.ndarray:
     """Sum over all rows of function(rows, their columns): each task adds up its own blocks first."""
 
     def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +107,7 @@ def k_means(scaled: DataFrame, k: int = 3, init: list[list[float]] | None = None
             member = np.eye(k)[_pairwise(x, now).argmin(1)] if len(x) else np.zeros((0, k))
             return np.concatenate((member.sum(0), (member.T @ x).ravel(), member.T @ (x * x).sum(1)))
 
-        total = _gathered(scaled.select(*columns), columns, k * (d + 2), sums)
+        total = gathered(scaled.select(*columns), columns, k * (d + 2), sums)
         n, sum_, squares = total[:k], total[k : k + k * d].reshape(k, d), total[k + k * d :]
         means = np.where(n[:, None] > 0, sum_ / np.maximum(n, 1)[:, None], 0.0)
         inertia = float((squares - n * (means**2).sum(1)).sum())
@@ -346,7 +346,7 @@ def gaussian_mixture(scaled: DataFrame, k: int = 3, max_iterations: int = 100, t
             r = each / each.sum(1, keepdims=True)
             return np.concatenate((r.sum(0), (r.T @ y).ravel(), (r.T @ (y * y)).ravel(), [(top[:, 0] + np.log(each.sum(1))).sum()]))
 
-        total = _gathered(data, columns, k * (1 + 2 * d) + 1, sums)
+        total = gathered(data, columns, k * (1 + 2 * d) + 1, sums)
         n = np.maximum(total[:k], 1e-12)
         centres = total[k : k + k * d].reshape(k, d) / n[:, None]
         variances = np.maximum(total[k + k * d : -1].reshape(k, d) / n[:, None] - centres**2, floor)
@@ -379,7 +379,7 @@ def self_organizing_map(scaled: DataFrame, side: int = 3, iterations: int = 100,
             member = np.eye(len(grid))[_pairwise(x, grid).argmin(1)] if len(x) else np.zeros((0, len(grid)))
             return np.concatenate((member.sum(0), (member.T @ x).ravel()))
 
-        total = _gathered(data.select(*columns), columns, grid.size + len(cells), sums)
+        total = gathered(data.select(*columns), columns, grid.size + len(cells), sums)
         n, s = total[: len(cells)], total[len(cells) :].reshape(grid.shape)
         pull = np.exp(-(far**2) / (2 * radius * radius))
         mass = pull @ n
@@ -482,6 +482,25 @@ def cluster_protocols(flows: DataFrame, assignments: DataFrame) -> DataFrame:
     return flows.join(assignments, "id").groupBy("cluster_id", "protocol").agg(F.count("*").alias("flow_count"))
 
 
+def top_protocols(flows: DataFrame, assignments: DataFrame, n: int = 5) -> DataFrame:
+    """Each cluster's n most frequent protocols, by rank from 1."""
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("flow_count"), "protocol"))
+    return cluster_protocols(flows, assignments).withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
+def first_members(flows: DataFrame, assignments: DataFrame, n: int = 5) -> DataFrame:
+    """Each cluster's first n flows; tasks cut their part to n rows before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("seq"))
+    joined = flows.select("id", "seq", "source_ip", "destination_ip").join(assignments, "id")
+    return joined.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
+def boxes(points: DataFrame, axes: list[str], least: int = 4) -> DataFrame:
+    """Bounding box and mean point of each cluster of at least four points."""
+    sides = [f(a).alias(f"{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
+    return points.groupBy("cluster_id").agg(F.count("*").alias("size"), *sides).filter(F.col("size") >= least)
+
+
 def bounds(scaled: DataFrame, assignments: DataFrame, columns: list[str] = NAMES) -> DataFrame:
     return scaled.join(assignments, "id").groupBy("cluster_id").agg(*[F.min(c).alias(f"min_{c}") for c in columns], *[F.max(c).alias(f"max_{c}") for c in columns])
 

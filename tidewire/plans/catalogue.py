@@ -382,6 +382,17 @@ def detect_anomalies(spark, sf_dir):
     return rounded(found.select("seq", F.concat_ws("|", "types").alias("types"), "score", "severity", "confidence"), 5)
 
 
+_TEXT = """CASE t WHEN 'High Volume' THEN 'High traffic volume (' || byte_count || ' bytes, ' || packet_count || ' packets)' WHEN 'Port Scan' THEN 'Port scanning detected from ' || source_ip
+WHEN 'DDoS Attack' THEN 'Possible DDoS toward ' || destination_ip WHEN 'Data Exfiltration' THEN 'Large outbound transfer to ' || destination_ip WHEN 'Suspicious Protocol' THEN 'Protocol/port mismatch or unknown protocol'
+WHEN 'Timing Anomaly' THEN 'Robotic timing pattern from ' || source_ip ELSE 'Suspicious geographic origin' END"""
+
+
+@query(_FOUND + f""" SELECT seq, array_to_string(list_transform(types, lambda t: {_TEXT}), '; ') AS description, CASE severity WHEN 'low' THEN 'Monitor for further anomalies' WHEN 'medium' THEN 'Investigate source and review traffic patterns'
+WHEN 'high' THEN 'Consider blocking source IP and alerting security team' ELSE 'Immediate action: block source and initiate incident response' END AS recommended_action FROM found""")
+def anomaly_descriptions(spark, sf_dir):
+    return detect.detect_all(flows(spark, sf_dir), t=SHOWN).select("seq", "description", "recommended_action")
+
+
 @query(_FOUND + """, e AS (SELECT unnest(types) AS type, score FROM found)
 SELECT 'total' AS grp, 'all' AS name, count(*) AS n, round(avg(score), 5) AS avg_score FROM found UNION ALL SELECT 'severity', severity, count(*), round(avg(score), 5) FROM found GROUP BY severity
 UNION ALL SELECT 'type', type, count(*), round(avg(score), 5) FROM e GROUP BY type""")
@@ -441,6 +452,27 @@ def cluster_protocols(spark, sf_dir):
     return clustering.cluster_protocols(f, by_remainder(f))
 
 
+@query(f"""WITH {FLOWS}, c AS (SELECT CAST(seq % 3 AS INTEGER) AS cluster_id, protocol, count(*) AS flow_count FROM flows GROUP BY 1, 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY flow_count DESC, protocol) AS INTEGER) AS rank FROM c QUALIFY rank <= 5""")
+def cluster_top_protocols(spark, sf_dir):
+    f = flows(spark, sf_dir)
+    return clustering.top_protocols(f, by_remainder(f))
+
+
+@query(f"""WITH {FLOWS} SELECT id, seq, source_ip, destination_ip, CAST(seq % 3 AS INTEGER) AS cluster_id, CAST(row_number() OVER (PARTITION BY seq % 3 ORDER BY seq) AS INTEGER) AS rank FROM flows QUALIFY rank <= 5""")
+def cluster_first_members(spark, sf_dir):
+    f = flows(spark, sf_dir)
+    return clustering.first_members(f, by_remainder(f))
+
+
+@query(f"""WITH {FLOWS} SELECT CAST(seq % 3 AS INTEGER) AS cluster_id, count(*) AS size, round(min(ttl), 6) AS min_x, round(max(ttl), 6) AS max_x, round(avg(ttl), 6) AS mean_x,
+round(min(duration), 6) AS min_y, round(max(duration), 6) AS max_y, round(avg(duration), 6) AS mean_y FROM flows GROUP BY 1 HAVING count(*) >= 4""")
+def cluster_boxes(spark, sf_dir):
+    f = flows(spark, sf_dir)
+    points = f.select(F.col("ttl").cast("double").alias("x"), F.col("duration").alias("y"), (F.col("seq") % 3).cast("int").alias("cluster_id"))
+    return rounded(clustering.boxes(points, ["x", "y"]))
+
+
 @query(f"{SMALL} SELECT CAST(seq % 3 AS INTEGER) AS cluster_id, " + ", ".join(f"round({f}({n}), 6) AS {f}_{n}" for n in NAMES for f in ("min", "max")) + " FROM scaled GROUP BY 1")
 def cluster_bounds(spark, sf_dir):
     rows = small(spark, sf_dir)
@@ -532,6 +564,16 @@ def pca_projection(spark, sf_dir):
     return reduction.pca(features(flows(spark, sf_dir), "id"), 2)[0]
 
 
+@query()
+def pca_reconstruction(spark, sf_dir):
+    return reduction.reconstruction_error(features(flows(spark, sf_dir), "id"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'eth0', 'Wired'), (2, 'lo', NULL)) t(number, name, description)""")
+def capture_interfaces(spark, sf_dir):
+    return capture.interfaces(spark.createDataFrame([("1. eth0 (Wired)",), ("2. lo",), ("no interface",)], "value string"))
+
+
 @query()
 def viewport(spark, sf_dir):
     points, _ = reduction.pca(features(flows(spark, sf_dir), "id"), 3, scale="z_score")
