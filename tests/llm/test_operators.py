@@ -386,3 +386,56 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: c for n, c in root.items() if n in got} and all(root[n] == n for n in root.keys() - got.keys())
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pipeline(spark, sf_dir):
+    """run() against the plain versions, stage by stage; toxicity's noisy-or is redone by loops."""
+    import corpus_pipeline
+    from tidewire.llm.toxicity import _features, train
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash_near_dedup", "substring_dedup", "best_fit_packing"]
+    documents = table(spark, sf_dir, "documents")
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    model = train(documents, table(spark, sf_dir, "labels"))
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    kept = []
+    for d, t in rows:
+        data = np.frombuffer((t or "").lower().encode(), np.uint8)
+        keys, owner, bounds, _ = _features(data, np.array([0, len(data)]))
+        z = [model.bias] * (len(bounds) - 1)
+        for k, o in zip(keys.tolist(), owner.tolist()):
+            z[o] += weights.get(k, 0.0)
+        if np.prod([1 - 1 / (1 + np.exp(-x)) for x in z]) > 0.5:
+            kept.append((d, t))
+    assert 0 < len(kept) < len(rows)
+    classes = plain_classes(kept)
+    kept = [(d, t) for d, t in kept if classes[d] == d]
+    seen, cut = set(), []
+    for d, t in sorted(kept):
+        w, gone = re.findall("[^\x20\x09-\x0d]+", t), set()
+        for i in range(len(w) - 19):
+            key = tuple(w[i : i + 20])
+            if key in seen:
+                gone.update(range(i, i + 20))
+            seen.add(key)
+        cut.append((d, " ".join(x for i, x in enumerate(w) if i not in gone) if gone else t))
+    tokenizer, want = library("byte_bpe_50k.json"), Counter()
+    for d, t in cut:
+        n = len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+        want.update((d, p, m) for p, m in enumerate([n % 1024 or 1024, *[1024] * ((n - 1) // 1024)]))
+    got = corpus_pipeline.run(spark, sf_dir).toPandas()
+    assert Counter(got[["doc_id", "piece", "length"]].itertuples(index=False, name=None)) == want
+    assert (got.groupby("sequence_id").length.sum() <= 1024).all()
+
+
+def test_pipeline_stages_keep_columns(spark, sf_dir):
+    import corpus_pipeline
+
+    rows = [(1, "hello world " * 30, "en", "a", 360), (2, None, None, None, None), (3, "", "en", "a", 0), (4, "hello world " * 30, "en", "b", 360)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for part in (docs, docs.limit(0)):
+            out = stage(spark, part, sf_dir)
+            assert out.columns == docs.columns, name
+            ids = sorted(r.doc_id for r in out.collect())
+            assert ids == ([] if part is not docs else [1, 2, 3] if name == "minhash_near_dedup" else [1, 2, 3, 4]), name

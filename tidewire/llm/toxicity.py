@@ -23,10 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import map_arrow
+from tidewire.llm.common import map_arrow, written
 from tidewire.llm.textscan import _BYTE_CODES, _BYTE_POWERS, KeyTable, prefix, slices, span_hash
 
 SAMPLE, SAMPLE_BYTES, MAX_FEATURES = 3000, 200_000, 4000
+#: Parts in which the sampled documents are read.
+PARTS = 12
 #: Where b starts; it only falls, lest the many sentences of a long clean document add up to a toxic one.
 BIAS = -11.0
 
@@ -96,38 +98,22 @@ def _evidence(d1: np.ndarray, d0: np.ndarray, prior: float) -> np.ndarray:
     return np.where(share > prior, d * kl, 0.0)
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 600, l2: float = 1e-3) -> Model:
-    """Adam on the mean log loss of the bags; sentences without kept features share sigmoid(b)."""
-    if not len(labels) or labels.min() == labels.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), BIAS if not len(labels) or labels.max() == 0 else 0.0)
-    column = pc.utf8_lower(pa.array(texts, pa.large_string()))
-    keys, owners, docs, count, sentence_doc = [], [], [], 0, []
-    for a, _, data, offsets in slices(column):
-        k, owner, bounds, rows = _features(data, offsets)
-        doc = np.repeat(np.arange(a, a + len(offsets) - 1), np.diff(rows))
-        keys.append(k)
-        owners.append(owner + count)
-        docs.append(doc[owner])
-        sentence_doc.append(doc)
-        count += len(bounds) - 1
-    keys, owners, docs, sentence_doc = map(np.concatenate, (keys, owners, docs, sentence_doc))
-    distinct, feature = np.unique(keys, return_inverse=True)
-    pairs = np.unique(feature.astype(np.int64) * len(labels) + docs)
-    toxic = labels[pairs % len(labels)] == 1
-    of = pairs // len(labels)
-    n1, n0 = (labels == 1).sum(), (labels == 0).sum()
-    d1, d0 = np.bincount(of[toxic], minlength=len(distinct)), np.bincount(of[~toxic], minlength=len(distinct))
+def _prune(keys: np.ndarray, d1: np.ndarray, d0: np.ndarray, n1: int, n0: int, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(kept keys in order, weights to start from), given in how many documents of each label each key is."""
     evidence = _evidence(d1, d0, n1 / (n1 + n0))
-    kept = np.argsort(-evidence)[:MAX_FEATURES]
-    kept = np.sort(kept[evidence[kept] >= np.log(max((d1 + d0 > 1).sum(), 1)) - 1])
-    column_of = np.full(len(distinct), -1)
-    column_of[kept] = np.arange(len(kept))
-    use = column_of[feature] >= 0
-    sentence, feature = owners[use], column_of[feature[use]]
-    used, sentence = np.unique(sentence, return_inverse=True)
-    doc = sentence_doc[used]
-    plain = np.bincount(sentence_doc, minlength=len(labels)) - np.bincount(doc, minlength=len(labels))
-    theta = np.concatenate((np.log((d1[kept] + 0.5) / n1 / ((d0[kept] + 0.5) / n0)) / 2, [BIAS]))
+    kept = np.argsort(-evidence, kind="stable")[:MAX_FEATURES]
+    kept = kept[evidence[kept] >= np.log(max(features, 1)) - 1]
+    kept = kept[np.argsort(keys[kept])]
+    return keys[kept], np.log((d1[kept] + 0.5) / n1 / ((d0[kept] + 0.5) / n0)) / 2
+
+
+def _learn(keys: np.ndarray, start: np.ndarray, labels: np.ndarray, sentences: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, rounds: int = 600, l2: float = 1e-3) -> Model:
+    """Adam on the mean log loss of the bags. labels and number of sentences of each document; document, sentence and
+    feature of each occurrence. Sentences without kept features share sigmoid(b)."""
+    used, sentence = np.unique(doc * (1 << 32) + sentence, return_inverse=True)
+    doc = used >> 32
+    plain = sentences - np.bincount(doc, minlength=len(labels))
+    theta = np.append(start, BIAS)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         p0 = 1 / (1 + np.exp(-theta[-1]))
@@ -135,23 +121,117 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 600, l2: float = 1e-
         s = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(labels)) + plain * np.log1p(-p0)
         pull = np.where(labels == 1, -np.exp(s) / np.maximum(-np.expm1(s), 1e-9), 1.0) / len(labels)
         dz = pull[doc] * p
-        grad = np.append(np.bincount(feature, dz[sentence], len(kept)) + l2 / len(kept) * theta[:-1] if len(kept) else [], dz.sum() + (pull * plain).sum() * p0)
+        weights = np.bincount(feature, dz[sentence], len(start)) + l2 * theta[:-1] / max(len(start), 1)
+        grad = np.append(weights, dz.sum() + (pull * plain).sum() * p0)
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad * grad
         theta -= 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
         theta[-1] = min(theta[-1], BIAS)
-    return Model(distinct[kept], theta[:-1], float(theta[-1]))
+    return Model(keys, theta[:-1], float(theta[-1]))
+
+
+def _slices_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first document, key, document and sentence in it of each feature, sentences of each document), slice by slice."""
+    for a, _, data, offsets in slices(pc.utf8_lower(texts)):
+        keys, owner, _, rows = _features(data, offsets)
+        doc = np.searchsorted(rows, owner, "right") - 1
+        yield a, keys, doc, owner - rows[doc], np.diff(rows)
+
+
+def _key_counts(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, toxic documents, other documents that have them), of each slice one after another."""
+    out = []
+    for a, keys, doc, _, _ in _slices_of(texts):
+        order = np.lexsort((doc, keys))
+        keys, doc = keys[order], doc[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))[: len(keys)]
+        distinct, at = np.unique(keys[new], return_inverse=True)
+        hit = toxic[a + doc[new]]
+        d1 = np.bincount(at, hit, len(distinct)).astype(np.int64)
+        out.append((distinct, d1, np.bincount(at, minlength=len(distinct)) - d1))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
+
+
+def _occurrences(texts: pa.Array, table: KeyTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sentences of each document; document, sentence and feature of each occurrence of a kept key)."""
+    sentences, found = [], []
+    for a, keys, doc, sentence, n in _slices_of(texts):
+        at = table.lookup(keys)
+        hit = at >= 0
+        sentences.append(n)
+        found.append((a + doc[hit], sentence[hit], at[hit]))
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(sentences), *(np.concatenate(x) for x in zip(*found, strict=True))) if sentences else (empty,) * 4
+
+
+def _numbered(keys: np.ndarray) -> KeyTable:
+    table = KeyTable()
+    table.add(keys)
+    return table
+
+
+def _without_labels(labels: np.ndarray) -> Model | None:
+    if len(labels) and labels.min() != labels.max():
+        return None
+    return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0 if len(labels) and labels[0] == 1 else BIAS)
+
+
+def fit(texts: list[str], labels: np.ndarray) -> Model:
+    """From few texts, at one place."""
+    if (model := _without_labels(labels)) is not None:
+        return model
+    column = pa.array(texts, pa.large_string())
+    keys, d1, d0 = _key_counts(column, labels == 1)
+    distinct, at = np.unique(keys, return_inverse=True)
+    d1, d0 = np.bincount(at, d1, len(distinct)), np.bincount(at, d0, len(distinct))
+    keys, start = _prune(distinct, d1, d0, int((labels == 1).sum()), int((labels == 0).sum()), int((d1 + d0 > 1).sum()))
+    return _learn(keys, start, labels, *_occurrences(column, _numbered(keys)))
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """labels: doc_id, toxic (0 or 1; others are left out; of several, the largest holds)."""
+    """labels: doc_id, toxic (0 or 1; others are left out; of several, the largest holds).
+
+    The sampled documents stay on the executors: they count in how many documents each feature is, and, once the
+    features are chosen, send the occurrences of these to the driver, which only runs the descent.
+    """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = None
     for label in (0, 1):
         part = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         ids = part if ids is None else ids.union(part)
-    chosen = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "toxic")
-    got = chosen.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    return fit(got["text"].fillna("").tolist(), got["toxic"].to_numpy(np.int64))
+    chosen = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_BYTES).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    chosen = written(chosen.repartition(PARTS, "doc_id"))
+    per_label = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = per_label.get(1, 0), per_label.get(0, 0)
+    if (model := _without_labels(np.array([1] * bool(n1) + [0] * bool(n0)))) is not None:
+        return model
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, d1, d0 = _key_counts(batch.column("text"), batch.column("toxic").to_numpy() == 1)
+            yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "d1": d1, "d0": d0})
+
+    counts = chosen.transform(map_arrow, counted, "key long, d1 long, d0 long").groupBy("key").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
+    counts = written(counts.filter("d1 + d0 > 1"))
+    features, prior = counts.count(), n1 / (n1 + n0)
+    d, share = F.col("d1") + F.col("d0"), F.col("d1") / (F.col("d1") + F.col("d0"))
+    clean = F.when(F.col("d0") > 0, (1 - share) * F.log((1 - share) / (1 - prior))).otherwise(0.0)
+    toxic = F.when(F.col("d1") > 0, share * F.log(F.when(F.col("d1") > 0, share).otherwise(1.0) / prior)).otherwise(0.0)
+    top = counts.filter(share > prior).withColumn("e", d * (toxic + clean)).orderBy(F.desc("e"), "key").limit(MAX_FEATURES).toArrow()
+    keys, start = _prune(top["key"].to_numpy().view(np.uint64), top["d1"].to_numpy(), top["d0"].to_numpy(), n1, n0, features)
+
+    def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _numbered(keys)
+        for batch in batches:
+            n, doc, sentence, feature = _occurrences(batch.column("text"), table)
+            order = np.argsort(doc, kind="stable")
+            bounds = pa.array(np.searchsorted(doc[order], np.arange(len(n) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order].astype(np.int32))) for x in (sentence, feature)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "n": n, "sentence": lists[0], "feature": lists[1]})
+
+    got = chosen.transform(map_arrow, occurring, "doc_id long, toxic int, n long, sentence array<int>, feature array<int>").toArrow().sort_by("doc_id")
+    doc = np.repeat(np.arange(len(got)), pc.list_value_length(got["sentence"]).to_numpy())
+    flat = [pc.list_flatten(got[c]).to_numpy().astype(np.int64) for c in ("sentence", "feature")]
+    return _learn(keys, start, got["toxic"].to_numpy(), got["n"].to_numpy(), doc, *flat)
 
 
 def score_documents(documents: DataFrame, model: Model, others: str = "") -> DataFrame:
