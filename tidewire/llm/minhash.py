@@ -35,7 +35,7 @@ K, ROWS, WORDS, SIMILARITY = 128, 4, 5, 0.8
 #: Rank cells: [0, 2**-DEPTH), then doubling up to 1, then of width 1.
 DEPTH = 12
 #: Documents of a block of a large bucket.
-BLOCK = 512
+BLOCK = 1024
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,37 +69,48 @@ def dart_signatures(row: np.ndarray, keys: np.ndarray, weights: np.ndarray, rows
     room = np.minimum(1.0, weights[element] - nth)
     seed = mix(keys[element] + nth.astype(U64) * U64(0x9FB21C651E98DF25))
     owner = row[element]
+    cut = room[room < 1].size > 0
     todo = total > 0
     while todo.any():
         darts = []
-        high, j = float(rank[todo].max()), 0
-        at = np.flatnonzero(todo[owner])
-        lo, width = 0.0, 2.0**-DEPTH
-        while lo < high and len(at):
-            at = at[rank[owner[at]] > lo]
-            h = mix(seed[at] ^ mix(np.array([j + 1], U64) * U64(0xA24BAED4963EE407)))
-            u, chance, below, n = _uniform(h), np.exp(-width), 0.0, 0
-            live = np.arange(len(at))
-            while True:  # the n-th dart exists if u is beyond the chance of fewer than n
+
+        def throw(at: np.ndarray, cell: np.ndarray, lo: np.ndarray, width: float, darts: list = darts) -> None:
+            """The darts of one rank cell of each listed element cell."""
+            h = mix(seed[at] ^ mix(cell * U64(0xA24BAED4963EE407)))
+            u, chance, below, live, n = _uniform(h), np.exp(-width), 0.0, np.arange(len(at)), 0
+            while n < 24:  # the n-th dart exists if u is beyond the chance of fewer than n
                 below += chance
                 live = live[u[live] >= below]
-                if not len(live) or n > 24:
+                if not len(live):
                     break
-                d = mix(h[live] + U64((n + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
-                inside = _uniform(mix(d ^ U64(0x5851F42D4C957F2D))) < room[at[live]]
-                d, who = d[inside], owner[at[live]][inside]
-                darts.append((who, lo + width * _uniform(mix(d ^ U64(0x14057B7EF767814F))), d))
+                d, who = mix(h[live] + U64((n + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)), live
+                if cut:
+                    inside = _uniform(mix(d ^ U64(0x5851F42D4C957F2D))) < room[at[live]]
+                    d, who = d[inside], live[inside]
+                start = lo[who] if len(lo) > 1 else lo
+                darts.append((owner[at[who]], start + width * _uniform(mix(d ^ U64(0x14057B7EF767814F))), d))
                 n += 1
                 chance *= width / n
-            lo, j = lo + width, j + 1
-            width = min(lo, 1.0)
+
+        at, lo, width = np.flatnonzero(todo[owner]), 0.0, 2.0**-DEPTH
+        for j in range(DEPTH + 1):
+            at = at[rank[owner[at]] > lo]
+            if not len(at):
+                break
+            throw(at, np.array([j + 1], U64), np.array([lo]), width)
+            lo, width = lo + width, lo + width
+        at = at[rank[owner[at]] > 1]
+        if len(at):  # the cells of width 1, all together
+            more = np.ceil(rank[owner[at]] - 1).astype(np.int64)
+            nth = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+            throw(np.repeat(at, more), (nth + DEPTH + 2).astype(U64), nth + 1.0, 1.0)
         who, when, d = (np.concatenate(x) for x in zip(*darts, strict=True))
         slot = who * k + ((d >> U64(32)) % U64(k)).astype(np.int64)
-        order = np.lexsort((when, slot))
-        slot, d = slot[order], d[order]
-        first = np.concatenate(([True], slot[1:] != slot[:-1]))[: len(slot)]
+        earliest = np.full(rows * k, np.inf)
+        np.minimum.at(earliest, slot, when)
+        first = when == earliest[slot]
         out.reshape(-1)[slot[first]] = np.maximum(mix(d[first]).astype(np.uint32), 1)
-        full = np.bincount(slot[first] // k, minlength=rows) == k
+        full = np.isfinite(earliest).reshape(rows, k).all(1)
         todo &= ~full
         rank[todo] *= 2
     return out
