@@ -15,13 +15,14 @@ distinct piece goes through the library once, and its ids are looked up afterwar
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cache
 from itertools import chain
 
 import numpy as np
 
 from tidewire.llm.textscan import KeyTable, byte_hashes, ragged
 
-#: Distinct pieces kept per task before the cache starts anew.
+#: Distinct pieces kept per worker process before the cache starts anew.
 CACHE_PIECES = 1_000_000
 
 _WHITE = b" \t\r\n"
@@ -122,8 +123,10 @@ def _flat(parts: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum())), sizes
 
 
+@cache
 def json_tokenizer(path: str) -> PieceEncoder:
-    """For a tokenizers file whose pieces can be cut as this module says; other pre-tokenizers are refused."""
+    """For a tokenizers file whose pieces can be cut as this module says; other pre-tokenizers are refused. One per
+    worker process: its cache of pieces serves later tasks."""
     import json
     import os
 
