@@ -117,8 +117,9 @@ def test_burst_excludes_the_bound(spark):
 
 def test_trailing_zscore_needs_all_rows_before(spark):
     df = spark.createDataFrame([(i, i, 1.0 if i < 11 else 50.0) for i in range(12)], "seq long, ts_ms long, v double")
-    got = dict(one(statistics.trailing_zscore(df, "v"), "seq", "is_outlier"))
-    assert [got[i] for i in range(12)] == [False] * 11 + [True]
+    for piece in (100, 11, 1000):
+        got = dict(one(statistics.trailing_zscore(df, "v", piece=piece), "seq", "is_outlier"))
+        assert [got[i] for i in range(12)] == [False] * 11 + [True]
 
 
 def test_time_series_of_one_moment(spark):

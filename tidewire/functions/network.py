@@ -5,48 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Application protocol of well-known ports (capture), by protocol name.
+# Application protocol of well-known ports in captured traffic.
 APP_PORTS = {
-    "HTTP": (80, 8080, 8008, 3000, 8000),
-    "HTTPS": (443, 8443),
-    "DNS": (53,),
-    "mDNS": (5353,),
-    "LLMNR": (5355,),
-    "SMTP": (25, 587),
-    "SMTPS": (465,),
-    "POP3": (110,),
-    "POP3S": (995,),
-    "IMAP": (143,),
-    "IMAPS": (993,),
-    "FTP": (20, 21),
-    "SSH": (22,),
-    "Telnet": (23,),
-    "RDP": (3389,),
-    "VNC": (5900,),
-    "MySQL": (3306,),
-    "PostgreSQL": (5432,),
-    "Redis": (6379,),
-    "MongoDB": (27017,),
-    "MSSQL": (1433,),
-    "Oracle": (1521,),
-    "DHCP": (67, 68),
-    "NTP": (123,),
-    "SNMP": (161, 162),
-    "LDAP": (389,),
-    "LDAPS": (636,),
-    "SMB": (445,),
-    "NetBIOS": (137, 138, 139),
-    "RTSP": (554,),
-    "RTMP": (1935,),
-    "SIP": (5060, 5061),
-    "BGP": (179,),
-    "RIP": (520,),
-    "SSDP": (1900,),
+    20: "FTP",
+    21: "FTP",
+    22: "SSH",
+    23: "Telnet",
+    25: "SMTP",
+    53: "DNS",
+    67: "DHCP",
+    68: "DHCP",
+    80: "HTTP",
+    110: "POP3",
+    123: "NTP",
+    137: "NetBIOS",
+    138: "NetBIOS",
+    139: "NetBIOS",
+    143: "IMAP",
+    161: "SNMP",
+    162: "SNMP",
+    179: "BGP",
+    389: "LDAP",
+    443: "HTTPS",
+    445: "SMB",
+    465: "SMTPS",
+    520: "RIP",
+    554: "RTSP",
+    587: "SMTP",
+    636: "LDAPS",
+    993: "IMAPS",
+    995: "POP3S",
+    1433: "MSSQL",
+    1521: "Oracle",
+    1900: "SSDP",
+    1935: "RTMP",
+    3000: "HTTP",
+    3306: "MySQL",
+    3389: "RDP",
+    5060: "SIP",
+    5061: "SIP",
+    5353: "mDNS",
+    5355: "LLMNR",
+    5432: "PostgreSQL",
+    5900: "VNC",
+    6379: "Redis",
+    8000: "HTTP",
+    8008: "HTTP",
+    8080: "HTTP",
+    8443: "HTTPS",
+    27017: "MongoDB",
 }
 # IP protocol numbers that have a name of their own.
 IP_PROTOCOLS = {1: "ICMP", 58: "ICMPv6", 2: "IGMP", 89: "OSPF", 47: "GRE", 50: "ESP", 51: "AH"}
 # The shorter table that simulated traffic uses.
-SIMULATED_PORTS = {"FTP": (20, 21), "SSH": (22,), "SMTP": (25, 110, 143, 993, 995), "DNS": (53,), "HTTP": (80,), "HTTPS": (443,)}
+SIMULATED_PORTS = {
+    20: "FTP",
+    21: "FTP",
+    22: "SSH",
+    25: "SMTP",
+    53: "DNS",
+    80: "HTTP",
+    110: "SMTP",
+    143: "SMTP",
+    443: "HTTPS",
+    993: "SMTP",
+    995: "SMTP",
+}
 # Protocols expected on a port.
 EXPECTED = {
     20: ("FTP", "FTP-DATA"),
@@ -71,9 +95,8 @@ EXPECTED = {
 BROADCASTS = ("255.255.255.255", "224.0.0.1", "224.0.0.2", "224.0.0.251", "224.0.0.252", "239.255.255.250")
 
 
-def _lookup(table: dict, port: Column) -> Column:
-    pairs = [F.lit(x) for name, ports in table.items() for p in ports for x in (p, name)]
-    return F.create_map(*pairs)[port]
+def _lookup(table: dict[int, str], port: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[port]
 
 
 def app_protocol(destination_port: Column, source_port: Column, transport: Column | str) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.network import is_broadcast, is_mismatch, is_private, recommendation, severity
@@ -41,7 +41,8 @@ def enrich(flows: DataFrame, baseline: DataFrame | None = None, t: Thresholds =
     """Adds base (struct), distinct_ports, distinct_countries, source_flows, cv and near_count, taken from the baseline
     flows (the flows themselves if none are given)."""
     known = flows if baseline is None else baseline
-    base = baseline_of(known).select(F.struct("n", "byte_count_mean", "byte_count_std", "packet_count_mean", "packet_count_std").alias("base"))
+    row = baseline_of(known).select("n", "byte_count_mean", "byte_count_std", "packet_count_mean", "packet_count_std").first()
+    base = F.struct(*[F.lit(v).cast("double").alias(n) for n, v in row.asDict().items()])
     gaps = interarrival(known).select("source_ip", F.col("flows").alias("source_flows"), "cv")
     seen = known.groupBy("source_ip").agg(F.countDistinct("destination_port").alias("distinct_ports"), F.countDistinct(F.nullif("geo.country", F.lit(""))).alias("distinct_countries"))
     per_source = gaps.join(seen, "source_ip")
@@ -50,12 +51,10 @@ def enrich(flows: DataFrame, baseline: DataFrame | None = None, t: Thresholds =
     else:
         # flows to score and baseline flows in one window; only the latter count
         marked = flows.select("id", "seq", "destination_ip", "ts_ms", F.lit(0).alias("one")).union(known.select("id", "seq", "destination_ip", "ts_ms", F.lit(1)))
-        from pyspark.sql import Window
-
         near = F.sum("one").over(Window.partitionBy("destination_ip").orderBy("ts_ms").rangeBetween(1 - t.burst_ms, t.burst_ms - 1))
         counted = flows.join(marked.withColumn("near_count", near).filter("one = 0").select("seq", "near_count"), "seq")
     fill = {"distinct_ports": 0, "distinct_countries": 0, "source_flows": 0}
-    return counted.join(per_source, "source_ip", "left").fillna(fill).join(F.broadcast(base))  # base is one row
+    return counted.join(per_source, "source_ip", "left").fillna(fill).withColumn("base", base)
 
 
 def rule_columns(t: Thresholds = Thresholds()) -> list[tuple[str, Column, Column]]:

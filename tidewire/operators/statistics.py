@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.browse import numbered
+
 
 def totals(flows: DataFrame) -> DataFrame:
     return flows.agg(
@@ -112,12 +114,20 @@ def burst_counts(flows: DataFrame, within_ms: int = 60_000) -> DataFrame:
     return flows.withColumn("near_count", F.count("*").over(near))
 
 
-def trailing_zscore(series: DataFrame, value: str, n: int = 10, threshold: float = 2.0, partition: str | None = None) -> DataFrame:
-    """z of each value against the n before it (none of which may lack), whether it exceeds the threshold, and a score."""
-    order = Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))
-    past = order.orderBy("ts_ms", "seq").rowsBetween(-n, -1)
-    mean, std, have = F.avg(value).over(past), F.stddev_pop(value).over(past), F.count(value).over(past)
+def trailing_zscore(series: DataFrame, value: str, n: int = 10, threshold: float = 2.0, partition: str | None = None, piece: int = 100_000) -> DataFrame:
+    """z of each value against the n before it (none of which may lack), whether it exceeds the threshold, and a score.
+
+    Without a partition column the whole series is cut into pieces of rows, each with the n rows before it."""
+    names = series.columns
+    if partition is None:
+        series = numbered(series, "ts_ms", "seq", name="_row").withColumn("_piece", F.floor(F.col("_row") / piece)).withColumn("_own", F.lit(True))
+        ahead = series.filter(F.col("_row") % piece >= piece - n).withColumn("_piece", F.col("_piece") + 1).withColumn("_own", F.lit(False))
+        series, partition = series.unionByName(ahead), "_piece"
+    past = Window.partitionBy(partition).orderBy("ts_ms", "seq").rowsBetween(-n, -1)
+    out = series.withColumns({"_mean": F.avg(value).over(past), "_std": F.stddev_pop(value).over(past), "_have": F.count(value).over(past)})
+    if "_own" in out.columns:
+        out = out.filter("_own")
     z = F.abs(F.col(value) - F.col("_mean")) / F.coalesce(F.nullif("_std", F.lit(0.0)), F.lit(1.0))
-    out = series.withColumns({"_mean": mean, "_std": std, "_have": have}).withColumn("z", F.when(F.col("_have") == n, z))
     flag = F.coalesce(F.col("z") > threshold, F.lit(False))
-    return out.withColumn("is_outlier", flag).withColumn("score", F.when(flag, F.least(F.lit(1.0), F.col("z") / (2 * threshold))).otherwise(0.0)).drop("_mean", "_std", "_have")
+    score = F.when(F.col("is_outlier"), F.least(F.lit(1.0), F.col("z") / (2 * threshold))).otherwise(0.0)
+    return out.withColumn("z", F.when(F.col("_have") == n, z)).withColumn("is_outlier", flag).withColumn("score", score).select(*names, "z", "is_outlier", "score")

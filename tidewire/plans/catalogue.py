@@ -229,7 +229,7 @@ _PROTO = "CASE WHEN protocol IN ('HTTP', 'HTTPS', 'TCP') THEN 6 WHEN protocol IN
 
 
 def _port_case(port: str, table: dict) -> str:
-    return f"CASE {port} " + " ".join(f"WHEN {p} THEN '{n}'" for n, ports in table.items() for p in ports) + " END"
+    return f"CASE {port} " + " ".join(f"WHEN {p} THEN '{n}'" for p, n in table.items()) + " END"
 
 
 def _tables():
@@ -301,8 +301,8 @@ def zscore(spark, sf_dir):
 def _vector_distance(metric: str):
     def run(spark, sf_dir):
         e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-        one = e.filter("vec_id = 0").select(F.col("embedding").alias("other"))
-        return rounded(e.join(F.broadcast(one)).select("vec_id", array_distance("embedding", "other", 64, metric).alias("distance")))  # one row
+        other = F.lit(e.filter("vec_id = 0").first().embedding)
+        return rounded(e.withColumn("other", other).select("vec_id", array_distance("embedding", "other", 64, metric).alias("distance")))
 
     run.__name__ = f"dist_{metric}"
     body = {

@@ -59,7 +59,8 @@ def public_ip(d: Draw) -> Column:
 
 def port_of(d: Draw, protocol: Column) -> Column:
     """A well-known port of the protocol, else any."""
-    known = F.create_map(*[x for name, ports in SIMULATED_PORTS.items() for x in (F.lit(name), F.array(*map(F.lit, ports)))])[protocol]
+    by_name = {name: [p for p, n in SIMULATED_PORTS.items() if n == name] for name in SIMULATED_PORTS.values()}
+    known = F.create_map(*[x for name, ports in by_name.items() for x in (F.lit(name), F.array(*map(F.lit, ports)))])[protocol]
     some = F.get(known, F.floor(d.unit() * F.size(known)).cast("int"))
     return F.coalesce(some, d.whole(1, 65535)).cast("int")
 
@@ -150,12 +151,12 @@ def inject(flows: DataFrame, now_ms: int, seed: int = 0) -> DataFrame:
     """Five marked test flows after the others."""
     spark = flows.sparkSession
     d = Draw(seed)
-    last = flows.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
+    last = flows.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last")).first().last
     rows = spark.range(5).withColumnRenamed("id", "seq").withColumn("ts_ms", F.lit(now_ms)).withColumn("kind", F.lit("injected"))
     fixed = {"id": F.concat(F.lit(f"anomaly-{now_ms}-"), "seq"), "protocol": F.lit("TCP"), "source_ip": F.lit("192.168.1.100"), "destination_ip": F.lit("203.0.113.42"), "destination_port": d.pick([80, 443, 22, 3389]), "byte_count": d.whole(100_000, 1_099_999), "ttl": F.lit(64), "window_size": F.lit(65535), "anomaly_type": F.lit(None).cast("array<string>"), "geo": F.lit(None).cast("struct<country:string,city:string,latitude:double,longitude:double,asn:string,isp:string>")}
     new = as_flows(rows, seed, **fixed).withColumn("packet_count", d.whole(5000, 14999)).withColumn("duration", d.unit() * 5)
     new = new.withColumn("flags", F.struct(*[F.lit(n == "syn").alias(n) for n in ("syn", "ack", "fin", "rst", "psh", "urg")]))
-    new = new.crossJoin(F.broadcast(last)).withColumn("seq", F.col("seq") + F.col("last") + 1).drop("last")  # one row
+    new = new.withColumn("seq", F.col("seq") + last + 1)
     return flows.unionByName(new, allowMissingColumns=True)
 
 
