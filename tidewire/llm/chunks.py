@@ -23,7 +23,7 @@ import numpy as np
 from tidewire.llm.textscan import KeyTable, byte_hashes, ragged
 
 #: Distinct pieces kept per worker process before the cache starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 
 _WHITE = b" \t\r\n"
 
@@ -43,7 +43,8 @@ def cuts(data: np.ndarray, offsets: np.ndarray, mode: str) -> tuple[np.ndarray,
     n = len(data)
     row = np.zeros(n + 1, bool)
     row[offsets] = True
-    before = np.concatenate((data[:0], [0], data[:-1])).astype(np.uint8) if n else data
+    before = np.zeros(n, np.uint8)
+    before[1:] = data[:-1]
     letter = _LETTER[before]
     two = (before >= 0x80) & (before < 0xC0) & np.concatenate(([False, False], _LEADS_TWO[data[:-2]]))[:n]
     mark = _MARK[data] & letter
@@ -54,9 +55,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray, mode: str) -> tuple[np.ndarray,
         edge[:-1] = row[:-1] | ~inside | mark
         ends = np.flatnonzero(inside & edge[1:]) + 1
         return starts, ends
-    space = data == 0x20
-    if mode == "leading":
-        space = _BLANK[data]
+    space = _BLANK[data] if mode == "leading" else data == 0x20
     starts = np.flatnonzero(row[:-1] | (space & (_PLAIN[before] | two)) | (mark & (mode == "leading")))
     return starts, np.append(starts[1:], n) if len(starts) else starts
 

@@ -92,7 +92,6 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and the small-star step (Kiveris et al. 2014): each joins every node's neighbours to its
     smallest one. Both sides of each join are written tables, so that a hub's rows can be split among tasks.
     """
-    spark = edges.sparkSession
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         # large star: from each node, its larger neighbours to its smallest neighbour or itself

@@ -166,7 +166,7 @@ def _texts(ids: DataFrame, documents: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(listed.holds(batch.column("h").to_numpy())))
 
     texts = documents.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    return texts.transform(map_arrow, chosen, texts.schema).drop("h").dropDuplicates(["doc_id"])
+    return texts.transform(map_arrow, chosen, texts.schema).groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def _compared(pairs: DataFrame, documents: DataFrame) -> DataFrame:
