@@ -19,6 +19,8 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 #: Thresholds at which every rule has flows that fire and flows that don't on the test tables.
 SHOWN = detect.Thresholds(ports=25, burst=1, cv=0.9)
+#: Values of seq in a capture file; the writer takes a million flows at most.
+CAPTURE = 500_000
 
 
 def query(sql: str | None = None):
@@ -524,12 +526,12 @@ def epsilon_elbow(spark, sf_dir):
 
 @query()
 def kmeans_pp(spark, sf_dir):
-    return clustering.k_means(small(spark, sf_dir), 5, max_iterations=20).assignments
+    return clustering.k_means(scaled(flows(spark, sf_dir)), 5, max_iterations=20).assignments
 
 
 @query()
 def elbow(spark, sf_dir):
-    k, inertias = clustering.elbow(small(spark, sf_dir), 6, 8)
+    k, inertias = clustering.elbow(scaled(flows(spark, sf_dir)), 6, 8)
     return spark.createDataFrame([(i + 1, float(x), i + 1 == k) for i, x in enumerate(inertias)], "k int, inertia double, chosen boolean")
 
 
@@ -551,12 +553,12 @@ def agglomerative(spark, sf_dir):
 
 @query()
 def gmm(spark, sf_dir):
-    return clustering.gaussian_mixture(small(spark, sf_dir), 3, 15).assignments
+    return clustering.gaussian_mixture(scaled(flows(spark, sf_dir)), 3, 15).assignments
 
 
 @query()
 def som(spark, sf_dir):
-    return clustering.self_organizing_map(small(spark, sf_dir), 3, 10).assignments
+    return clustering.self_organizing_map(scaled(flows(spark, sf_dir)), 3, 10).assignments
 
 
 @query()
@@ -611,21 +613,22 @@ def attack_pattern(spark, sf_dir):
 
 @query()
 def train_models(spark, sf_dir):
-    rows = models.compare(flows_small(spark, sf_dir), [("K-Means++", {"k": 3, "max_iterations": 5}), ("Gaussian Mixture Model", {"k": 3, "max_iterations": 5}), ("Spectral", {})])
+    rows = models.compare(flows(spark, sf_dir), [("K-Means++", {"k": 3, "max_iterations": 5}), ("Gaussian Mixture Model", {"k": 3, "max_iterations": 5}), ("Spectral", {})])
     return rows.drop("trained_at_ms", "id")
 
 
 @query()
 def pcap_import(spark, sf_dir):
-    """A capture of some flows, read back and merged."""
+    """Captures of all flows but ICMP's, one for each slice of seq, read back and merged."""
     from tidewire.sources.pcap import read_pcap, write_pcap
 
     path = scratch(spark)
-    data = write_pcap(flows(spark, sf_dir).filter("seq < 200 and protocol <> 'ICMP'"))
-    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/a.pcap")
-    out = fs.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs)
-    out.write(data)
-    out.close()
+    rows = flows(spark, sf_dir).filter("protocol <> 'ICMP'").withColumn("slice", F.floor(F.col("seq") / CAPTURE))
+    for i in sorted(r.slice for r in rows.select("slice").distinct().collect()):
+        fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{i:012d}.pcap")
+        out = fs.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs)
+        out.write(write_pcap(rows.filter(F.col("slice") == i)))
+        out.close()
     got = read_pcap(spark, path)
     order = browse.numbered(got, "path", "packet", name="seq")
     return statistics.merge_flows(order.drop("path", "packet")).select("source_ip", "destination_ip", "protocol", "byte_count", "ts_ms")
