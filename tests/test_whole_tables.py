@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions.features import NAMES
+from tidewire.operators import models
 from tidewire.plans.catalogue import QUERIES, scaled
 from tidewire.plans.views import flows
 
@@ -27,3 +28,12 @@ def test_capture_holds_all_flows(spark):
     frame = F.when(F.col("protocol") == "UDP", 42).otherwise(54)
     want = flows(spark, SMALLEST).filter("protocol <> 'ICMP'").agg(F.sum(F.greatest("byte_count", frame)).alias("b")).first().b
     assert QUERIES["pcap_import"](spark, SMALLEST).agg(F.sum("byte_count").alias("b")).first().b == want
+
+
+def test_comparison_reports_refusals(spark):
+    got = models.compare(flows(spark, SMALLEST), [("hierarchical", {"k": 3}), ("K-Means++", {"k": 3, "max_iterations": 2})])
+    refused, trained = got.orderBy("seq").collect()
+    assert refused.name == "hierarchical" and "more than 400 rows" in refused.refused and refused.quality is None
+    assert trained.refused is None and trained.quality is not None
+    row = models.statistics(got).first()
+    assert (row.n_models, row.best, row.latest) == (1, trained.id, trained.id)
