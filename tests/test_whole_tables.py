@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions.features import NAMES
-from tidewire.operators import models
+from tidewire.operators import clustering, models
 from tidewire.plans.catalogue import QUERIES, scaled
 from tidewire.plans.views import flows
 
@@ -37,3 +37,33 @@ def test_comparison_reports_refusals(spark):
     assert trained.refused is None and trained.quality is not None
     row = models.statistics(got).first()
     assert (row.n_models, row.best, row.latest) == (1, trained.id, trained.id)
+
+
+def test_all_pairs_are_met_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "BLOCK", 50)
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (301, 2))
+    x[5] = x[4]
+    df = spark.createDataFrame([(str(i), i, *map(float, r)) for i, r in enumerate(x)], "id string, seq long, x double, y double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    off = np.where(np.eye(len(x), dtype=bool), np.inf, d)
+    kth = np.sort(off, 1)[:, 4]
+    got = dict(clustering.k_distances(df, 5, ["x", "y"]).collect())
+    assert [got[str(i)] for i in range(len(x))] == pytest.approx(kth.tolist())
+    ranked = np.sort(kth)
+    assert clustering.estimate_epsilon(df, 5, ["x", "y"]) == pytest.approx(ranked[clustering.chord(ranked.tolist())])
+    c = np.arange(len(x)) % 3
+    mean = np.array([[d[i, (c == k) & (np.arange(len(x)) != i)].mean() for k in range(3)] for i in range(len(x))])
+    a, b = mean[np.arange(len(x)), c], np.where(np.eye(3, dtype=bool)[c], np.inf, mean).min(1)
+    got = {r.id: r.score for r in clustering.silhouette(df, df.select("id", (F.col("seq") % 3).cast("int").alias("cluster_id")), ["x", "y"]).collect()}
+    assert [got[str(i)] for i in range(len(x))] == pytest.approx(((b - a) / np.maximum(a, b)).tolist())
+
+
+def test_small_group_has_its_own_mode(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.normal(0, 0.1, (2200, 2)), [[9.0, 9.0]]))
+    df = spark.createDataFrame([(str(i), i, *map(float, r)) for i, r in enumerate(x)], "id string, seq long, x double, y double")
+    monkeypatch.setattr(clustering, "BLOCK", 1000)
+    found = clustering.mean_shift(df, 1.0, 30, columns=["x", "y"])
+    got = dict(found.assignments.collect())
+    assert len(found.centroids) == 2 and [i for i in got if got[i] != got["0"]] == ["2200"]

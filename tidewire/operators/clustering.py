@@ -1,8 +1,8 @@
 """Clustering of scaled feature rows (id, seq and the feature columns).
 
 Centroids are small and live on the driver as literals; rows stay distributed, and each iteration is one aggregate.
-Algorithms that need all pairs take a bounded number of rows (a parameter) and refuse more, or compare every row with
-a bounded, seeded sample of rows.
+Agglomeration takes a bounded number of rows (a parameter) and refuses more; other algorithms that need all pairs deal
+the rows as blocks and add up what the pairs of blocks give.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from tidewire.functions.features import NAMES
 from tidewire.operators.graph import components
 
-MOST_ROWS = 2000
+#: Rows of a block where all pairs of rows are met.
+BLOCK = 4096
 
 
 @dataclass
@@ -142,44 +143,73 @@ def bounded(scaled: DataFrame, most: int, columns: list[str]) -> pd.DataFrame:
     return got.sort_values("seq", kind="stable").reset_index(drop=True)
 
 
-def against_sample(scaled: DataFrame, size: int, function: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, columns: list[str] = NAMES, seed: int = 0) -> DataFrame:
-    """function(ids, rows, sample's ids, sample) per block of rows; the sample are all rows if they are no more than size."""
-    pool = scaled.orderBy(F.xxhash64("seq", F.lit(seed)), "seq").limit(size).select("id", *columns).toPandas()
-    sample_ids, sample = pool["id"].to_numpy(), pool[columns].to_numpy(float)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for i in range(0, len(part), 512):
-                block = part.iloc[i : i + 512]
-                yield function(block["id"].to_numpy(), block[columns].to_numpy(float), sample_ids, sample)
-
-    return scaled.select("id", *columns).mapInPandas(run, schema)
-
-
 def _pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
 
 
-def k_distances(scaled: DataFrame, k: int = 5, columns: list[str] = NAMES, most: int = 20_000) -> DataFrame:
-    """(id, k_distance): distance to the k-th nearest other row (of a sample, if there are more than `most` rows)."""
-
-    def run(ids, rows, sample_ids, sample):
-        d = _pairwise(rows, sample)
-        d[ids[:, None] == sample_ids[None, :]] = np.inf
-        d.sort(axis=1)
-        at = min(k, d.shape[1]) - 1
-        far = np.where(np.isfinite(d[:, at]), d[:, at], np.where(d.shape[1] > 1, d[:, max(at - 1, 0)], 0.0))
-        return pd.DataFrame({"id": ids, "k_distance": far})
-
-    return against_sample(scaled, most, run, "id string, k_distance double", columns)
-
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Column by column, so that no array has more cells than pairs."""
+    total = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T, strict=True):
+        gap = x[:, None] - y[None, :]
+        gap *= gap
+        total += gap
+    return np.sqrt(total, out=total)
+
+
+def against_all(scaled: DataFrame, function: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, bool], Iterator[pd.DataFrame]], schema: str, columns: list[str], *keep: str) -> DataFrame:
+    """function(rows, other rows, distances, whether both are the same rows) for parts of all pairs of rows, each pair from
+    both sides: rows are dealt to blocks of about BLOCK, each pair of blocks is a task's group, and its results are parts
+    that the caller adds up. keep: columns that the rows have besides id and columns."""
+    data = scaled.select("id", *keep, *columns)
+    n = max(1, -(-data.count() // BLOCK))
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.least(i, F.col("_own")).alias("i"), F.greatest(i, F.col("_own")).alias("j")))
+    dealt = data.withColumn("_own", own).withColumn("_pair", F.explode(pair)).select("*", "_pair.i", "_pair.j").drop("_pair")
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        left, right = part[part["_own"] == i], part[part["_own"] == j]
+        out = []
+        for rows, others in ((left, right),) if i == j else ((left, right), (right, left)):
+            y = others[columns].to_numpy(float)
+            for at in range(0, len(rows) if len(others) else 0, 64):
+                block = rows.iloc[at : at + 64]
+                d = _distances(block[columns].to_numpy(float), y)
+                itself = np.zeros(d.shape, bool)
+                if i == j:
+                    itself[np.arange(len(block)), at + np.arange(len(block))] = True
+                out.append(function(block, others, d, itself))
+        return pd.concat(out) if out else pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
+
+    return dealt.groupBy("i", "j").applyInPandas(run, schema)
+
+
+def k_distances(scaled: DataFrame, k: int = 5, columns: list[str] = NAMES) -> DataFrame:
+    """(id, k_distance): distance to the k-th nearest other row, to the furthest if there are fewer; 0 without others."""
+
+    def run(rows, others, d, itself):
+        d[itself] = np.inf
+        least = np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
+        return pd.DataFrame({"id": rows["id"].to_numpy(), "near": [x[np.isfinite(x)] for x in least]})
+
+    parts = against_all(scaled, run, "id string, near array<double>", columns)
+    near = parts.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return near.select("id", F.coalesce(F.element_at("near", F.when(F.size("near") > 0, -1)), F.lit(0.0)).alias("k_distance"))
+
+
+def estimate_epsilon(scaled: DataFrame, k: int = 5, columns: list[str] = NAMES) -> float:
+    """The k-distance furthest from the chord of all k-distances in ascending order."""
+    from tidewire.operators.browse import numbered
 
-def estimate_epsilon(scaled: DataFrame, k: int = 5, columns: list[str] = NAMES, most: int = 20_000) -> float:
-    """The k-distance furthest from the chord of the ascending k-distances of at most `most` rows."""
-    values = sorted(r.k_distance for r in k_distances(scaled, k, columns, most).orderBy(F.xxhash64("id")).limit(most).collect())
-    if not values:
+    ranked = numbered(k_distances(scaled, k, columns), "k_distance", "id", name="rank").checkpoint()
+    n, low, high = ranked.agg(F.count("*"), F.min("k_distance"), F.max("k_distance")).first()
+    if not n:
         return 0.0
-    return values[len(values) // 2] if len(values) < 3 else values[chord(values)]
+    if n < 3:
+        return ranked.filter(F.col("rank") == n // 2).first().k_distance
+    far = F.abs((high - low) * F.col("rank") - (n - 1) * (F.col("k_distance") - low))
+    return ranked.orderBy(F.desc(far), "rank").first().k_distance
 
 
 def close_pairs(scaled: DataFrame, epsilon: float, columns: list[str] = NAMES, dims: int = 3) -> DataFrame:
@@ -285,42 +315,64 @@ def hierarchical(scaled: DataFrame, k: int = 3, linkage: str = "average", column
     return Clustering(out, iterations=len(merges))
 
 
-def mean_shift(scaled: DataFrame, bandwidth: float | None = 0.5, max_iterations: int = 100, tolerance: float = 1e-3, columns: list[str] = NAMES, most: int = MOST_ROWS) -> Clustering:
-    """Every row climbs to its mode over the density of a bounded sample, in parallel; modes are merged in order of seq
-    with the first centre less than half a bandwidth away. bandwidth None: the median distance to the fifth neighbour."""
+def mean_shift(scaled: DataFrame, bandwidth: float | None = 0.5, max_iterations: int = 100, tolerance: float = 1e-3, columns: list[str] = NAMES) -> Clustering:
+    """Every row climbs to its mode over the density of all rows; modes are merged in order of seq with the first centre
+    less than half a bandwidth away. bandwidth None: the median distance to the fifth neighbour. Each iteration deals the rows that still move and all rows as blocks, and adds up the sums."""
     if bandwidth is None:
-        row = k_distances(scaled, 5, columns, most).agg(F.percentile("k_distance", 0.5).alias("m")).first()
+        row = k_distances(scaled, 5, columns).agg(F.percentile("k_distance", 0.5).alias("m")).first()
         bandwidth = row.m or 0.5
+    fixed = scaled.select(*columns).withColumn("at", F.array(*columns)).select("at").checkpoint()
+    n = max(1, -(-fixed.count() // BLOCK))
+    block = F.pmod(F.xxhash64("at", F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    fixed = fixed.withColumn("b", block).checkpoint()
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    width = len(columns) + 1
+
+    def pulled(key: tuple, rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.array(p["at"].tolist()).reshape(len(p), len(columns)) for p in (rows, others))
+        sums = np.zeros((len(x), width))
+        for i in range(0, len(x), 64):
+            w = np.exp(-(_distances(x[i : i + 64], y) ** 2) / (2 * bandwidth * bandwidth))
+            sums[i : i + 64] = np.column_stack((w @ y, w.sum(1)))
+        return pd.DataFrame({"at": rows["at"].to_numpy(), "sums": list(sums)})
+
+    # rows at one place climb together; place is where they began
+    places = scaled.select("seq", F.array(*columns).alias("place")).groupBy("place").agg(F.min("seq").alias("seq"))
+    moving, ended = places.withColumn("at", F.col("place")).checkpoint(), []
+    for _ in range(max_iterations):
+        if not moving.limit(1).count():
+            break
+        dealt = moving.select("at").distinct().withColumn("a", F.pmod(F.xxhash64("at"), F.lit(n)).cast("int")).withColumn("b", F.explode(every))
+        met = fixed.withColumn("a", F.explode(every))
+        parts = dealt.groupBy("a", "b").cogroup(met.groupBy("a", "b")).applyInPandas(pulled, "at array<double>, sums array<double>")
+        sums = parts.groupBy("at").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(width)])
+        to = sums.select("at", F.array(*[F.col(f"s{i}") / F.col(f"s{width - 1}") for i in range(width - 1)]).alias("to"))
+        step = F.sqrt(F.aggregate(F.zip_with("to", "at", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda p, q: p + q))
+        now = moving.join(to, "at").select("place", "seq", F.col("to").alias("at"), (step < tolerance).alias("done")).checkpoint()
+        ended.append(now.filter("done").drop("done"))
+        moving = now.filter("not done").drop("done")
+    for part in ended:
+        moving = moving.union(part)
+    found = moving.select("place", F.transform("at", lambda x: F.round(x, 6)).alias("mode"))
+    modes = scaled.select("id", "seq", F.array(*columns).alias("place")).join(found, "place").drop("place").checkpoint()
+    # the next modes in order that no centre is near, until none is left
+    centres: list[list[float]] = []
+
+    def named(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in range(0, len(part), 1024):
+                block = part.iloc[i : i + 1024]
+                near = _distances(np.array(block["mode"].tolist()), np.array(centres)) < bandwidth / 2 if centres else np.zeros((len(block), 1), bool)
+                # the first centre near enough, not the nearest
+                yield block.assign(cluster_id=np.where(near.any(1), near.argmax(1), -1).astype(np.int32))
 
-    def climb(ids, rows, _, sample):
-        now, moving = rows.copy(), np.ones(len(rows), bool)
-        for _i in range(max_iterations):
-            if not moving.any():
-                break
-            w = np.exp(-(_pairwise(now[moving], sample) ** 2) / (2 * bandwidth * bandwidth))
-            new = w @ sample / w.sum(1, keepdims=True)
-            step = np.linalg.norm(new - now[moving], axis=1)
-            now[moving] = new
-            moving[np.flatnonzero(moving)[step < tolerance]] = False
-        return pd.DataFrame({"id": ids, "mode": list(np.round(now, 6))})
-
-    modes = against_sample(scaled, most, climb, "id string, mode array<double>", columns).join(scaled.select("id", "seq"), "id").checkpoint()
-    # distinct modes in order of their first row: few, but checked
-    firsts = modes.groupBy("mode").agg(F.min("seq").alias("seq")).orderBy("seq").limit(10 * most + 1).collect()
-    if len(firsts) > 10 * most:
-        raise ValueError("too many modes; use a larger bandwidth")
-    centres: list[np.ndarray] = []
-    for r in firsts:
-        m = np.array(r.mode)
-        if not any(np.linalg.norm(m - c) < bandwidth / 2 for c in centres):
-            centres.append(m)
-    lists = [c.tolist() for c in centres]
-    named = modes.select("id", "seq", *[F.get("mode", F.lit(i)).alias(c) for i, c in enumerate(columns)])
-    if not lists:
-        return Clustering(scaled.select("id", F.lit(0).alias("cluster_id")))
-    # the first centre near enough, not the nearest
-    d = F.transform(distances_to(columns, lists), lambda x: x < bandwidth / 2)
-    return Clustering(named.select("id", (F.greatest(F.array_position(d, True), F.lit(1)) - 1).cast("int").alias("cluster_id")), lists)
+    schema = "id string, seq long, mode array<double>, cluster_id int"
+    while rest := modes.mapInPandas(named, schema).filter("cluster_id < 0").orderBy("seq").limit(1000).collect():
+        known = len(centres)
+        for r in rest:
+            if not any(math.dist(r.mode, c) < bandwidth / 2 for c in centres[known:]):
+                centres.append(r.mode)
+    return Clustering(modes.mapInPandas(named, schema).select("id", "cluster_id"), centres)
 
 
 def gaussian_mixture(scaled: DataFrame, k: int = 3, max_iterations: int = 100, tolerance: float = 1e-3, seed: int = 0, columns: list[str] = NAMES, floor: float = 1e-6) -> Clustering:
@@ -505,28 +557,24 @@ def bounds(scaled: DataFrame, assignments: DataFrame, columns: list[str] = NAMES
     return scaled.join(assignments, "id").groupBy("cluster_id").agg(*[F.min(c).alias(f"min_{c}") for c in columns], *[F.max(c).alias(f"max_{c}") for c in columns])
 
 
-def silhouette(scaled: DataFrame, assignments: DataFrame, columns: list[str] = NAMES, most: int = 20_000, seed: int = 0) -> DataFrame:
+def silhouette(scaled: DataFrame, assignments: DataFrame, columns: list[str] = NAMES) -> DataFrame:
     """(id, cluster_id, score) of rows that are no noise: (b - a) / max(a, b) of the mean distances to the own and to the
-    nearest other cluster; 0 for b without another cluster. Exact up to `most` rows, else against a sample."""
-    data = scaled.select("id", "seq", *columns).join(assignments.filter("cluster_id >= 0").select("id", F.col("cluster_id").cast("double").alias("_c")), "id")
-    wide = [*columns, "_c"]
-
-    def run(ids, rows, sample_ids, sample):
-        d, own, of = _pairwise(rows[:, :-1], sample[:, :-1]), rows[:, -1], sample[:, -1]
-        other = ids[:, None] != sample_ids[None, :]
-        a, b = np.zeros(len(rows)), np.full(len(rows), np.inf)
-        for c in np.unique(of):
-            mask = other & (of == c)[None, :]
-            count = mask.sum(1)
-            mean = np.where(count > 0, (d * mask).sum(1) / np.maximum(count, 1), np.nan)
-            mine = own == c
-            a[mine] = np.nan_to_num(mean[mine])
-            b[~mine] = np.fmin(b[~mine], mean[~mine])
-        b = np.where(np.isfinite(b), b, 0.0)
-        top = np.maximum(a, b)
-        return pd.DataFrame({"id": ids, "cluster_id": own.astype(np.int32), "score": np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0.0)})
-
-    return against_sample(data, most, run, "id string, cluster_id int, score double", wide, seed)
+    nearest other cluster; 0 for b without another cluster. Over all pairs of rows."""
+    data = scaled.select("id", *columns).join(assignments.filter("cluster_id >= 0").select("id", F.col("cluster_id").cast("int").alias("_c")), "id")
+
+    def run(rows, others, d, itself):
+        of, at = np.unique(others["_c"].to_numpy(), return_inverse=True)
+        member = np.eye(len(of))[at]
+        count = member.sum(0) - itself @ member
+        i, c = np.nonzero(np.ones(count.shape, bool))
+        return pd.DataFrame({"id": rows["id"].to_numpy()[i], "own": rows["_c"].to_numpy()[i], "other": of[c], "total": (d @ member)[i, c], "n": count[i, c]})
+
+    parts = against_all(data, run, "id string, own int, other int, total double, n double", columns, "_c")
+    means = parts.groupBy("id", "own", "other").agg((F.sum("total") / F.when(F.sum("n") > 0, F.sum("n"))).alias("mean"))
+    same = F.col("own") == F.col("other")
+    ab = means.groupBy("id", "own").agg(F.coalesce(F.max(F.when(same, F.col("mean"))), F.lit(0.0)).alias("a"), F.coalesce(F.min(F.when(~same, F.col("mean"))), F.lit(0.0)).alias("b"))
+    top = F.greatest("a", "b")
+    return ab.select("id", F.col("own").alias("cluster_id"), F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0).alias("score"))
 
 
 ALGORITHMS: dict[str, Callable[..., Clustering]] = {

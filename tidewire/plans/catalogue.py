@@ -543,7 +543,7 @@ def isolation_forest(spark, sf_dir):
 
 @query()
 def mean_shift(spark, sf_dir):
-    return clustering.mean_shift(small(spark, sf_dir), 1.0, 50).assignments
+    return clustering.mean_shift(scaled(flows(spark, sf_dir)), 1.0, 50).assignments
 
 
 @query()
