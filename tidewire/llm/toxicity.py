@@ -7,8 +7,8 @@ from document labels through that product. The sentences that make a document to
 Features are a sentence's lower-case words and the first four and five bytes of each, by hash. Kept are those whose
 documents are toxic too often for chance, given how many features there are, at most MAX_FEATURES.
 
-The fit uses at most SAMPLE labelled documents of each label (those with the smallest hash of doc_id) of at most
-SAMPLE_BYTES of text each; scoring covers every whole text. Null and empty texts count as one empty sentence. Repeated
+The fit uses at most SAMPLE labelled documents of each label (those with the smallest hash of doc_id), their texts whole;
+scoring covers every whole text. Null and empty texts count as one empty sentence. Repeated
 rows score alike, and doc_id, lang, source and labels are no features. Without labelled rows every score is low.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import map_arrow, written
 from tidewire.llm.textscan import _BYTE_CODES, _BYTE_POWERS, KeyTable, prefix, slices, span_hash
 
-SAMPLE, SAMPLE_BYTES, MAX_FEATURES = 3000, 200_000, 4000
+SAMPLE, MAX_FEATURES = 3000, 4000
 #: Parts in which the sampled documents are read.
 PARTS = 12
 #: Where b starts; it only falls, lest the many sentences of a long clean document add up to a toxic one.
@@ -198,7 +198,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     for label in (0, 1):
         part = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         ids = part if ids is None else ids.union(part)
-    chosen = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_BYTES).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    chosen = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
     chosen = written(chosen.repartition(PARTS, "doc_id"))
     per_label = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = per_label.get(1, 0), per_label.get(0, 0)
