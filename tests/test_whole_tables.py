@@ -67,3 +67,8 @@ def test_small_group_has_its_own_mode(spark, monkeypatch):
     found = clustering.mean_shift(df, 1.0, 30, columns=["x", "y"])
     got = dict(found.assignments.collect())
     assert len(found.centroids) == 2 and [i for i in got if got[i] != got["0"]] == ["2200"]
+
+
+def test_map_trains_the_rounds_asked_for(spark):
+    df = spark.createDataFrame([(str(i), i, float(i % 5), float(i % 3)) for i in range(30)], "id string, seq long, x double, y double")
+    assert clustering.self_organizing_map(df, 2, 23, columns=["x", "y"]).iterations == 23

@@ -423,7 +423,7 @@ def self_organizing_map(scaled: DataFrame, side: int = 3, iterations: int = 100,
     grid = np.random.default_rng(seed).random((len(cells), len(columns)))
     far = np.array([[math.dist(a, b) for b in cells] for a in cells])
     data = scaled.select("id", "seq", *columns).persist()
-    rounds = max(1, min(iterations, 20))
+    rounds = max(1, iterations)
     for t in range(rounds):
         radius = max(side / 2 * (1 - t / rounds), 0.3)
 
