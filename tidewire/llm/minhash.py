@@ -48,7 +48,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[
     keys = runs.hashes(first, np.minimum(first + size, runs.rows[1:][row]))
     order = np.lexsort((keys, row))
     row, keys = row[order], keys[order]
-    new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))[: len(keys)]))
+    new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])))[: len(keys)])
     return row[new], keys[new], np.diff(np.append(new, len(keys)))
 
 
