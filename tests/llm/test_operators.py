@@ -209,7 +209,7 @@ def test_substring(spark, documents):
         assert len(got) == len(rows)
         bad = [d for d, *x in got[["doc_id", "n_words", "n_removed", "kept_sha256"]].itertuples(index=False) if tuple(x) != want[d]]
         assert not bad
-    kept = {r.doc_id: r.kept for r in remove_duplicates(cases(spark), "kept key").collect()}
+    kept = {r.doc_id: r.kept for r in remove_duplicates(cases(spark), ["kept", "key"]).collect()}
     assert kept[2] is None and kept[3] == "" and kept[7] == ""
 
 
@@ -243,7 +243,7 @@ def test_toxicity(spark, sf_dir):
     truth = got.merge(pd.read_parquet(f"{sf_dir}/labels.parquet"), on="doc_id").query("held_out")
     assert ((truth.toxic == 1) == (truth.predicted == 1)).mean() > 0.95
     model = fit(["a nice day. you are awful scum! bye", "a nice day. good morning to you", "awful scum", "hello there"] * 30, np.array([1, 0, 1, 0] * 30))
-    rows = score_documents(cases(spark, [*CASES, (20, "Hello. You are awful scum. Bye.")]), model, "key").toPandas().set_index("doc_id")
+    rows = score_documents(cases(spark, [*CASES, (20, "Hello. You are awful scum. Bye.")]).withColumn("score", F.lit(2)), model, ["key", "score"]).toPandas().set_index("doc_id")
     assert rows.loc[20, "score"] > 0.5 and rows.loc[1, "score"] < 0.5 and rows.loc[[2, 3], "score"].max() < 0.5
     worst = rows.loc[[20]].iloc[0]
     assert "Hello. You are awful scum. Bye."[int(worst.worst_start) : int(worst.worst_end)].strip() == "You are awful scum."
@@ -402,10 +402,11 @@ def test_pipeline(spark, sf_dir):
     for d, t in rows:
         data = np.frombuffer((t or "").lower().encode(), np.uint8)
         keys, owner, bounds, _ = _features(data, np.array([0, len(data)]))
-        z = [model.bias] * (len(bounds) - 1)
+        z = {}
         for k, o in zip(keys.tolist(), owner.tolist()):
-            z[o] += weights.get(k, 0.0)
-        if np.prod([1 - 1 / (1 + np.exp(-x)) for x in z]) > 0.5:
+            if k in weights:
+                z[o] = z.get(o, model.bias) + weights[k]
+        if (1 - model.leak) * np.prod([1 - 1 / (1 + np.exp(-x)) for x in z.values()]) > 0.5:
             kept.append((d, t))
     assert 0 < len(kept) < len(rows)
     classes = plain_classes(kept)

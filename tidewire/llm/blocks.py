@@ -21,20 +21,20 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The runs of equal keys in batches sorted by key; what is held is one group and one batch."""
+def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The runs of equal keys (integers) in batches sorted by them; what is held is one group and one batch."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not len(batch):
             continue
-        keys = batch.column(key).to_numpy()
-        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        values = np.stack([batch.column(k).to_numpy() for k in keys])
+        bounds = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1).tolist(), len(batch)]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if held and keys[a] != last:
+            if held and (values[:, a] != last).any():
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))
-            last = keys[a]
+            last = values[:, a]
     if held:
         yield pa.Table.from_batches(held)

@@ -6,24 +6,28 @@ distinct piece goes through the library once, and its ids are looked up afterwar
 - `leading` (byte-level vocabularies): cut before white space that follows a character which is surely none, and
   between a letter and a mark; a piece is its leading white space and the run after it.
 - `spaces` (piece vocabularies): cut before a space that follows another character.
+- `lone space`: like `spaces`, if a printable ASCII character follows.
 - `dropped` (vocabularies that drop white space): cut at white space, which belongs to no piece, and between a letter
   and a mark.
 
 "Surely none" are printable ASCII and two-byte characters from U+00C0 on; after others the text isn't cut.
+
+A piece is looked up by a hash of its bytes, and the bytes are compared: a piece whose hash is another one's goes through
+the library itself. A long row is taken in parts of bounded size, parted where a piece begins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 from itertools import chain
 
 import numpy as np
 
-from tidewire.llm.textscan import KeyTable, byte_hashes, ragged
+from tidewire.llm.textscan import LONG_RUN, SLICE_BYTES, KeyTable, byte_hashes, eights, equal_runs, ragged
 
-#: Distinct pieces kept per worker process before the cache starts anew.
-CACHE_PIECES = 500_000
+#: Distinct pieces, of at most LONG_RUN bytes each, kept per worker process; when there are more, the rarer half goes.
+CACHE_PIECES = 300_000
 
 _WHITE = b" \t\r\n"
 
@@ -56,10 +60,77 @@ def cuts(data: np.ndarray, offsets: np.ndarray, mode: str) -> tuple[np.ndarray,
         ends = np.flatnonzero(inside & edge[1:]) + 1
         return starts, ends
     space = _BLANK[data] if mode == "leading" else data == 0x20
+    if mode == "lone space":
+        space &= np.append(_PLAIN[data[1:]], False)
     starts = np.flatnonzero(row[:-1] | (space & (_PLAIN[before] | two)) | (mark & (mode == "leading")))
     return starts, np.append(starts[1:], n) if len(starts) else starts
 
 
+def parts(data: np.ndarray, mode: str, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of one row, each of about `size` bytes, that begin where a piece begins."""
+    a = 0
+    while a < len(data):
+        b, reach = a + size, size
+        while b < len(data):
+            # two bytes before the place tell whether it is a cut
+            starts, _ = cuts(data[b - 2 : b + reach], np.array([0]), mode)
+            found = starts[starts >= 2]
+            if len(found):
+                b += int(found[0]) - 2
+                break
+            b, reach = b + reach - 2, 2 * reach
+        b = min(b, len(data))
+        yield a, b
+        a = b
+
+
+class PieceCache:
+    """Numbers pieces of bytes in order of arrival; a piece is found only if its bytes are the same."""
+
+    def __init__(self):
+        self.known = KeyTable()
+        self.text, self.filled = np.zeros(1 << 16, np.uint8), 0
+        self.begin, self.size, self.hits = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+
+    def find(self, keys: np.ndarray, view: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of each piece; -1: new; -2: it can't be kept, since it is long or its key is another piece's."""
+        number = self.known.lookup(keys)
+        hit = np.flatnonzero(number >= 0)
+        at = number[hit]
+        same = self.size[at] == sizes[hit]
+        same[same] = equal_runs(view, starts[hit][same], eights(self.text[: self.filled]), self.begin[at][same], sizes[hit][same])
+        self.hits[: self.known.count] += np.bincount(at[same], minlength=self.known.count).astype(np.int32)
+        number[hit[~same]] = -2
+        number[sizes > LONG_RUN] = -2
+        return number
+
+    def add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Takes pieces of distinct new keys."""
+        new, total = self.known.count, int(sizes.sum())
+        while len(self.begin) < new + len(keys):
+            self.begin, self.size, self.hits = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size, self.hits))
+        if len(self.text) < self.filled + total:
+            grown = np.zeros(2 * (self.filled + total), np.uint8)
+            grown[: self.filled] = self.text[: self.filled]
+            self.text = grown
+        self.begin[new : new + len(keys)] = self.filled + np.cumsum(sizes) - sizes
+        self.size[new : new + len(keys)] = sizes
+        self.text[self.filled : self.filled + total] = data[ragged(starts, sizes)]
+        self.filled += total
+        self.known.add(keys)
+
+    def halve(self) -> tuple[PieceCache, np.ndarray]:
+        """(a cache of the half of the pieces that were found most often, their numbers here)."""
+        hits = self.hits[: self.known.count]
+        kept = np.sort(np.argsort(-hits, kind="stable")[: len(hits) // 2])
+        keys = np.zeros(len(hits), np.uint64)
+        filled = self.known.keys != 0
+        keys[self.known.values[filled]] = self.known.keys[filled]
+        smaller = PieceCache()
+        smaller.add(keys[kept], self.text, self.begin[kept], self.size[kept].astype(np.int64))
+        return smaller, kept
+
+
 class PieceEncoder:
     """encode(data, offsets) -> (ids of all rows one after another, number of ids of each row).
 
@@ -72,49 +143,71 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known = KeyTable()
+        self.cache = PieceCache()
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-
-    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        ids, sizes = self.library(pieces)
-        new = self.known.count
-        while len(self.at) < new + len(pieces):
-            self.at, self.size = np.concatenate((self.at, self.at)), np.concatenate((self.size, self.size))
-        while len(self.pool) < self.used + len(ids):
-            self.pool = np.concatenate((self.pool, self.pool))
-        self.at[new : new + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.size[new : new + len(pieces)] = sizes
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.known.add(keys)
+        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(data) <= 2 * SLICE_BYTES or len(offsets) > 2:
+            return self._encode(data, offsets, True)
+        ids = [self._encode(data[a:b], np.array([0, b - a]), a == 0)[0] for a, b in parts(data, self.mode)]
+        return np.concatenate(ids), np.array([sum(map(len, ids))])
+
+    def _ask(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        if self.edit:
+            pieces = [self.edit(t, b) for t, b in zip(pieces, begins.tolist(), strict=True)]
+        return self.library(pieces)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """whole: the rows begin here, and not before."""
         starts, ends = cuts(data, offsets, self.mode)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        keys = byte_hashes(data, starts, ends)
-        if self.edit:
-            begins = np.zeros(len(data) + 1, bool)
-            begins[offsets] = True
-            begins = begins[starts]
-            keys ^= begins.astype(np.uint64) << np.uint64(63)
+        view, sizes = eights(data), ends - starts
+        begins = np.zeros(len(data) + 1, bool)
+        begins[offsets] = whole
+        begins = begins[starts]
+        # a piece that begins its row is another one, since it is encoded in another way
+        keys = byte_hashes(data, starts, ends, view=view) ^ (begins & (self.edit is not None)).astype(np.uint64) << np.uint64(63)
         keys[keys == 0] = 1
-        if self.known.count > CACHE_PIECES:
-            self.clear()
-        piece = self.known.lookup(keys)
-        new = np.flatnonzero(piece < 0)
+        if self.cache.known.count > CACHE_PIECES:
+            self._halve()
+        piece = self.cache.find(keys, view, starts, sizes)
+        new, raw = np.flatnonzero(piece == -1), data.tobytes() if (piece < 0).any() else b""
         if len(new):
             distinct, sample = np.unique(keys[new], return_index=True)
-            raw = data.tobytes()
-            pieces = [raw[starts[j] : ends[j]] for j in new[sample]]
-            if self.edit:
-                pieces = [self.edit(t, b) for t, b in zip(pieces, begins[new[sample]].tolist(), strict=True)]
-            self._add(distinct, pieces)
-            piece[new] = self.known.lookup(keys[new])
-        sizes = self.size[piece]
-        sums = np.concatenate(([0], np.cumsum(sizes)))
-        return self.pool[ragged(self.at[piece], sizes)], np.diff(sums[np.searchsorted(starts, offsets)])
+            first = new[sample]
+            self._add(distinct, *self._ask(raw, starts[first], ends[first], begins[first]))
+            self.cache.add(distinct, data, starts[first], sizes[first])
+            piece[new] = self.cache.find(keys[new], view, starts[new], sizes[new])
+        lone = np.flatnonzero(piece < 0)
+        pool, at, size = self.pool, self.at[piece], self.size[piece].astype(np.int64)
+        if len(lone):
+            ids, n = self._ask(raw, starts[lone], ends[lone], begins[lone])
+            at[lone], size[lone] = self.used + np.cumsum(n) - n, n
+            pool = np.concatenate((pool[: self.used], ids))
+        sums = np.concatenate(([0], np.cumsum(size)))
+        return pool[ragged(at, size)], np.diff(sums[np.searchsorted(starts, offsets)])
+
+    def _halve(self) -> None:
+        cache, kept = self.cache.halve()
+        at, size = self.at[kept], self.size[kept].astype(np.int64)
+        self.cache = cache
+        self.pool = self.pool[ragged(at, size)]
+        self.used = len(self.pool)
+        self.at, self.size = np.cumsum(size) - size, size.astype(np.int32)
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        new = self.cache.known.count
+        while len(self.at) < new + len(keys):
+            self.at, self.size = np.concatenate((self.at, self.at)), np.concatenate((self.size, self.size))
+        if len(self.pool) < self.used + len(ids):
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(self.used + len(ids), np.uint32)))
+        self.at[new : new + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.size[new : new + len(keys)] = sizes
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
 
 def _flat(parts: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,49 +42,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(documents: DataFrame, columns: list[str] | tuple[str, ...]) -> Column:
+    """The listed columns but doc_id and text as one struct named documents, so that no name clashes with an operator's
+    own."""
+    names = [c for c in columns if c not in ("doc_id", "text")]
+    return F.struct(*[F.col(f"`{c}`") for c in names]).alias("documents") if names else F.lit(None).cast("string").alias("documents")
+
+
+def restored(result: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The carried columns in their order, and doc_id and text, as columns again; `changed` stand for others."""
+    return result.select(*[changed.get(c, F.col(c) if c in ("doc_id", "text") else F.col("documents").getField(c)).alias(c) for c in columns])
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, since a worker process outlives its tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow whose batches are brought to the declared types."""
     declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(declared)
 
     def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in function(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in arrow], schema=arrow)
+        try:
+            for batch in function(batches):
+                yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in arrow], schema=arrow)
+        finally:
+            give_back()
 
     return df.mapInArrow(typed, declared)
 
 
 class Bitmap:
-    """A set of 64-bit keys as a bitmap of fixed size (a Bloom filter with one hash): may hold more, never less.
+    """A set of 64-bit keys as a bitmap (a Bloom filter with one hash): may hold more, never less.
 
-    Its size doesn't grow with the data, so it may be sent to every task.
+    Its size follows the number of keys up to 2**MOST bits, 32 MB, so that it may be sent to every task; beyond, it
+    holds more that isn't listed, and what it is used for shuffles more rows, with the same result.
     """
 
-    BITS = 25
+    LEAST, MOST = 16, 28
 
     def __init__(self, words: np.ndarray):
         self.words = words
+        self.mask = 64 * len(words) - 1
 
     @classmethod
     def of(cls, keys: DataFrame, column: str) -> Bitmap:
-        """Bits are or-ed on the executors; at most 2**BITS / 64 words reach the driver."""
-        bit = F.col(column).bitwiseAND(F.lit((1 << cls.BITS) - 1))
+        """keys: a written table. Bits are or-ed on the executors; the words that hold any reach the driver."""
+        bits = int(np.clip((16 * keys.count()).bit_length(), cls.LEAST, cls.MOST))
+        bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
         rows = (
             keys.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
             .groupBy("w")
             .agg(F.bit_or("b").alias("b"))
             .toArrow()
         )
-        words = np.zeros(1 << (cls.BITS - 6), np.int64)
+        words = np.zeros(1 << (bits - 6), np.int64)
         words[rows["w"].to_numpy()] = rows["b"].to_numpy()
         return cls(words.view(np.uint64))
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        bit = keys.astype(np.uint64) & np.uint64((1 << self.BITS) - 1)
+        bit = keys.astype(np.uint64) & np.uint64(self.mask)
         return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 

@@ -39,7 +39,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.substring import remove_duplicates
 
-    return remove_duplicates(table(spark, sf_dir, "documents"), "kept_sha256")
+    return remove_duplicates(table(spark, sf_dir, "documents"), ["kept_sha256"])
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,198 +4,246 @@ A window is 20 consecutive words; words covered by a window whose words also sta
 document and earlier start) are duplicates.
 
 1. Each window belongs to the block around the 8-word gram of smallest hash in it (the leftmost), a choice made by its
-   words alone. A block is known by its gram's hash; the earliest block of each hash is the reference block.
-2. Every document is parsed against the reference blocks: where a block's whole stretch (all its windows, with its
-   words' hash) equals its reference's, it is copied from there, and copies that go on at the same distance in the
-   same document join to one factor. A factor holds 20 words or more, so all of it is duplicate.
-3. At factor boundaries stretches differ although their grams agree. There, and in the references concerned, single
-   windows are compared by their words' hashes. A window that is duplicate but equals no reference's window stands in
-   the table of windows itself, so nothing is missed.
-
-Only hashes, doc_ids and positions are shuffled, first the blocks whose hash occurs twice at all (a bitmap of fixed
-size sorts out most others), then windows at boundaries; texts are joined with their spans once, in the end.
-
-Null texts have no words. Repeated rows with equal doc_id and text count as one document; otherwise doc_id must be
-unique. Rows without doc_id come back whole. Documents of fewer than 20 words stay whole.
+   words alone. A block is known by its gram's hash; the earliest block of each hash is the reference block. All
+   reference blocks are indexed, by hash joins.
+2. A block whose whole stretch (all its windows, by two hashes of its words) equals its reference's can be copied from
+   there. Where stretches differ although their grams agree, single windows are compared by two hashes of their words,
+   the references' too. A window that is duplicate but equals no reference's window stands in the table of windows
+   itself, so nothing is missed.
+3. Every document is parsed greedily, from the left: stretches and windows that can be copied from one document at one
+   distance join, of those that begin within what is parsed already the one that reaches furthest becomes the next
+   factor, and a factor may overlap the one before (so that windows across a boundary of factors count too). A factor
+   holds 20 words or more; the words of factors are removed.
+
+Only hashes, doc_ids and positions are shuffled, first the blocks whose hash occurs twice at all (a bitmap sorts out most
+others), then windows at boundaries; texts are joined with their spans once, in the end.
+
+Null texts have no words. Repeated rows with equal doc_id and text count as one document; rows of equal doc_id and
+different texts are documents of their own, in the order of their texts' hashes. Rows without doc_id come back whole.
+Documents of fewer than 20 words stay whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidewire.llm.common import Bitmap, map_arrow, written
-from tidewire.llm.textscan import U64, WordRuns, mix, slices, words
+from tidewire.llm.common import Bitmap, carried, map_arrow, written
+from tidewire.llm.textscan import U64, WordRuns, joined, mix, slices
 
 WINDOW, GRAM = 20, 8
+#: Windows looked at together.
+STEP = 1 << 18
+#: Places are word numbers below 2**PLACE; above stands which of its doc_id's texts a document is.
+PLACE = 40
 
 
 class Blocks:
-    """The blocks of one slice of rows: gram's hash, hash of the whole stretch, row, first window and number of windows."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-        self.runs = runs = WordRuns(data, offsets)
-        n = len(runs.starts)
-        if n < window:
-            self.hash = self.stretch = np.zeros(0, U64)
-            self.row = self.first = self.size = np.zeros(0, np.int64)
-            return
-        at = np.arange(n - gram + 1)
-        grams = runs.hashes(at, at + gram)
-        best, where = grams[: n - window + 1].copy(), np.zeros(n - window + 1, np.int64)
+    """The blocks of a run of words: gram's hash, hash of the whole stretch, row, place in the row, number of windows,
+    and the place of an equal stretch before it in the same row (-1: none)."""
+
+    def __init__(self, runs: WordRuns, lo: int, hi: int, window: int = WINDOW, gram: int = GRAM):
+        part = runs.part(lo, hi)
+        n = hi - lo - window + 1
+        grams, at = part.of(gram), np.arange(n)
+        best, where = grams[:n].copy(), np.zeros(n, np.int8)
         for k in range(1, window - gram + 1):
-            other = grams[k : k + n - window + 1]
+            other = grams[k : k + n]
             less = other < best
             best[less], where[less] = other[less], k
-        row = np.searchsorted(runs.rows, np.arange(n - window + 1), "right") - 1
-        whole = np.flatnonzero(np.arange(n - window + 1) + window <= runs.rows[row + 1])
+        row = np.searchsorted(part.rows, at, "right") - 1
+        whole = np.flatnonzero(at + window <= part.rows[row + 1])
         chosen, row = where[whole] + whole, row[whole]
-        new = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1]))[: len(chosen)])
-        first, size = whole[new], np.diff(np.append(new, len(whole)))
-        self.row, self.first, self.size = row[new], first, size
+        new = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])))[: len(chosen)])
+        self.row, self.first, self.size = row[new], whole[new] + lo, np.diff(np.append(new, len(whole)))
         self.hash = mix(grams[chosen[new]])
-        self.stretch = mix(runs.hashes(first, first + size + window - 1) ^ ((chosen[new] - first) * 64 + size).astype(U64))
-        # a stretch that came earlier in its row is duplicate at once
+        self.words = runs.part(lo, hi, 1).of(window)  # of each window, another hash than the grams'
+        self.lo = lo
+        ends = self.words[whole[new]], self.words[whole[new] + self.size - 1]
+        self.stretch = joined(*ends) ^ mix(((chosen[new] - whole[new]) * 64 + self.size).astype(U64))
+        self.place = self.first - runs.rows[self.row]
         order = np.lexsort((self.first, self.stretch, self.hash, self.row))
         same = np.flatnonzero((self.row[order][1:] == self.row[order][:-1]) & (self.hash[order][1:] == self.hash[order][:-1]) & (self.stretch[order][1:] == self.stretch[order][:-1]))
-        self.repeated = np.zeros(len(new), bool)
-        self.repeated[order[same + 1]] = True
-        self.start = first - runs.rows[self.row]
+        self.before = np.full(len(new), -1)
+        self.before[order[same + 1]] = self.place[order[same]]
 
-    def keep(self, chosen: np.ndarray) -> Iterator[np.ndarray]:
-        yield from ((x[chosen]) for x in (self.hash, self.stretch, self.row, self.start, self.size, self.first))
 
+def _blocks(runs: WordRuns) -> Iterator[Blocks]:
+    for lo in range(0, len(runs.starts) - WINDOW + 1, STEP):
+        yield Blocks(runs, lo, min(lo + STEP + WINDOW - 1, len(runs.starts)))
 
-def _scan(documents: DataFrame, schema: str, rows) -> DataFrame:
-    """rows(blocks, doc_ids of the slice's rows) -> columns, over the blocks of all documents that have a doc_id."""
+
+def _version(text: str) -> Column:
+    """Tells texts of one doc_id apart, in 23 bits."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 23) - 1))
+
+
+def _scan(documents: DataFrame, schema: str, rows: Callable) -> DataFrame:
+    """rows(blocks, doc_ids and versions of the slice's rows) -> columns, over the blocks of all documents that have a
+    doc_id."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, versions = batch.column("doc_id").to_numpy(), batch.column("version").to_numpy() << PLACE
             for a, b, data, offsets in slices(batch.column("text")):
-                blocks = Blocks(data, offsets)
-                if len(blocks.hash):
-                    yield pa.RecordBatch.from_pydict(rows(blocks, batch.column("doc_id")[a:b].to_numpy()))
+                for blocks in _blocks(WordRuns(data, offsets)):
+                    if len(blocks.row):
+                        yield pa.RecordBatch.from_pydict(rows(blocks, ids[a:b], versions[a:b]))
 
-    return documents.filter("doc_id is not null").select("doc_id", "text").transform(map_arrow, scanned, schema)
+    return documents.filter("doc_id is not null").select("doc_id", _version("text").alias("version"), "text").transform(map_arrow, scanned, schema)
 
 
-def _place(doc_ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return mix(mix(doc_ids.astype(np.int64).view(U64)) + starts.astype(U64))
+def _mark(doc_ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return mix(mix(doc_ids.astype(np.int64).view(U64)) + places.astype(U64))
 
 
 def duplicate_spans(documents: DataFrame) -> DataFrame:
-    """doc_id, start, size (words), ref_doc, ref_start: stretches found duplicate other than by their own document's
-    equal stretches; ref is where a factor is copied from, null for single windows at boundaries. Spans overlap."""
+    """doc_id, place, size (words), ref_doc, ref_place: stretches and windows that can be copied, other than from their
+    own document's equal stretches. Spans overlap."""
 
-    def hashes(blocks: Blocks, _) -> dict:
-        return {"h": blocks.hash[~blocks.repeated].view(np.int64)}
+    def hashes(blocks: Blocks, *_) -> dict:
+        return {"h": blocks.hash[blocks.before < 0].view(np.int64)}
 
-    often = _scan(documents, "h long", hashes).groupBy("h").count().filter("count > 1").select("h")
+    often = written(_scan(documents, "h long", hashes).groupBy("h").count().filter("count > 1").select("h"))
     listed = Bitmap.of(often, "h")
 
-    def candidates(blocks: Blocks, doc_ids: np.ndarray) -> dict:
-        h, stretch, row, start, size, _ = blocks.keep(~blocks.repeated & listed.holds(blocks.hash))
-        return {"h": h.view(np.int64), "stretch": stretch.view(np.int64), "doc_id": doc_ids[row], "start": start, "size": size}
+    def candidates(blocks: Blocks, doc_ids: np.ndarray, versions: np.ndarray) -> dict:
+        x = np.flatnonzero((blocks.before < 0) & listed.holds(blocks.hash))
+        row = blocks.row[x]
+        return {"h": blocks.hash[x].view(np.int64), "stretch": blocks.stretch[x].view(np.int64), "doc_id": doc_ids[row], "place": versions[row] + blocks.place[x], "size": blocks.size[x]}
 
-    found = _scan(documents, "h long, stretch long, doc_id long, start int, size int", candidates)
-    found = written(found)
-    refs = found.groupBy("h").agg(F.min(F.struct("doc_id", "start", "stretch", "size")).alias("r"), F.count("*").alias("n"))
-    refs = written(refs.filter("n > 1").select("h", F.col("r.doc_id").alias("ref_doc"), F.col("r.start").alias("ref_start"), F.col("r.stretch").alias("ref_stretch"), F.col("r.size").alias("ref_size")))
-    judged = written(found.join(refs, "h").filter("doc_id <> ref_doc or start <> ref_start").withColumn("copied", F.expr("stretch = ref_stretch and size = ref_size")).drop("h", "stretch", "ref_stretch"))
-    copied = judged.filter("copied").select("doc_id", "start", (F.col("size") + (WINDOW - 1)).alias("size"), "ref_doc", "ref_start")
+    found = written(_scan(documents, "h long, stretch long, doc_id long, place long, size int", candidates))
+    refs = found.groupBy("h").agg(F.min(F.struct("doc_id", "place", "stretch", "size")).alias("r"), F.count("*").alias("n"))
+    refs = written(refs.filter("n > 1").select("h", F.col("r.doc_id").alias("ref_doc"), F.col("r.place").alias("ref_place"), F.col("r.stretch").alias("ref_stretch"), F.col("r.size").alias("ref_size")))
+    judged = found.join(refs, "h").filter("doc_id <> ref_doc or place <> ref_place").withColumn("copied", F.expr("stretch = ref_stretch and size = ref_size"))
+    judged = written(judged.drop("h", "stretch", "ref_stretch"))
+    copied = judged.filter("copied").select("doc_id", "place", (F.col("size") + (WINDOW - 1)).alias("size"), "ref_doc", "ref_place")
 
     differ = judged.filter("not copied")
-    places = differ.select("doc_id", "start").union(differ.select("ref_doc", "ref_start").distinct())
+    places = differ.select("doc_id", "place").union(differ.select("ref_doc", "ref_place").distinct())
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"p": _place(batch.column("doc_id").to_numpy(), batch.column("start").to_numpy()).view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"p": _mark(batch.column("doc_id").to_numpy(), batch.column("place").to_numpy()).view(np.int64)})
 
-    asked = Bitmap.of(places.transform(map_arrow, placed, "p long"), "p")
+    asked = Bitmap.of(written(places.transform(map_arrow, marked, "p long")), "p")
 
-    def windows(blocks: Blocks, doc_ids: np.ndarray) -> dict:
-        chosen = ~blocks.repeated & listed.holds(blocks.hash) & asked.holds(_place(doc_ids[blocks.row], blocks.start))
-        h, _, row, start, size, first = blocks.keep(chosen)
+    def windows(blocks: Blocks, doc_ids: np.ndarray, versions: np.ndarray) -> dict:
+        place = versions[blocks.row] + blocks.place
+        x = np.flatnonzero((blocks.before < 0) & listed.holds(blocks.hash) & asked.holds(_mark(doc_ids[blocks.row], place)))
+        size = blocks.size[x]
         nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        at = np.repeat(first, size) + nth
-        return {"h": np.repeat(h, size).view(np.int64), "w": blocks.runs.hashes(at, at + WINDOW).view(np.int64), "doc_id": np.repeat(doc_ids[row], size), "start": np.repeat(start, size) + nth}
-
-    single = written(_scan(documents, "h long, w long, doc_id long, start int", windows))
-    first = single.groupBy("h", "w").agg(F.min(F.struct("doc_id", "start")).alias("r"), F.count("*").alias("n"))
-    first = written(first.filter("n > 1").select("h", "w", F.col("r.doc_id").alias("ref_doc"), F.col("r.start").alias("ref_start")))
-    later = single.join(first, ["h", "w"]).filter("doc_id <> ref_doc or start <> ref_start")
-    later = later.select("doc_id", "start", F.lit(WINDOW).alias("size"), F.lit(None).cast("long").alias("ref_doc"), F.lit(None).cast("int").alias("ref_start"))
-    return copied.union(later)
-
-
-def factors(start: np.ndarray, size: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Joins copied stretches of one document to factors (start, end, source document, source start), greedily from
-    the left: a stretch that goes on in the same document at the same distance lengthens the factor."""
-    order = np.argsort(start, kind="stable")
-    start, end, ref_doc, ref_start = start[order], (start + size)[order], ref_doc[order], ref_start[order]
-    new = np.ones(len(start), bool)
-    new[1:] = (ref_doc[1:] != ref_doc[:-1]) | (ref_start[1:] - start[1:] != ref_start[:-1] - start[:-1]) | (start[1:] > end[:-1])
+        w = blocks.words[np.repeat(blocks.first[x] - blocks.lo, size) + nth]
+        return {"h": np.repeat(blocks.hash[x], size).view(np.int64), "w": w.view(np.int64), "doc_id": np.repeat(doc_ids[blocks.row[x]], size), "place": np.repeat(place[x], size) + nth}
+
+    single = written(_scan(documents, "h long, w long, doc_id long, place long", windows))
+    first = single.groupBy("h", "w").agg(F.min(F.struct("doc_id", "place")).alias("r"), F.count("*").alias("n"))
+    first = written(first.filter("n > 1").select("h", "w", F.col("r.doc_id").alias("ref_doc"), F.col("r.place").alias("ref_place")))
+    later = single.join(first, ["h", "w"]).filter("doc_id <> ref_doc or place <> ref_place")
+    return copied.union(later.select("doc_id", "place", F.lit(WINDOW).alias("size"), "ref_doc", "ref_place"))
+
+
+def factors(row: np.ndarray, start: np.ndarray, size: np.ndarray, ref_doc: np.ndarray, ref_place: np.ndarray) -> np.ndarray:
+    """The greedy parse of each row by what can be copied: an array of (row, start, end, source document, source place).
+
+    What goes on in the same source at the same distance joins; then, from the left, the one that reaches furthest of
+    those that begin within the factors so far (or else the next one) is the next factor.
+    """
+    shift = ref_place - start
+    order = np.lexsort((start, shift, ref_doc, row))
+    row, start, end, ref_doc, shift = row[order], start[order], (start + size)[order], ref_doc[order], shift[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (ref_doc[1:] != ref_doc[:-1]) | (shift[1:] != shift[:-1])
+    # within a distance, ends ascend with starts but for stretches and windows that overlap
+    top = end + np.cumsum(new) * (1 << PLACE)
+    new[1:] |= start[1:] + np.cumsum(new)[1:] * (1 << PLACE) > np.maximum.accumulate(top)[:-1]
+    first = np.flatnonzero(new)
+    if not len(first):
+        return np.zeros((0, 5), np.int64)
+    chains = np.stack((row[first], start[first], np.maximum.reduceat(end, first), ref_doc[first], start[first] + shift[first]), 1)
+    chains = chains[np.lexsort((-chains[:, 2], chains[:, 1], chains[:, 0]))]
+    out, best, reach, at = [], None, 0, -1
+    listed = chains[:, :3].tolist()
+    for i, (r, s, e) in enumerate(listed):
+        if r != at:
+            if best is not None:
+                out.append(best)
+            best, reach, at = None, -1, r
+        if s > reach and best is not None:
+            out.append(best)
+            best, reach = None, listed[best][2]
+        if s > reach:
+            out.append(i)
+            reach = e
+        elif e > reach and (best is None or e > listed[best][2]):
+            best = i
+    if best is not None:
+        out.append(best)
+    return chains[out]
+
+
+def _kept(raw: bytes, runs: WordRuns, stay: np.ndarray) -> bytes:
+    """The words that stay, joined by one space; runs parted by one space already are copied as they are."""
+    if not len(stay):
+        return b""
+    data = runs.data
+    new = np.ones(len(stay), bool)
+    gap = runs.ends[stay[:-1]]
+    new[1:] = (np.diff(stay) != 1) | (runs.starts[stay[1:]] - gap != 1) | (data[np.minimum(gap, len(data) - 1)] != 0x20)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    return [(int(start[a]), int(end[b]), int(ref_doc[a]), int(ref_start[a])) for a, b in zip(first, last, strict=True)]
+    last = np.append(first[1:], len(stay)) - 1
+    return b" ".join([raw[s:e] for s, e in zip(runs.starts[stay[first]].tolist(), runs.ends[stay[last]].tolist(), strict=True)])
 
 
-def remove_duplicates(documents: DataFrame, columns: str = "kept_sha256") -> DataFrame:
+def remove_duplicates(documents: DataFrame, columns: list[str] | tuple[str, ...] = ("kept_sha256",)) -> DataFrame:
     """doc_id, n_words, n_removed, n_factors, and of `columns` any of kept_sha256, kept (the words that stay, joined by
-    one space; null for null texts) and other columns of the documents."""
-    wanted = columns.split()
-    others = [c for c in wanted if c not in ("kept", "kept_sha256")]
-    spans = duplicate_spans(documents)
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "ref_doc", "ref_start")).alias("spans"))
-    joined = documents.select(*dict.fromkeys(["doc_id", "text", *others])).join(by_doc, "doc_id", "left")
-    kinds = {"kept": "string", "kept_sha256": "string"} | {c: documents.schema[c].dataType.simpleString() for c in others}
-    schema = "doc_id long, n_words long, n_removed long, n_factors long, " + ", ".join(f"`{c}` {kinds[c]}" for c in wanted)
+    one space; null for null texts), cut (the same, but the text itself where nothing is removed) and, as a struct named
+    documents, other columns of the documents."""
+    kinds = {"kept": "string", "cut": "string", "kept_sha256": "string"}
+    others = [c for c in columns if c not in kinds]
+    spans = duplicate_spans(documents).withColumn("version", F.shiftright("place", PLACE)).withColumn("place", F.col("place").bitwiseAND(F.lit((1 << PLACE) - 1)))
+    by_doc = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).agg(F.collect_list(F.struct("place", "size", "ref_doc", "ref_place")).alias("_spans"))
+    rows = documents.select("doc_id", "text", carried(documents, others))
+    joined_ = rows.join(by_doc, (F.col("doc_id") == F.col("_doc")) & (_version("text") == F.col("_version")), "left").drop("_doc", "_version")
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, n_factors long" + "".join(f", {c} {kinds[c]}" for c in columns if c in kinds))
+    if others:
+        schema.add(rows.schema["documents"])
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            null = pc.is_null(batch.column("text")).to_pylist()
+            null, has_id = pc.is_null(batch.column("text")).to_pylist(), pc.is_valid(batch.column("doc_id")).to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy()
             for a, b, data, offsets in slices(batch.column("text")):
-                blocks = Blocks(data, offsets)
-                starts, ends, rows = words(data, offsets)
-                change = np.zeros(len(starts) + 1, np.int64)
-                if len(blocks.hash):  # what repeats within its own document, but never in rows without doc_id
-                    has_id = np.array([x.is_valid for x in batch.column("doc_id")[a:b]])
-                    own = blocks.repeated & has_id[blocks.row]
-                    np.add.at(change, blocks.first[own], 1)
-                    np.add.at(change, blocks.first[own] + blocks.size[own] + WINDOW - 1, -1)
-                lists = batch.column("spans")[a:b]
-                found = lists.flatten()
-                owner = np.repeat(np.arange(b - a), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-                start, size = found.field("start").to_numpy(), found.field("size").to_numpy()
-                np.add.at(change, rows[owner] + start, 1)
-                np.add.at(change, np.minimum(rows[owner] + start + size, rows[owner + 1]), -1)
+                runs = WordRuns(data, offsets)
+                lists = batch.column("_spans")[a:b]
+                found, owner = lists.flatten(), np.repeat(np.arange(b - a), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                copies = [[owner], *([found.field(c).to_numpy().astype(np.int64)] for c in ("place", "size", "ref_doc", "ref_place"))]
+                for blocks in _blocks(runs):  # and what repeats within its own document, but never in rows without doc_id
+                    own = np.flatnonzero((blocks.before >= 0) & has_id[a:b][blocks.row])
+                    for x, more in zip(copies, (blocks.row, blocks.place, blocks.size + WINDOW - 1, ids[a:b][blocks.row], blocks.before), strict=True):
+                        x.append(more[own])
+                row, start, end, *_ = (parse := factors(*map(np.concatenate, copies))).T
+                rows = runs.rows
+                change = np.bincount(rows[row] + start, minlength=len(runs.starts) + 1) - np.bincount(rows[row] + end, minlength=len(runs.starts) + 1)
                 gone = np.cumsum(change[:-1]) > 0
-                source, place = found.field("ref_doc").to_numpy(zero_copy_only=False), found.field("ref_start").to_numpy(zero_copy_only=False)
-                copied = ~np.isnan(source.astype(float))
-                n_factors = np.zeros(b - a, np.int64)
-                for row in np.unique(owner[copied]).tolist():
-                    own = copied & (owner == row) if b - a == 1 else np.flatnonzero(copied)[slice(*np.searchsorted(owner[copied], (row, row + 1)))]
-                    n_factors[row] = len(factors(start[own].astype(np.int64), size[own].astype(np.int64), source[own], place[own]))
                 removed = np.concatenate(([0], np.cumsum(gone)))
-                raw, texts = data.tobytes(), []
-                for r, (i, j) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)):
-                    stay = np.flatnonzero(~gone[i:j]) + i
-                    # runs of kept words that are parted by one space already go as they are
-                    texts.append(b" ".join([raw[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)]))
-                out = {"doc_id": batch.column("doc_id")[a:b], "n_words": np.diff(rows), "n_removed": np.diff(removed[rows]), "n_factors": n_factors}
-                for c in wanted:
-                    if c == "kept_sha256":
-                        out[c] = [hashlib.sha256(t).hexdigest() for t in texts]
-                    elif c == "kept":
-                        out[c] = pa.array([None if null[a + r] else t.decode() for r, t in enumerate(texts)], pa.string())
-                    else:
-                        out[c] = batch.column(c)[a:b]
+                raw = data.tobytes()
+                texts = [_kept(raw, runs, np.flatnonzero(~gone[i:j]) + i) for i, j in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+                out = {"doc_id": batch.column("doc_id")[a:b], "n_words": np.diff(rows), "n_removed": np.diff(removed[rows]), "n_factors": np.bincount(parse[:, 0], minlength=b - a), "documents": batch.column("documents")[a:b]}
+                if "kept_sha256" in columns:
+                    out["kept_sha256"] = [hashlib.sha256(t).hexdigest() for t in texts]
+                if "kept" in columns:
+                    out["kept"] = pa.array([None if null[a + r] else t.decode() for r, t in enumerate(texts)], pa.string())
+                if "cut" in columns:
+                    same = pa.array(out["n_removed"] == 0)
+                    out["cut"] = pc.if_else(same, batch.column("text")[a:b], pa.array([b"" if k else t for k, t in zip(same.to_pylist(), texts, strict=True)], pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_pydict(out)
 
-    return joined.transform(map_arrow, cleaned, schema)
+    return joined_.transform(map_arrow, cleaned, schema)

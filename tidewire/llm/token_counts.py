@@ -11,6 +11,11 @@ A byte-level BPE tokenizer is compiled into two deterministic transducers.
    the tokens it emits (the change in the count of the prefix's encoding). A token can follow another in an encoding
    exactly if encoding both together gives both, so the last token of each prefix is unique. States and transitions
    are compiled when first needed and kept for the worker's life, all pieces of a slice step through them together.
+   A long piece is cut into chunks that step together too, each from the state that the bytes before it suggest; where
+   the chunk before ends in another state, the chunk is run again from that one.
+
+What a piece emits is kept by the piece's bytes (a hash finds them, and they are compared). A long row is taken in
+parts, parted where a piece begins whatever comes before.
 
 Special strings in texts count one token each, as the tokenizers library does by default. Null texts are empty: no
 tokens. Texts are counted whole, whatever their length.
@@ -27,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewire.llm.common import map_arrow
-from tidewire.llm.textscan import KeyTable, byte_hashes, slices
+from tidewire.llm.chunks import PieceCache, parts
+from tidewire.llm.textscan import SLICE_BYTES, byte_hashes, eights, slices
 
-#: Distinct pieces whose counts are kept, and compiled states; beyond these numbers they are dropped and made anew.
-MAX_PIECES = 1_000_000
-MAX_STATES = 150_000
+#: Distinct pieces whose counts are kept, and compiled states; when there are more, the less used half goes.
+MAX_PIECES = 300_000
+MAX_STATES = 120_000
+#: Longer pieces are cut into chunks of CHUNK bytes; so many bytes before a chunk suggest its first state.
+CHUNK, WARM = 1024, 192
 
 FRESH, LETTERS, NUMBERS, OTHERS, BLANKS, AHEAD, ONE_MORE, TWO_MORE = range(8)
 #: Symbols: a letter, number or other character; an apostrophe that begins a one- or two-letter ending; white space
@@ -168,15 +176,38 @@ class MergeTransducer:
     def __init__(self, tokens: dict[bytes, int], ranks: dict[tuple[bytes, bytes], int]):
         self.tokens, self.ranks = tokens, ranks
         self.prefixes = {t[:k] for t in tokens for k in range(1, len(t) + 1)}
-        self.follows = lru_cache(400_000)(self._follows)
+        self.follows = lru_cache(200_000)(self._follows)
         self.alone = lru_cache(100_000)(lambda t: len(self._merge(t)) == 1)
         self.clear()
 
     def clear(self) -> None:
         start = (b"", ((0, b""),))
         self.numbers, self.states = {start: 0}, [start]
+        self.shared: dict = {}  # one object for each suffix and for each place that several states have
         #: Next state in the low 24 bits, emitted tokens + 64 above; -1 where not compiled.
         self.table = np.full((1 << 12, 256), -1, np.int32)
+        self.visits = np.zeros(1 << 12, np.int64)
+
+    def halve(self) -> None:
+        """Keeps the half of the states that were passed most often; what led to others is compiled again."""
+        n = len(self.states)
+        rank = self.visits[:n].copy()
+        rank[0] = 1 << 62
+        kept = np.sort(np.argsort(-rank, kind="stable")[: n // 2])
+        number = np.full(n, -1, np.int32)
+        number[kept] = np.arange(len(kept), dtype=np.int32)
+        table = self.table[kept]
+        to = number[np.where(table < 0, 0, table & 0xFFFFFF)]
+        table = np.where((table < 0) | (to < 0), -1, to | (table >> 24) << 24)
+        self.table = np.full((max(1 << 12, len(kept)), 256), -1, np.int32)
+        self.table[: len(kept)] = table
+        self.states = [self.states[i] for i in kept.tolist()]
+        self.numbers = {s: i for i, s in enumerate(self.states)}
+        self.shared = {p: p for _, places in self.states for p in places if p}
+        self.visits = np.zeros(len(self.table), np.int64)
+
+    def _one(self, x):
+        return self.shared.setdefault(x, x)
 
     def _merge(self, text: bytes) -> list[bytes]:
         parts = [text[i : i + 1] for i in range(len(text))]
@@ -210,23 +241,52 @@ class MergeTransducer:
         while text and text not in self.prefixes:
             text, now = text[1:], now[1:]
         # only places from which a token may still grow matter
-        key = (text, tuple((p[0] - count, p[1]) if text[i:] in self.prefixes or i == len(text) else None for i, p in enumerate(now)))
+        key = (text, tuple(self._one((p[0] - count, p[1])) if text[i:] in self.prefixes or i == len(text) else None for i, p in enumerate(now)))
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
             if number >= len(self.table):
-                self.table = np.concatenate((self.table, np.full_like(self.table, -1)))
+                self.table = np.concatenate((self.table, np.full((len(self.table) // 2, 256), -1, np.int32)))
+                self.visits = np.concatenate((self.visits, np.zeros(len(self.table) - len(self.visits), np.int64)))
         self.table[state, byte] = number | (count + 64) << 24
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each piece; all pieces step together, the longest stay to the end."""
-        if len(self.states) > MAX_STATES:
-            self.clear()
+        """Tokens of each piece."""
+        long = np.flatnonzero(ends - starts > 2 * CHUNK)
+        if not len(long):
+            return self._run(data, starts, ends, np.zeros(len(starts), np.int64))[0]
+        short = np.flatnonzero(ends - starts <= 2 * CHUNK)
+        out = np.zeros(len(starts), np.int64)
+        out[short] = self._run(data, starts[short], ends[short], np.zeros(len(short), np.int64))[0]
+        for i in long.tolist():
+            out[i] = self._chunked(data, int(starts[i]), int(ends[i]))
+        return out
+
+    def _chunked(self, data: np.ndarray, start: int, end: int) -> int:
+        """Tokens of one long piece."""
+        total, now = 0, 0  # the state in which the last chunk ended
+        for a in range(start, end, CHUNK * 1024):
+            begin = np.arange(a, min(a + CHUNK * 1024, end), CHUNK)
+            first = self._run(data, np.maximum(begin - WARM, start), begin, np.zeros(len(begin), np.int64))[1]
+            emitted, last = self._run(data, begin, np.minimum(begin + CHUNK, end), first)
+            named = [self.states[q] for q in first.tolist()], [self.states[q] for q in last.tolist()]
+            for k, (suggested, ended) in enumerate(zip(*named, strict=True)):
+                if suggested == self.states[now]:
+                    total += int(emitted[k])
+                    now = self.numbers[ended]
+                else:
+                    again, state = self._run(data, begin[k : k + 1], np.minimum(begin[k : k + 1] + CHUNK, end), np.array([now]))
+                    total, now = total + int(again[0]), int(state[0])
+        return total
+
+    def _run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens emitted, last state) of each run of bytes from its first state; all step together, the longest stay
+        to the end."""
         sizes = ends - starts
         order = np.argsort(-sizes, kind="stable")
         at, left = starts[order], np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), "left")
-        state, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        state, total = first[order], np.zeros(len(at), np.int64)
         for k, n in enumerate(left.tolist()):
             byte, now = data[at[:n] + k], state[:n]
             move = self.table[now, byte]
@@ -237,9 +297,10 @@ class MergeTransducer:
                 move[new] = self.table[now[new], byte[new]]
             state[:n] = move & 0xFFFFFF
             total[:n] += (move >> 24) - 64
-        out = np.empty_like(total)
-        out[order] = total
-        return out
+            np.add.at(self.visits, state[:n], 1)
+        out, last = np.empty_like(total), np.empty_like(state)
+        out[order], last[order] = total, state
+        return out, last
 
 
 class TokenCounter:
@@ -259,28 +320,40 @@ class TokenCounter:
         tokens = {raw(t): i for t, i in model["vocab"].items() if all(c in byte for c in t)}
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = MergeTransducer(tokens, {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)})
-        self.seen, self.outputs = KeyTable(), np.zeros(1 << 16, np.int64)
+        self.seen, self.outputs = PieceCache(), np.zeros(1 << 12, np.int32)
 
     def _piece_counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """What the transducer emits over each piece; a piece that came before isn't run again."""
-        keys = byte_hashes(data, starts, ends)
+        view, sizes = eights(data), ends - starts
+        keys = byte_hashes(data, starts, ends, view=view)
         keys[keys == 0] = 1
-        if self.seen.count > MAX_PIECES:
-            self.seen = KeyTable()
-        number = self.seen.lookup(keys)
-        new = np.flatnonzero(number < 0)
+        if self.seen.known.count > MAX_PIECES:
+            self.seen, kept = self.seen.halve()
+            self.outputs = self.outputs[kept]
+        if len(self.merges.states) > MAX_STATES:
+            self.merges.halve()
+        number = self.seen.find(keys, view, starts, sizes)
+        new = np.flatnonzero(number == -1)
         if len(new):
             distinct, sample = np.unique(keys[new], return_index=True)
-            first = self.seen.count
+            one, first = new[sample], self.seen.known.count
             while len(self.outputs) < first + len(distinct):
-                self.outputs = np.concatenate((self.outputs, self.outputs))
-            self.outputs[first : first + len(distinct)] = self.merges.counts(data, starts[new[sample]], ends[new[sample]])
-            self.seen.add(distinct)
-            number[new] = self.seen.lookup(keys[new])
-        return self.outputs[number]
+                self.outputs = np.concatenate((self.outputs, np.zeros_like(self.outputs)))
+            self.outputs[first : first + len(distinct)] = self.merges.counts(data, starts[one], ends[one])
+            self.seen.add(distinct, data, starts[one], sizes[one])
+            number[new] = self.seen.find(keys[new], view, starts[new], sizes[new])
+        out, lone = self.outputs[number].astype(np.int64), np.flatnonzero(number < 0)
+        out[lone] = self.merges.counts(data, starts[lone], ends[lone])
+        return out
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each row."""
+        if len(data) <= 2 * SLICE_BYTES or len(offsets) > 2 or any(b" " in s for s in self.special):
+            return self._count(data, offsets)
+        # before a space that follows a plain character and goes before another one, a piece begins in every state
+        return np.array([sum(int(self._count(data[a:b], np.array([0, b - a]))[0]) for a, b in parts(data, "lone space"))])
+
+    def _count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         text = data.tobytes()
         found = []
         for special in self.special:

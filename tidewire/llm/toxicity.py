@@ -1,15 +1,18 @@
 """Operator 6: toxicity by multiple-instance learning.
 
-A document is a bag of sentences; only documents carry labels. A sentence scores p = sigmoid(b + sum of its features'
-weights); the document scores 1 - product of (1 - p) over its sentences (noisy-or), and b and the weights are trained
-from document labels through that product. The sentences that make a document toxic are then those with a high p.
+A document is a bag of sentences; only documents carry labels. A sentence that has features scores p = sigmoid(b + sum
+of their weights), any other 0; the document scores 1 - (1 - leak) * product of (1 - p) over its sentences (noisy-or),
+and b, the leak and the weights are trained from document labels through that product. The leak is a document's, not a
+sentence's, so that sentences without evidence never add up, however many. The sentences that make a document toxic are
+those with a high p.
 
-Features are a sentence's lower-case words and the first four and five bytes of each, by hash. Kept are those whose
-documents are toxic too often for chance, given how many features there are, at most MAX_FEATURES.
+Features are a sentence's lower-case words and the first four and five bytes of each, by hash. Kept are all those whose
+documents are toxic too often for chance, given how many features there are.
 
 The fit uses at most SAMPLE labelled documents of each label (those with the smallest hash of doc_id), their texts whole;
-scoring covers every whole text. Null and empty texts count as one empty sentence. Repeated
-rows score alike, and doc_id, lang, source and labels are no features. Without labelled rows every score is low.
+scoring covers every whole text, a long one in parts that end where a sentence does. Null and empty texts count as one
+empty sentence. Repeated rows score alike, and doc_id, lang, source and labels are no features. Without labelled rows
+every score is low.
 """
 
 from __future__ import annotations
@@ -22,15 +25,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidewire.llm.common import map_arrow, written
-from tidewire.llm.textscan import _BYTE_CODES, _BYTE_POWERS, KeyTable, prefix, slices, span_hash
+from tidewire.llm.common import carried, map_arrow, written
+from tidewire.llm.textscan import SLICE_BYTES, KeyTable, _runs, byte_hashes, eights, slices
 
-SAMPLE, MAX_FEATURES = 3000, 4000
+#: Labelled documents of each label that the fit uses at most.
+SAMPLE = 3000
 #: Parts in which the sampled documents are read.
 PARTS = 12
-#: Where b starts; it only falls, lest the many sentences of a long clean document add up to a toxic one.
-BIAS = -11.0
+#: Where b and the leak's logit start; they only fall, lest the many sentences of a long clean document that have weak
+#: features add up to a toxic one.
+BIAS, LEAK = -11.0, -5.0
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -46,28 +52,45 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(data)
     row = np.zeros(n + 1, bool)
     row[offsets] = True
-    inside = _LETTERS[data]
-    starts = np.flatnonzero(inside & (row[:-1] | ~np.concatenate(([False], inside[:-1]))))
-    ends = np.flatnonzero(inside & (row[1:] | ~np.concatenate((inside[1:], [False])))) + 1
+    starts, ends = _runs(_LETTERS, data, offsets)
     begins = row[:-1].copy()
     begins[1:] |= _STOPS[data[:-1]]
     bounds = np.sort(np.concatenate((np.flatnonzero(begins), offsets[:-1][np.diff(offsets) == 0])))  # an empty row has one too
     sentence = np.searchsorted(bounds, starts, "right") - 1
-    sums = prefix(_BYTE_CODES[data], _BYTE_POWERS)
-    keys, owners = [span_hash(sums, starts, ends, _BYTE_POWERS)], [sentence]
+    view = eights(data)
+    keys, owners = [byte_hashes(data, starts, ends, view=view)], [sentence]
     for size in (4, 5):
         long = ends - starts > size
-        keys.append(span_hash(sums, starts[long], starts[long] + size, _BYTE_POWERS) ^ np.uint64(size << 56))
+        keys.append(byte_hashes(data, starts[long], starts[long] + size, size, view))
         owners.append(sentence[long])
     per_row = np.maximum(np.diff(np.searchsorted(np.flatnonzero(begins), offsets)), 1)
     return np.concatenate(keys), np.concatenate(owners), np.append(bounds, n), np.concatenate(([0], np.cumsum(per_row)))
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets, first byte): the slice itself, or the parts of one long row, which end where a sentence does."""
+    if len(offsets) > 2 or len(data) <= 2 * SLICE_BYTES:
+        yield data, offsets, 0
+        return
+    a = 0
+    while a < len(data):
+        b = a + SLICE_BYTES
+        while b < len(data):
+            stops = np.flatnonzero(_STOPS[data[b - 1 : b - 1 + SLICE_BYTES]])
+            b += int(stops[0]) if len(stops) else SLICE_BYTES
+            if len(stops):
+                break
+        b = min(b, len(data))
+        yield data[a:b], np.array([0, b - a]), a
+        a = b
+
+
 @dataclass
 class Model:
     keys: np.ndarray
     weights: np.ndarray
     bias: float
+    leak: float
 
     def table(self) -> KeyTable:
         table = KeyTable()
@@ -80,12 +103,23 @@ class Model:
         at = table.lookup(keys)
         hit = at >= 0
         z = self.bias + np.bincount(owner[hit], self.weights[at[hit]], len(bounds) - 1)
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60))), bounds, rows
-
-
-def _noisy_or(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    sums = np.concatenate(([0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-9)))))
-    return np.clip(-np.expm1(sums[rows[1:]] - sums[rows[:-1]]), 0, 1)
+        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        p[np.bincount(owner[hit], minlength=len(p)) == 0] = 0.0
+        return p, bounds, rows
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray, table: KeyTable) -> tuple[np.ndarray, ...]:
+        """(score of each row, number of its sentences, byte bounds of the first of those with the highest p)."""
+        log, n, top = np.full(len(offsets) - 1, np.log1p(-self.leak)), np.zeros(len(offsets) - 1, np.int64), np.full(len(offsets) - 1, -1.0)
+        start, end = offsets[:-1].copy(), offsets[:-1].copy()
+        for part, at, first in _parts(data, offsets):
+            p, bounds, rows = self.sentences(part, at, table)
+            sums = np.concatenate(([0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-9)))))
+            log += sums[rows[1:]] - sums[rows[:-1]]
+            n += np.diff(rows)
+            worst = np.array([r + int(np.argmax(p[r:e])) for r, e in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)], np.int64)
+            better = p[worst] > top
+            top[better], start[better], end[better] = p[worst][better], first + bounds[worst][better], first + bounds[worst + 1][better]
+        return np.clip(-np.expm1(log), 0, 1), n, start, end
 
 
 def _evidence(d1: np.ndarray, d0: np.ndarray, prior: float) -> np.ndarray:
@@ -101,66 +135,83 @@ def _evidence(d1: np.ndarray, d0: np.ndarray, prior: float) -> np.ndarray:
 def _prune(keys: np.ndarray, d1: np.ndarray, d0: np.ndarray, n1: int, n0: int, features: int) -> tuple[np.ndarray, np.ndarray]:
     """(kept keys in order, weights to start from), given in how many documents of each label each key is."""
     evidence = _evidence(d1, d0, n1 / (n1 + n0))
-    kept = np.argsort(-evidence, kind="stable")[:MAX_FEATURES]
-    kept = kept[evidence[kept] >= np.log(max(features, 1)) - 1]
+    kept = np.flatnonzero(evidence >= np.log(max(features, 1)) - 1)
     kept = kept[np.argsort(keys[kept])]
     return keys[kept], np.log((d1[kept] + 0.5) / n1 / ((d0[kept] + 0.5) / n0)) / 2
 
 
-def _learn(keys: np.ndarray, start: np.ndarray, labels: np.ndarray, sentences: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, rounds: int = 600, l2: float = 1e-3) -> Model:
-    """Adam on the mean log loss of the bags. labels and number of sentences of each document; document, sentence and
-    feature of each occurrence. Sentences without kept features share sigmoid(b)."""
+def _learn(keys: np.ndarray, start: np.ndarray, labels: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, rounds: int = 600, l2: float = 1e-3) -> Model:
+    """Adam on the mean log loss of the bags. labels of the documents; document, sentence and feature of each occurrence."""
     used, sentence = np.unique(doc * (1 << 32) + sentence, return_inverse=True)
     doc = used >> 32
-    plain = sentences - np.bincount(doc, minlength=len(labels))
-    theta = np.append(start, BIAS)
+    theta = np.concatenate((start, [BIAS, LEAK]))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
-        p0 = 1 / (1 + np.exp(-theta[-1]))
-        p = 1 / (1 + np.exp(-np.clip(theta[-1] + np.bincount(sentence, theta[feature], len(used)), -60, 60)))
-        s = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(labels)) + plain * np.log1p(-p0)
+        leak = 1 / (1 + np.exp(-theta[-1]))
+        p = 1 / (1 + np.exp(-np.clip(theta[-2] + np.bincount(sentence, theta[feature], len(used)), -60, 60)))
+        s = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(labels)) + np.log1p(-leak)
         pull = np.where(labels == 1, -np.exp(s) / np.maximum(-np.expm1(s), 1e-9), 1.0) / len(labels)
         dz = pull[doc] * p
-        weights = np.bincount(feature, dz[sentence], len(start)) + l2 * theta[:-1] / max(len(start), 1)
-        grad = np.append(weights, dz.sum() + (pull * plain).sum() * p0)
+        weights = np.bincount(feature, dz[sentence], len(start)) + l2 * theta[:-2] / max(len(start), 1)
+        grad = np.concatenate((weights, [dz.sum(), pull.sum() * leak]))
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad * grad
         theta -= 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
-        theta[-1] = min(theta[-1], BIAS)
-    return Model(keys, theta[:-1], float(theta[-1]))
+        theta[-2:] = np.minimum(theta[-2:], [BIAS, LEAK])
+    return Model(keys, theta[:-2], float(theta[-2]), float(1 / (1 + np.exp(-theta[-1]))))
 
 
-def _slices_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first document, key, document and sentence in it of each feature, sentences of each document), slice by slice."""
-    for a, _, data, offsets in slices(pc.utf8_lower(texts)):
-        keys, owner, _, rows = _features(data, offsets)
-        doc = np.searchsorted(rows, owner, "right") - 1
-        yield a, keys, doc, owner - rows[doc], np.diff(rows)
+def _slices_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first document, end document, key, document and sentence of each feature), slice by slice; a long document comes
+    in several parts."""
+    for a, b, data, offsets in slices(pc.utf8_lower(texts)):
+        before = 0
+        for part, at, _ in _parts(data, offsets):
+            keys, owner, _, rows = _features(part, at)
+            doc = np.searchsorted(rows, owner, "right") - 1
+            yield a, b, keys, a + doc, owner - rows[doc] + before
+            before += int(rows[-1])
 
 
 def _key_counts(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, toxic documents, other documents that have them), of each slice one after another."""
-    out = []
-    for a, keys, doc, _, _ in _slices_of(texts):
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    part_keys: list[np.ndarray] = []
+    last = -1
+
+    def add(keys: np.ndarray, doc: np.ndarray) -> None:
         order = np.lexsort((doc, keys))
         keys, doc = keys[order], doc[order]
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))[: len(keys)]
         distinct, at = np.unique(keys[new], return_inverse=True)
-        hit = toxic[a + doc[new]]
-        d1 = np.bincount(at, hit, len(distinct)).astype(np.int64)
+        d1 = np.bincount(at, toxic[doc[new]], len(distinct)).astype(np.int64)
         out.append((distinct, d1, np.bincount(at, minlength=len(distinct)) - d1))
+
+    def finish() -> None:
+        if part_keys:
+            keys = np.unique(np.concatenate(part_keys))
+            part_keys.clear()
+            add(keys, np.full(len(keys), last))
+
+    for a, b, keys, doc, _ in _slices_of(texts):
+        if last != a:
+            finish()
+        last = a
+        if b - a > 1:
+            add(keys, doc)
+        else:  # maybe one of several parts of one document, which counts once
+            part_keys.append(np.unique(keys))
+    finish()
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
 
 
-def _occurrences(texts: pa.Array, table: KeyTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sentences of each document; document, sentence and feature of each occurrence of a kept key)."""
-    sentences, found = [], []
-    for a, keys, doc, sentence, n in _slices_of(texts):
+def _occurrences(texts: pa.Array, table: KeyTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, sentence and feature of each occurrence of a kept key)."""
+    found = [(np.zeros(0, np.int64),) * 3]
+    for _, _, keys, doc, sentence in _slices_of(texts):
         at = table.lookup(keys)
         hit = at >= 0
-        sentences.append(n)
-        found.append((a + doc[hit], sentence[hit], at[hit]))
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(sentences), *(np.concatenate(x) for x in zip(*found, strict=True))) if sentences else (empty,) * 4
+        found.append((doc[hit], sentence[hit], at[hit]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _numbered(keys: np.ndarray) -> KeyTable:
@@ -172,7 +223,7 @@ def _numbered(keys: np.ndarray) -> KeyTable:
 def _without_labels(labels: np.ndarray) -> Model | None:
     if len(labels) and labels.min() != labels.max():
         return None
-    return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0 if len(labels) and labels[0] == 1 else BIAS)
+    return Model(np.zeros(0, np.uint64), np.zeros(0), BIAS, 0.5 if len(labels) and labels[0] == 1 else 1 / (1 + np.exp(-LEAK)))
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model:
@@ -216,44 +267,42 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     d, share = F.col("d1") + F.col("d0"), F.col("d1") / (F.col("d1") + F.col("d0"))
     clean = F.when(F.col("d0") > 0, (1 - share) * F.log((1 - share) / (1 - prior))).otherwise(0.0)
     toxic = F.when(F.col("d1") > 0, share * F.log(F.when(F.col("d1") > 0, share).otherwise(1.0) / prior)).otherwise(0.0)
-    top = counts.filter(share > prior).withColumn("e", d * (toxic + clean)).orderBy(F.desc("e"), "key").limit(MAX_FEATURES).toArrow()
+    # a little less than _prune asks for, which decides
+    top = counts.filter(share > prior).withColumn("e", d * (toxic + clean)).filter(F.col("e") >= float(np.log(max(features, 1)) - 1.001)).toArrow()
     keys, start = _prune(top["key"].to_numpy().view(np.uint64), top["d1"].to_numpy(), top["d0"].to_numpy(), n1, n0, features)
 
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _numbered(keys)
         for batch in batches:
-            n, doc, sentence, feature = _occurrences(batch.column("text"), table)
+            doc, sentence, feature = _occurrences(batch.column("text"), table)
             order = np.argsort(doc, kind="stable")
-            bounds = pa.array(np.searchsorted(doc[order], np.arange(len(n) + 1)).astype(np.int32))
+            bounds = pa.array(np.searchsorted(doc[order], np.arange(len(batch) + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order].astype(np.int32))) for x in (sentence, feature)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "n": n, "sentence": lists[0], "feature": lists[1]})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "sentence": lists[0], "feature": lists[1]})
 
-    got = chosen.transform(map_arrow, occurring, "doc_id long, toxic int, n long, sentence array<int>, feature array<int>").toArrow().sort_by("doc_id")
+    got = chosen.transform(map_arrow, occurring, "doc_id long, toxic int, sentence array<int>, feature array<int>").toArrow().sort_by("doc_id")
     doc = np.repeat(np.arange(len(got)), pc.list_value_length(got["sentence"]).to_numpy())
     flat = [pc.list_flatten(got[c]).to_numpy().astype(np.int64) for c in ("sentence", "feature")]
-    return _learn(keys, start, got["toxic"].to_numpy(), got["n"].to_numpy(), doc, *flat)
+    return _learn(keys, start, got["toxic"].to_numpy(), doc, *flat)
 
 
-def score_documents(documents: DataFrame, model: Model, others: str = "") -> DataFrame:
-    """Adds score, n_sentences, worst_start and worst_end (characters of the worst sentence in the lower-cased text)
-    to doc_id and the columns named in others."""
-    names = ["doc_id", *others.split()]
-    schema = ", ".join(f"`{n}` {documents.schema[n].dataType.simpleString()}" for n in names)
+def score_documents(documents: DataFrame, model: Model, others: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score, n_sentences, worst_start and worst_end (characters of the worst sentence in the lower-cased text)
+    and, of the columns named in others, text and the rest as a struct named documents."""
+    rows = documents.select("doc_id", "text", carried(documents, others))
+    schema = StructType([rows.schema["doc_id"]]).add("score", "double").add("n_sentences", "long").add("worst_start", "long").add("worst_end", "long")
+    for name in ("text", "documents") if others else ():
+        schema.add(rows.schema[name])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in batches:
-            column = pc.utf8_lower(batch.column("text"))
-            for a, b, data, offsets in slices(column):
-                p, bounds, rows = model.sentences(data, offsets, table)
-                worst = np.array([r + int(np.argmax(p[r:e])) for r, e in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)], np.int64)
-                chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                out = {n: batch.column(n)[a:b] for n in names}
-                out |= {"score": _noisy_or(p, rows), "n_sentences": np.diff(rows), "worst_start": chars[bounds[worst]] - chars[offsets[:-1]], "worst_end": chars[bounds[worst + 1]] - chars[offsets[:-1]]}
-                yield pa.RecordBatch.from_pydict(out)
-
-    chosen = documents.select(*dict.fromkeys([*names, "text"]))
-    return chosen.transform(map_arrow, scored, f"{schema}, score double, n_sentences long, worst_start long, worst_end long")
+            for a, b, data, offsets in slices(pc.utf8_lower(batch.column("text"))):
+                score, n, start, end = model.scores(data, offsets, table)
+                chars = [[int(((data[f:x] & 0xC0) != 0x80).sum()) for f, x in zip(offsets[:-1].tolist(), to.tolist(), strict=True)] for to in (start, end)]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[a:b], "score": score, "n_sentences": n, "worst_start": chars[0], "worst_end": chars[1], "text": batch.column("text")[a:b], "documents": batch.column("documents")[a:b]})
+
+    return rows.transform(map_arrow, scored, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
