@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import table, written
+from tidewire.llm.common import restored, table, written
 from tidewire.llm.minhash import near_duplicates
 from tidewire.llm.packing import pack_documents
 from tidewire.llm.queries import tokenizer_path
@@ -20,23 +20,28 @@ from tidewire.llm.toxicity import score_documents, train
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go. The model is trained on the labelled documents among docs."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    names = [c for c in docs.columns if c != "doc_id"]
-    return score_documents(docs, model, " ".join(names)).filter("score < 0.5").select(*docs.columns)
+    return restored(score_documents(docs, model, docs.columns).filter("score < 0.5"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one of smallest doc_id."""
+    """One document of each class of near duplicates stays, the one of smallest doc_id; of rows that repeat a doc_id, the
+    one of smallest text. Rows without doc_id stay."""
     gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, F.struct("text")).alias("documents"))
+    kept = one.join(gone, "doc_id", "left_anti").select("documents.*")
+    return kept.union(docs.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated 20-word windows go; a text that changes has its words joined by one space, others stay as
     they are. Texts may become empty; their rows stay."""
-    others = " ".join(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = remove_duplicates(docs, f"kept text {others}")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = remove_duplicates(docs, ["cut", *(c for c in docs.columns if c not in ("doc_id", "text"))])
+    changed = {"text": F.col("cut")}
+    if "n_chars" in docs.columns:
+        length = F.length("cut").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(F.col("documents").getField("n_chars"))
+    return restored(cut, docs.columns, **changed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
