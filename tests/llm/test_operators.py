@@ -330,29 +330,44 @@ def embeddings(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("cell", F.lit("x")), rows
 
 
+def plain_top_k(rows, k=5, every=50):
+    good = [(i, np.floor(256 * np.array(v, np.float64)).astype(object)) for i, v in rows if v and None not in v and np.isfinite(np.array(v, float)).all()]
+    good = [(i, [int(x) for x in v]) for i, v in good]
+    want = []
+    for n, (q, v) in enumerate(good):
+        if q % every == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w)), i) for m, (i, w) in enumerate(good) if m != n)[:k]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
 def test_top_k(spark, sf_dir):
     from tidewire.llm.topk import top_k
 
     df, rows = embeddings(spark)
-    for frame, data in ((df, rows), (table(spark, sf_dir, "embeddings"), None), (df.limit(0), [])):
-        data = [(r.vec_id, r.embedding, r.label) for r in frame.collect()] if data is None else data
-        good = [(i, np.floor(256 * np.array(v, np.float64))) for i, v, _ in data if v and None not in v and np.isfinite(np.array(v, float)).all()]
-        want = []
-        for q, v in good:
-            if q % 50 == 0:
-                best = sorted((-int(v @ w), i) for i, w in good if i != q)[:5]
-                want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    odd = [(50, [1.0] * 3), (50, [2.0] * 3), (50, [2.0] * 3), (51, [9e6, 1.0]), (52, [9e6, 2.0, 3.0]), (53, [-9e6]), (100, [float(i) for i in range(40)])]
+    for frame, data in ((df, [r[:2] for r in rows]), (df.limit(0), []), (spark.createDataFrame(odd, "vec_id long, embedding array<double>"), odd)):
         got = sorted(top_k(frame).select("query_id", "rank", "vec_id", "score").toPandas().itertuples(index=False, name=None))
-        assert got == sorted(want)
+        assert got == plain_top_k(data)
+    with pytest.raises(ValueError):
+        top_k(spark.createDataFrame([(1, [1e12])], "vec_id long, embedding array<double>"))
 
 
-def test_embedding_dedup(spark):
-    from tidewire.llm.embedding_dedup import near_duplicate_vectors
+def test_top_k_in_many_cells(spark, monkeypatch):
+    """Small cells: queries expand over annuli in rounds, and most cells are never searched."""
+    from tidewire.llm import topk
 
-    df, rows = embeddings(spark)
-    got = near_duplicate_vectors(df).toPandas().set_index("vec_id")
-    assert len(got) == len(rows)
-    good = [(i, np.array(v, float), label) for i, v, label in rows if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v) and label is not None]
+    monkeypatch.setattr(topk, "CELL", 40)
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(30, 4)) * 4)[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 4)) * 0.05
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(topk.top_k(frame, every=500).toPandas().itertuples(index=False, name=None))
+    assert got == plain_top_k(rows, every=500)
+
+
+def linked(rows, cosine=0.98):
+    """(number of links, smallest id that can be reached) by comparing all pairs of equal label and dimension."""
     links, root = Counter(), {i: i for i, _, _ in rows}
 
     def find(x):
@@ -360,22 +375,52 @@ def test_embedding_dedup(spark):
             x = root[x]
         return x
 
-    for n, (i, a, la) in enumerate(good):
-        for j, b, lb in good[n + 1 :]:
-            if la == lb and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.98:
-                links[i] += 1
-                links[j] += 1
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    total = sum(links.values())
-    assert total > 1000
-    assert all(got.loc[i, "n_links"] <= links[i] for i in root)
-    assert got.n_links.sum() >= 0.99 * total
-    assert (got.component_id == [find(i) for i in got.index]).mean() > 0.99
-    assert (got.kept == (got.component_id == got.index)).all()
+    alike = {}
+    for i, v, label in rows:
+        if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v) and label is not None:
+            alike.setdefault((label, len(v)), []).append((i, np.array(v, float)))
+    for group in alike.values():
+        ids, x = [i for i, _ in group], np.array([v for _, v in group])
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for i, j in np.argwhere(np.triu(x @ x.T >= cosine, 1)).tolist():
+            links[ids[i]] += 1
+            links[ids[j]] += 1
+            a, b = sorted((find(ids[i]), find(ids[j])))
+            root[b] = a
+    return links, {i: find(i) for i in root}
+
+
+def test_embedding_dedup(spark, sf_dir):
+    from tidewire.llm.embedding_dedup import near_duplicate_vectors
+
+    df, rows = embeddings(spark)
+    stored = table(spark, sf_dir, "embeddings")
+    mixed = [(i, [1.0, 0.0, 0.0001 * i], "a") for i in range(4)] + [(10 + i, [1.0, 1.0], "a") for i in range(2)] + [(20, [1.0, 0.0, 0.0], "b"), (21, [1e300, 0.0, 0.0], "a"), (22, [1e-300, 0.0, 0.0], "a")]
+    for frame, data in ((df, rows), (stored, [(r.vec_id, r.embedding, r.label) for r in stored.collect()]), (spark.createDataFrame(mixed, "vec_id long, embedding array<double>, label string"), mixed)):
+        got = near_duplicate_vectors(frame).toPandas().set_index("vec_id")
+        links, root = linked(data)
+        assert len(got) == len(data)
+        assert all(got.loc[i, "n_links"] <= links[i] for i in root)
+        assert got.n_links.sum() >= 0.99 * sum(links.values()) and (sum(links.values()) > 0 or frame is stored)
+        assert (got.component_id == [root[i] for i in got.index]).mean() > 0.99
+        assert (got.kept == (got.component_id == got.index)).all()
     assert near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_with_probes(spark, monkeypatch):
+    """The wide parts that tables of many vectors get, with every bit turned over once."""
+    from tidewire.llm import embedding_dedup as E
+
+    found = E._found
+    monkeypatch.setattr(E, "_found", lambda reps, model, width, tables, probes, cosine: found(reps, model, width, 4, 1, cosine))
+    df, rows = embeddings(spark)
+    got = E.near_duplicate_vectors(df).toPandas().set_index("vec_id")
+    links, _ = linked(rows)
+    assert all(got.loc[i, "n_links"] <= links[i] for i in got.index)
+    assert got.n_links.sum() >= 0.99 * sum(links.values()) > 1000
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 300)] + [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)]

@@ -21,6 +21,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def padded(vector: str, width: int) -> Column:
+    """The vector's first `width` components, zeros where it has fewer."""
+    return F.slice(F.concat(vector, F.array_repeat(F.lit(0).cast("float"), F.greatest(F.lit(width) - F.size(vector), F.lit(0)))), 1, width)
+
+
 def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
     """The runs of equal keys (integers) in batches sorted by them; what is held is one group and one batch."""
     held: list[pa.RecordBatch] = []
