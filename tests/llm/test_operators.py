@@ -55,7 +55,7 @@ def library(name):
 
 
 def test_token_files(spark, documents, tmp_path):
-    from tidewire.llm.token_files import read_documents, read_sequences, write_token_files
+    from tidewire.llm.token_files import TokenFile, read_documents, write_token_files
 
     tokenizer = library("word_bpe_49k.json")
     for n, df in enumerate(both(spark, documents)):
@@ -68,11 +68,24 @@ def test_token_files(spark, documents, tmp_path):
         assert got.start.tolist() == np.cumsum([0, *map(len, ids)])[:-1].tolist()
         assert got.ids_crc32.tolist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
         shards = manifest.orderBy("shard").collect()
-        flat = [i for s in shards for x, m in [read_sequences(s.ids_path)] for i in x[m].tolist()]
+        files = [TokenFile(s.ids_path) for s in shards]
+        assert [len(f) for f in files] == [s.n_sequences for s in shards]
+        flat = [t for f in files for i in range(len(f)) for t in f.sequence(i)[f.mask(i)].tolist()]
         assert flat == [i for x in ids for i in x]
-        if shards:
-            x, mask = read_sequences(shards[0].ids_path)
-            assert x.shape == mask.shape == (shards[0].n_sequences, 64)
+        for s, f in zip(shards, files):
+            at, size = f.batches[0].column("ids").values.buffers()[1].address, f.batches[0].column("ids").values.buffers()[1].size
+            x = f.sequence(0)
+            assert x.shape == f.mask(0).shape == (64,) and x.dtype == np.uint16 and not x.flags.owndata
+            assert at <= x.ctypes.data < at + size and any(int(a, 16) <= x.ctypes.data < int(b, 16) and s.ids_path.endswith(name) for a, b, name in maps())
+
+
+def maps():
+    """(first address, end address, file name) of the files mapped into memory."""
+    with open("/proc/self/maps") as f:
+        for line in f:
+            part = line.split()
+            if len(part) == 6 and part[5].startswith("/"):
+                yield *part[0].split("-"), part[5]
 
 
 def plain_url(url):
@@ -87,7 +100,7 @@ def test_url_filter(spark):
 
     urls = ["http://A.Example.NET/en/x?y://z", "https://example.net/de", "x://sub.example.com/de/", "http://example.com/de", "http://org", "http://org/fr/",
             "http://xorg/fr/", None, "", "no scheme", "http://net", "http://net/", "http://a.net?/en/", "http://a.org/fr/a#b", "http:///x"] * 2
-    pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string").withColumns({"hit": F.lit(1), "key": F.lit(2), "best": F.lit(3), "a b": F.lit(4)})
     rules = spark.createDataFrame(Q.URL_RULES, "host string, path string, verdict string")
     got = {r.page_id: r for r in filter_urls(pages, rules).collect()}
     assert len(got) == len(urls)

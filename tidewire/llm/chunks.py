@@ -215,6 +215,15 @@ def _flat(parts: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum())), sizes
 
 
+def largest_id(path: str) -> int:
+    """The largest id that a tokenizers file can give."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+
+
 @cache
 def json_tokenizer(path: str) -> PieceEncoder:
     """For a tokenizers file whose pieces can be cut as this module says; other pre-tokenizers are refused. One per

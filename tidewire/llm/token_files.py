@@ -4,9 +4,9 @@ Documents are dealt by ranges of doc_id and sorted, so the partitions in their o
 order. Each task encodes its documents and writes one shard of two Arrow stream files:
 
 - `*-ids.arrow`: one record batch per 1024 sequences, of columns `ids` (fixed-size list of unsigned integers, 16 bits
-  where the vocabulary allows, else 32) and `mask` (fixed-size list of booleans, false for the padding that fills the
-  shard's last sequence). Lists of fixed size have no offsets, so a memory-mapped file is one flat array of ids in
-  each batch: sequence i of it lies at i * sequence_length, without copying or decoding.
+  where the vocabulary allows, else 32) and `mask` (fixed-size list of bytes, 0 for the padding that fills the
+  shard's last sequence, else 1). Lists of fixed size have no offsets, so a memory-mapped file is one flat array of ids
+  in each batch: TokenFile gives sequence i and its mask as views of the file's memory, without copying or decoding.
 - `*-documents.arrow`: doc_id, start (ids of the shard before it), n_tokens.
 
 Shards whose task ran twice are told apart by the task attempt in their names; the manifest names those that count.
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.chunks import json_tokenizer
+from tidewire.llm.chunks import json_tokenizer, largest_id
 from tidewire.llm.common import map_arrow, shared_folder, text_of, written
 from tidewire.llm.textscan import slices
 
@@ -41,7 +41,7 @@ class _SequenceFile:
     def __init__(self, sink, length: int, kind: pa.DataType):
         self.length, self.kind, self.sequences, self.rest = length, kind, 0, []
         self.held = 0
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.writer = pa.ipc.new_stream(sink, self.schema)
 
     def add(self, ids: np.ndarray) -> None:
@@ -57,7 +57,7 @@ class _SequenceFile:
         for a in range(0, whole, step):
             part = ids[a : min(a + step, whole)].astype(self.kind.to_pandas_dtype())
             n = -(-len(part) // self.length)
-            mask = np.arange(n * self.length) < len(part)
+            mask = (np.arange(n * self.length) < len(part)).astype(np.uint8)
             part = np.concatenate((part, np.zeros(n * self.length - len(part), part.dtype)))
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)]
             self.writer.write_batch(pa.record_batch(arrays, schema=self.schema))
@@ -81,12 +81,12 @@ def _open(path: str, mode: str):
     return pa.memory_map(inner) if local else store.open_input_file(inner)
 
 
-def write_token_files(documents: DataFrame, tokenizer: str, folder: str, end_id: int, sequence_length: int = SEQUENCE_LENGTH, vocabulary: int = 1 << 16) -> DataFrame:
+def write_token_files(documents: DataFrame, tokenizer: str, folder: str, end_id: int, sequence_length: int = SEQUENCE_LENGTH) -> DataFrame:
     """Encodes and writes all documents; gives the manifest, one row per shard, in the order of doc_id.
 
     tokenizer: path of a tokenizers file; folder: where the shards go, any place pyarrow's file systems reach.
     """
-    kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+    kind = pa.uint16() if max(largest_id(tokenizer), end_id) < 1 << 16 else pa.uint32()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, file, encoder, rows, total = TaskContext.get(), None, json_tokenizer(tokenizer), [], 0
@@ -115,13 +115,30 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str, end_id:
     return written(dealt.transform(map_arrow, shard, MANIFEST))
 
 
-def read_sequences(ids_path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All sequences of a shard and their masks, as arrays over the file's own memory, batch by batch joined."""
-    batches = list(pa.ipc.open_stream(_open(ids_path, "r")))
-    length = batches[0].schema.field("ids").type.list_size
-    ids = [b.column("ids").flatten().to_numpy().reshape(-1, length) for b in batches]
-    mask = [b.column("mask").flatten().to_numpy(zero_copy_only=False).reshape(-1, length) for b in batches]
-    return (ids[0], mask[0]) if len(ids) == 1 else (np.concatenate(ids), np.concatenate(mask))
+class TokenFile:
+    """Random access to the sequences of one shard: each is a view of the memory-mapped file."""
+
+    def __init__(self, ids_path: str):
+        self.batches = list(pa.ipc.open_stream(_open(ids_path, "r")))
+        self.starts = np.concatenate(([0], np.cumsum([len(b) for b in self.batches])))
+
+    def __len__(self) -> int:
+        return int(self.starts[-1])
+
+    def _of(self, name: str, i: int) -> np.ndarray:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        k = int(np.searchsorted(self.starts, i, "right")) - 1
+        column = self.batches[k].column(name)
+        size = column.type.list_size
+        at = (i - int(self.starts[k])) * size
+        return column.values.to_numpy()[at : at + size]
+
+    def sequence(self, i: int) -> np.ndarray:
+        return self._of("ids", i)
+
+    def mask(self, i: int) -> np.ndarray:
+        return self._of("mask", i).view(bool)
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
@@ -146,7 +163,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                         while first + len(held) < s + n:
                             block = next(stream)
                             ids = block.column("ids").flatten().to_numpy()
-                            valid = block.column("mask").flatten().to_numpy(zero_copy_only=False)
+                            valid = block.column("mask").values.to_numpy().view(bool)
                             held, first = np.concatenate((held[s - first :], ids[valid].astype("<u4"))), s
                         crcs.append(zlib.crc32(held[s - first : s - first + n].tobytes()))
                     yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "start": start + row["base"], "n_tokens": size, "ids_crc32": pa.array(crcs, pa.int64())})
