@@ -265,3 +265,26 @@ def test_model_registry(spark, tmp_path):
     got = models.statistics(models.load(spark, str(tmp_path / "m"))).first()
     assert (got.n_models, got.best, got.latest) == (3, "a", "c") and round(got.avg_quality, 4) == 0.6667
     assert models.without(rows, "a").count() == 2
+
+
+def test_hot_groups_are_cut_by_time(spark):
+    """Bursts and gaps of a busy address, over borders of the pieces of time, equal to a plain loop."""
+    import random
+
+    from tidewire.operators.statistics import burst_counts, interarrival
+
+    rng = random.Random(6)
+    times = [rng.randrange(-50_000, 200_000) for _ in range(400)] + [0, 9_999, 10_000, 10_001, 19_999, 20_000] * 2
+    rows = [(i, "hot" if i % 2 else f"h{i % 7}", t) for i, t in enumerate(times)] + [(9999, None, 5)]
+    flows = spark.createDataFrame([(i, a, a, t) for i, a, t in rows], "seq long, source_ip string, destination_ip string, ts_ms long")
+    known = spark.createDataFrame([(a, t) for _, a, t in rows[::3]], "destination_ip string, ts_ms long")
+    for other, counted in ((None, rows), (known, rows[::3])):
+        got = {r.seq: r.near_count for r in burst_counts(flows, 1000, other).collect()}
+        assert got == {i: sum(b == a and abs(u - t) < 1000 for _, b, u in counted) for i, a, t in rows}
+    for r in interarrival(flows, 10_000).collect():
+        own = sorted(t for _, a, t in rows if a == r.source_ip)
+        gaps = [y - x for x, y in zip(own, own[1:])]
+        assert r.flows == len(own)
+        if gaps:
+            mean = sum(gaps) / len(gaps)
+            assert abs(r.gap_mean - mean) < 1e-6 and abs(r.gap_std - (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5) < 1e-6

@@ -111,7 +111,7 @@ def simulated_protocol(port: Column) -> Column:
 
 def leading_int(text: Column) -> Column:
     """The integer that a text begins with, as lenient parsers read it; null if there is none."""
-    return F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("bigint")
+    return F.coalesce(text.try_cast("bigint"), F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("bigint"))
 
 
 def octet(ip: Column, n: int) -> Column:

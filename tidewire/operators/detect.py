@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.network import is_broadcast, is_mismatch, is_private, recommendation, severity
@@ -46,13 +46,7 @@ def enrich(flows: DataFrame, baseline: DataFrame | None = None, t: Thresholds =
     gaps = interarrival(known).select("source_ip", F.col("flows").alias("source_flows"), "cv")
     seen = known.groupBy("source_ip").agg(F.countDistinct("destination_port").alias("distinct_ports"), F.countDistinct(F.nullif("geo.country", F.lit(""))).alias("distinct_countries"))
     per_source = gaps.join(seen, "source_ip")
-    if baseline is None:
-        counted = burst_counts(flows, t.burst_ms)
-    else:
-        # flows to score and baseline flows in one window; only the latter count
-        marked = flows.select("id", "seq", "destination_ip", "ts_ms", F.lit(0).alias("one")).union(known.select("id", "seq", "destination_ip", "ts_ms", F.lit(1)))
-        near = F.sum("one").over(Window.partitionBy("destination_ip").orderBy("ts_ms").rangeBetween(1 - t.burst_ms, t.burst_ms - 1))
-        counted = flows.join(marked.withColumn("near_count", near).filter("one = 0").select("seq", "near_count"), "seq")
+    counted = burst_counts(flows, t.burst_ms, baseline)
     fill = {"distinct_ports": 0, "distinct_countries": 0, "source_flows": 0}
     return counted.join(per_source, "source_ip", "left").fillna(fill).withColumn("base", base)
 
@@ -140,6 +134,7 @@ def detect_all(flows: DataFrame, outliers: DataFrame | None = None, t: Threshold
         return found
     new = outliers.join(found.select("id"), "id", "left_anti").join(unique, "id")
     new = new.withColumn("types", F.array(F.lit("Cluster Outlier")))
+    # fixed values: what cluster outliers say
     text = F.format_string("Outlier from cluster %d (dist: %.2f)", "nearest_id", "distance")
     new = new.withColumn("description", text).withColumn("recommended_action", F.lit("Review flow details and consider blocking if suspicious"))
     return found.unionByName(new.select(*found.columns))

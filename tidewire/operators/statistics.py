@@ -101,17 +101,42 @@ def distinct_countries(flows: DataFrame) -> DataFrame:
     return flows.groupBy("source_ip").agg(F.countDistinct(F.nullif("geo.country", F.lit(""))).alias("distinct_countries"))
 
 
-def interarrival(flows: DataFrame) -> DataFrame:
-    """Per source: number of flows, mean and deviation of the times between them, and their coefficient of variation."""
-    gaps = flows.select("source_ip", (F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy("source_ip").orderBy("ts_ms", "seq"))).alias("gap"))
-    out = gaps.groupBy("source_ip").agg(F.count("*").alias("flows"), F.avg("gap").alias("gap_mean"), F.stddev_pop("gap").alias("gap_std"))
+def interarrival(flows: DataFrame, piece_ms: int = 600_000) -> DataFrame:
+    """Per source: number of flows, mean and deviation of the times between them, and their coefficient of variation.
+
+    Each source's flows are cut into pieces of time, so that a busy source is many groups; the times between pieces
+    come from the pieces' first and last flows."""
+    piece = F.floor(F.col("ts_ms") / piece_ms)
+    before = F.lag("ts_ms").over(Window.partitionBy("source_ip", "piece").orderBy("ts_ms", "seq"))
+    inside = flows.select("source_ip", "ts_ms", "seq", piece.alias("piece")).select("source_ip", (F.col("ts_ms") - before).alias("gap"), F.lit(1).alias("one"))
+    ends = flows.groupBy("source_ip", piece.alias("piece")).agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
+    last = F.lag("last").over(Window.partitionBy("source_ip").orderBy("piece"))
+    between = ends.select("source_ip", (F.col("first") - last).alias("gap"), F.lit(0).alias("one"))
+    out = inside.union(between).groupBy("source_ip").agg(F.sum("one").alias("flows"), F.avg("gap").alias("gap_mean"), F.stddev_pop("gap").alias("gap_std"))
     return out.withColumn("cv", F.col("gap_std") / F.coalesce(F.nullif("gap_mean", F.lit(0.0)), F.lit(1.0)))
 
 
-def burst_counts(flows: DataFrame, within_ms: int = 60_000) -> DataFrame:
-    """Adds near_count: flows to the same destination less than within_ms away, itself included."""
-    near = Window.partitionBy("destination_ip").orderBy("ts_ms").rangeBetween(1 - within_ms, within_ms - 1)
-    return flows.withColumn("near_count", F.count("*").over(near))
+def near_counts(times: DataFrame, within_ms: int, pieces: int = 10) -> DataFrame:
+    """near_count for each destination_ip and ts_ms of a table of both and n: the sum of n less than within_ms away.
+
+    Rows are added up per millisecond and cut into pieces of time, each with the margins that its neighbours lend it, so
+    that a flooded destination is many groups."""
+    length = within_ms * pieces
+    piece, offset = F.floor(F.col("ts_ms") / length), F.pmod("ts_ms", F.lit(length))
+    lent = F.array_compact(F.array(piece, F.when(offset < within_ms - 1, piece - 1), F.when(offset > length - within_ms, piece + 1)))
+    spread = times.groupBy("destination_ip", "ts_ms").agg(F.sum("n").alias("n")).withColumn("own", piece).withColumn("piece", F.explode(lent))
+    near = Window.partitionBy("destination_ip", "piece").orderBy("ts_ms").rangeBetween(1 - within_ms, within_ms - 1)
+    return spread.withColumn("near_count", F.sum("n").over(near)).filter("own = piece").select("destination_ip", "ts_ms", "near_count")
+
+
+def burst_counts(flows: DataFrame, within_ms: int = 60_000, known: DataFrame | None = None) -> DataFrame:
+    """Adds near_count: flows (of known, or the same) to the same destination less than within_ms away, itself included."""
+    times = (flows if known is None else known).select("destination_ip", "ts_ms", F.lit(1).alias("n"))
+    if known is not None:
+        times = times.union(flows.select("destination_ip", "ts_ms", F.lit(0)))
+    counted = near_counts(times, within_ms).withColumnsRenamed({"destination_ip": "_to", "ts_ms": "_at"})
+    same = F.col("destination_ip").eqNullSafe(F.col("_to")) & F.col("ts_ms").eqNullSafe(F.col("_at"))
+    return flows.join(counted, same, "left").drop("_to", "_at")
 
 
 def trailing_zscore(series: DataFrame, value: str, n: int = 10, threshold: float = 2.0, partition: str | None = None, piece: int = 100_000) -> DataFrame:

@@ -617,7 +617,9 @@ def train_models(spark, sf_dir):
     return rows.drop("trained_at_ms", "id")
 
 
-@query()
+@query(f"""WITH {FLOWS}, p AS (SELECT *, CASE WHEN protocol = 'UDP' THEN 'UDP' ELSE 'TCP' END AS transport FROM flows WHERE protocol <> 'ICMP'),
+q AS (SELECT *, coalesce({_port_case('destination_port', _tables()[0])}, {_port_case('source_port', _tables()[0])}, transport) AS app, greatest(byte_count, CASE transport WHEN 'TCP' THEN 54 ELSE 42 END) AS length FROM p)
+SELECT source_ip, destination_ip, app AS protocol, CAST(sum(length) AS BIGINT) AS byte_count, arg_min(ts_ms, seq) AS ts_ms FROM q GROUP BY source_ip, source_port, destination_ip, destination_port, app""")
 def pcap_import(spark, sf_dir):
     """Captures of all flows but ICMP's, one for each slice of seq, read back and merged."""
     from tidewire.sources.pcap import read_pcap, write_pcap
@@ -634,9 +636,10 @@ def pcap_import(spark, sf_dir):
     return statistics.merge_flows(order.drop("path", "packet")).select("source_ip", "destination_ip", "protocol", "byte_count", "ts_ms")
 
 
-@query()
+@query(f"""WITH {FLOWS} SELECT count(*) AS total_flows, CAST(sum(coalesce(nullif(byte_count, 0), 64)) AS BIGINT) AS total_bytes, count(*) AS total_packets,
+CAST(0 AS DOUBLE) AS avg_duration, least(count(*), 1000) AS served_flows FROM flows""")
 def stream_stats(spark, sf_dir):
-    """Capture lines as a stream, and the totals that are served in the end."""
+    """Capture lines as a stream: totals of all flows that it appended, and how many the serving tables hold in the end."""
     from tidewire.streaming.live import read_lines, start
 
     path = scratch(spark)
@@ -644,4 +647,35 @@ def stream_stats(spark, sf_dir):
     running = start(read_lines(spark, f"{path}/lines", 2), f"{path}/out", f"{path}/state", seconds=0)
     running.processAllAvailable()
     running.stop()
-    return rounded(spark.read.parquet(f"{path}/out/totals"))
+    served = spark.read.parquet(f"{path}/out/totals").select(F.col("total_flows").alias("served_flows"))
+    return rounded(statistics.totals(spark.read.parquet(f"{path}/out/flows"))).join(served)
+
+
+@query(f"WITH {FLOWS} SELECT seq, id, source_ip, destination_ip, byte_count FROM flows WHERE is_anomaly")
+def flagged_flows(spark, sf_dir):
+    return flows(spark, sf_dir).filter("is_anomaly").select("seq", "id", "source_ip", "destination_ip", "byte_count")
+
+
+@query(f"WITH {FLOWS} SELECT seq, source_ip, protocol FROM flows WHERE seq % 3 = 2")
+def cluster_flows(spark, sf_dir):
+    f = flows(spark, sf_dir)
+    members = by_remainder(f).filter("cluster_id = 2").select("id")
+    return f.join(members, "id", "left_semi").select("seq", "source_ip", "protocol")
+
+
+@query(f"""WITH {FLOWS} SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "Timestamp", source_ip AS "Source IP", CAST(source_port AS VARCHAR) AS "Source Port", destination_ip AS "Destination IP",
+CAST(destination_port AS VARCHAR) AS "Destination Port", protocol AS "Protocol", CAST(byte_count AS VARCHAR) AS "Bytes", CAST(packet_count AS VARCHAR) AS "Packets", round(duration, 6) AS "Duration", CASE WHEN is_anomaly THEN 'Yes' ELSE 'No' END AS "Anomaly" FROM flows""")
+def display_csv(spark, sf_dir):
+    path = scratch(spark)
+    sinks.write_display_csv(flows(spark, sf_dir), path)
+    return spark.read.option("header", True).csv(path).withColumn("Duration", F.round(F.col("Duration").cast("double"), 6))
+
+
+@query(f"""WITH {FLOWS}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE is_anomaly) AS a FROM flows), t AS (SELECT * FROM flows ORDER BY seq LIMIT 10)
+SELECT 'Total Flows: ' || n AS line FROM n UNION ALL SELECT 'Anomalies: ' || a FROM n UNION ALL SELECT 'Clusters: 0' UNION ALL SELECT '- ' || id || ' (' || source_ip || ' → ' || destination_ip || ')' FROM t""")
+def report_lines(spark, sf_dir):
+    """The figures and the first ten flows of a report."""
+    f = flows(spark, sf_dir)
+    text = sinks.report("Traffic", [("summary", "Summary"), ("flows", "Flows")], f, f.filter("is_anomaly"))
+    lines = [(x,) for x in text.splitlines() if x and not x.startswith("#") and x != "Flows:"]
+    return spark.createDataFrame(lines, "line string")

@@ -17,8 +17,9 @@ MOST_BYTES = 100 * 1024 * 1024
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Flow columns (without seq and id) from lines; lines without addresses are dropped. Unreadable numbers take
     defaults: ports 0, length 64, time to live 64, and a window that is absent 65535 (a window of 0 stays 0)."""
-    parts = F.split(column, "\t")
-    f = {n: F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i, n in enumerate(FIELDS)}
+    # generated, so that each line is split once and not once for every column that reads a part
+    lines = lines.select(F.explode(F.array(F.split(column, "\t"))).alias("parts"))
+    f = {n: F.coalesce(F.get("parts", F.lit(i)), F.lit("")) for i, n in enumerate(FIELDS)}
     proto = leading_int(f["proto"])
 
     def port(side: str) -> Column:
