@@ -14,11 +14,10 @@ from tidewire.operators.clustering import bounded, gathered
 
 
 def covariance(df: DataFrame, columns: list[str] = NAMES) -> DataFrame:
-    """(i, j, value) of the population covariances, all from one aggregate."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    one = df.agg(*[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs])
-    cells = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"c{i}_{j}").alias("value")) for i, j in pairs for a, b in {(i, j), (j, i)}]
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    """(i, j, value) of the population covariances of scaled columns, from one pass."""
+    matrix = covariance_matrix(df, columns)
+    cells = [(i, j, float(matrix[i, j])) for i in range(len(columns)) for j in range(len(columns))]
+    return df.sparkSession.createDataFrame(cells, "i int, j int, value double")
 
 
 def covariance_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:

@@ -323,9 +323,12 @@ for _metric in ("euclidean", "manhattan", "cosine", "chebyshev", "minkowski"):
     _vector_distance(_metric)
 
 
-@query(f"WITH {FLOWS}, {FEATURES}, {scaled_sql()} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(covar_pop({a}, {b}), 6) AS value FROM scaled" for i, a in enumerate(NAMES[:8]) for j, b in enumerate(NAMES[:8])))
+_PAIRS = [(i, j, f"covar_pop({a}, {b})") for i, a in enumerate(NAMES) for j, b in enumerate(NAMES)]
+
+
+@query(f"WITH {FLOWS}, {FEATURES}, {scaled_sql()}, c AS (SELECT [" + ", ".join(f"{{'i': {i}, 'j': {j}, 'value': round({c}, 6)}}" for i, j, c in _PAIRS) + "] AS cells FROM scaled) SELECT unnest(cells, recursive := true) FROM c")
 def covariance(spark, sf_dir):
-    return rounded(reduction.covariance(scaled(flows(spark, sf_dir)), NAMES[:8]))
+    return rounded(reduction.covariance(scaled(flows(spark, sf_dir)))).withColumn("value", F.col("value") + 0.0)
 
 
 @query(f"WITH {FLOWS}, {FEATURES} SELECT " + ", ".join(f"round(var_pop({n}), 3) AS {n}" for n in NAMES[2:]) + " FROM feats")
@@ -594,21 +597,127 @@ def cluster_hull(spark, sf_dir):
     return reduction.cluster_hulls(points.join(by_remainder(rows), "id").select("cluster_id", F.col("pc0").alias("x"), F.col("pc1").alias("y")))
 
 
-@query("SELECT CAST(2000 AS BIGINT) AS n")
+# --- generated flows: every draw is a digest's first 52 bits, which SQL repeats by the draw's number
+
+
+def _unit(n: int, seed: int = 0, row: str = "seq") -> str:
+    return f"(CAST(CAST('0x' || substr(md5({row} || '-{seed}-{n}'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496)"
+
+
+def _whole(n: int, low: int, high: int, *of) -> str:
+    return f"CAST({low} + floor({_unit(n, *of)} * {high - low + 1}) AS BIGINT)"
+
+
+def _pick(n: int, values, *of) -> str:
+    listed = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    return f"([{listed}])[{_whole(n, 1, len(values), *of)}]"
+
+
+def _private(n: int, *of) -> str:
+    """Draws n to n + 8."""
+    w = lambda i, low, high: _whole(n + i, low, high, *of)
+    ten = f"'10.' || {w(0, 0, 255)} || '.' || {w(1, 0, 255)} || '.' || {w(2, 1, 254)}"
+    middle = f"'172.' || {w(3, 16, 31)} || '.' || {w(4, 0, 255)} || '.' || {w(5, 1, 254)}"
+    return f"([{ten}, {middle}, '192.168.' || {w(6, 0, 255)} || '.' || {w(7, 1, 254)}])[{w(8, 1, 3)}]"
+
+
+def _public(n: int, *of) -> str:
+    """Draws n to n + 3."""
+    first, second = _pick(n, generator.FIRST_OCTETS, *of), _whole(n + 1, 0, 255, *of)
+    beside = f"CASE WHEN {first} = 172 AND {second} BETWEEN 16 AND 31 THEN {second} + 16 WHEN {first} = 192 AND {second} = 168 THEN 169 ELSE {second} END"
+    return f"{first} || '.' || {beside} || '.' || {_whole(n + 2, 0, 255, *of)} || '.' || {_whole(n + 3, 1, 254, *of)}"
+
+
+def _kinds(normal: str, other: str, high: str, scan: str, flood: str) -> str:
+    return f"CASE WHEN kind = 'High Volume' THEN {high} WHEN kind = 'Port Scan' THEN {scan} WHEN kind = 'DDoS Attack' THEN {flood} WHEN kind IS NULL THEN {normal} ELSE {other} END"
+
+
+def _generated(rows: str, **fixed: str) -> str:
+    """Flows from SQL of rows seq, ts_ms, kind."""
+    ports = {name: [p for p, n in _tables()[1].items() if n == name] for name in _tables()[1].values()}
+    known = "CASE protocol " + " ".join(f"WHEN '{n}' THEN ({p})[CAST(1 + floor({_unit(39)} * {len(p)}) AS BIGINT)]" for n, p in ports.items()) + " END"
+    packets = _kinds(_whole(6, 1, 100), _whole(5, 100, 1099), _whole(2, 5000, 14999), _whole(3, 50, 149), _whole(4, 50000, 149999))
+    size = _kinds(_whole(9, 64, 563), _whole(8, 100, 1099), _whole(7, 500, 1999), "64", "100")
+    r = _unit(42)
+    mixed = lambda n, chance: f"({r} >= 0.9 AND {_unit(n)} < {chance})"
+    flags = {
+        "syn": f"{r} < 0.3 OR {mixed(43, 0.2)}",
+        "ack": f"({r} >= 0.3 AND {r} < 0.8) OR {mixed(44, 0.7)}",
+        "fin": f"({r} >= 0.6 AND {r} < 0.8) OR {mixed(45, 0.1)}",
+        "rst": f"({r} >= 0.8 AND {r} < 0.9) OR {mixed(46, 0.05)}",
+        "psh": f"({r} >= 0.3 AND {r} < 0.6 AND {_unit(47)} < 0.5) OR {mixed(48, 0.4)}",
+        "urg": mixed(49, 0.02),
+    }
+    cities = "CASE country " + " ".join(f"WHEN '{c}' THEN {_pick(53, names)}" for c, names in generator.CITIES.items()) + " END"
+    drawn = {
+        "source_ip": f"CASE WHEN {_unit(10)} < 0.7 THEN {_private(11)} ELSE {_public(20)} END",
+        "destination_ip": f"CASE WHEN {_unit(24)} < 0.5 THEN {_private(25)} ELSE {_public(34)} END",
+        "source_port": _whole(38, 1, 65535),
+        "destination_port": f"coalesce({known}, {_whole(40, 1, 65535)})",
+        "packet_count": packets,
+        "byte_count": f"({packets}) * ({size})",
+        "duration": f"round({_unit(41)} * {_kinds('60', '300', '60', '10', '5')}, 6)",
+        **{n: f"(protocol IN ('TCP', 'HTTP', 'HTTPS') AND ({c}))" for n, c in flags.items()},
+        "ttl": _pick(50, [32, 64, 128, 255]),
+        "window_size": _whole(51, 1, 65535),
+        "city": cities,
+        "latitude": f"round(({_unit(54)} - 0.5) * 180, 6)",
+        "longitude": f"round(({_unit(55)} - 0.5) * 360, 6)",
+        "asn": f"'AS' || {_whole(56, 1000, 60999)}",
+        "isp": f"'ISP-' || {_whole(57, 0, 999)}",
+    }
+    named = f"SELECT *, {_pick(1, generator.PROTOCOLS)} AS protocol, {_pick(52, list(generator.CITIES))} AS country FROM ({rows})"
+    return "SELECT seq, ts_ms, kind, protocol, country, " + ", ".join(f"{fixed.get(n, c)} AS {n}" for n, c in drawn.items()) + f" FROM ({named})"
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    kind = F.get("anomaly_type", F.lit(0)).alias("kind")
+    numbers = [F.col(c).cast("long").alias(c) for c in ("source_port", "destination_port", "window_size")]
+    return rounded(df.select(kind, *numbers, "seq", "ts_ms", "protocol", "source_ip", "destination_ip", "packet_count", "byte_count", "duration", "ttl", "flags.*", "geo.*"))
+
+
+def _rows_sql(n: int, ts_ms: str, kind: str) -> str:
+    return _generated(f"SELECT range AS seq, {ts_ms} AS ts_ms, {kind} AS kind FROM range({n})")
+
+
+_ANY_TIME = _whole(1, 0, 3_599_999, 1, "range")
+
+
+@query(_rows_sql(2000, _ANY_TIME, f"CASE WHEN {_unit(2, 1, 'range')} < 0.05 THEN {_pick(3, generator.ANOMALIES, 1, 'range')} END"))
 def generate_flows(spark, sf_dir):
-    return generator.generate(spark, 2000).agg(F.count("*").alias("n"))
+    return _flat(generator.generate(spark, 2000))
+
 
+def _phases_sql() -> str:
+    """Five phases of twelve minutes at 100 flows a minute times their rates."""
+    begin, cases = 0, ""
+    for i, (_, rate) in enumerate(generator.PHASES):
+        begin += round(1200 * rate)
+        cases += f" WHEN range < {begin} THEN {720_000 * i} + {_whole(2 + i, 0, 719_999, 1, 'range')}"
+    return _rows_sql(begin + begin // 50, f"CASE{cases} ELSE {_ANY_TIME} END", f"CASE WHEN range >= {begin} THEN {_pick(7, generator.ANOMALIES, 1, 'range')} END")
 
-@query("SELECT CAST(6487 AS BIGINT) AS n")
+
+@query(f"SELECT seq, ts_ms, kind, protocol, byte_count, source_ip FROM ({_phases_sql()})")
 def diurnal_flows(spark, sf_dir):
-    return generator.diurnal(spark).agg(F.count("*").alias("n"))
+    return _flat(generator.diurnal(spark)).select("seq", "ts_ms", "kind", "protocol", "byte_count", "source_ip")
+
+
+_ATTACKS = {
+    "DDoS Attack": (1000, {"destination_ip": "'203.0.113.9'"}),
+    "Port Scan": (1000, {"source_ip": _public(1, 2, "'0'"), "destination_ip": "'203.0.113.9'", "destination_port": _whole(2, 1, 65535, 1)}),
+    "Data Exfiltration": (100, {"source_ip": _private(5, 2, "'0'")}),
+}
+
+
+def _attack_sql(kind: str, n: int, fixed: dict) -> str:
+    rows = f"SELECT range AS seq, {_whole(1, 0, 59_999, 1, 'range')} AS ts_ms, '{kind}' AS kind FROM range({n})"
+    return f"SELECT seq, ts_ms, kind, source_ip, destination_ip, destination_port, byte_count FROM ({_generated(rows, **fixed)})"
 
 
-@query("SELECT unnest(['DDoS Attack', 'Port Scan', 'Data Exfiltration']) AS kind, unnest([1000, 1000, 100]) AS n")
+@query(" UNION ALL ".join(_attack_sql(k, n, fixed) for k, (n, fixed) in _ATTACKS.items()))
 def attack_pattern(spark, sf_dir):
-    parts = [generator.attack(spark, k, "203.0.113.9") for k in ("DDoS Attack", "Port Scan", "Data Exfiltration")]
-    every = parts[0].union(parts[1]).union(parts[2])
-    return every.groupBy(F.get("anomaly_type", F.lit(0)).alias("kind")).agg(F.count("*").cast("int").alias("n"))
+    parts = [_flat(generator.attack(spark, k, "203.0.113.9")) for k in _ATTACKS]
+    return parts[0].union(parts[1]).union(parts[2]).select("seq", "ts_ms", "kind", "source_ip", "destination_ip", "destination_port", "byte_count")
 
 
 @query()

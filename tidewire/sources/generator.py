@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.network import SIMULATED_PORTS
 
+# What simulated flows are of.
 PROTOCOLS = ("TCP", "UDP", "ICMP", "HTTP", "HTTPS", "DNS", "FTP")
 ANOMALIES = ("High Volume", "Port Scan", "DDoS Attack", "Data Exfiltration", "Suspicious Protocol")
 # Phases of a day as (share of the duration, rate).
@@ -27,14 +28,16 @@ CITIES = {
 
 
 class Draw:
-    """Uniform numbers by hash of a row's number: the same whatever the partitions are."""
+    """Uniform numbers by the MD5 digest of a row's number, the seed and the draw's number: the same whatever the
+    partitions are, and in any engine."""
 
     def __init__(self, seed: int, row: str = "seq"):
         self.seed, self.row, self.n = seed, row, 0
 
     def unit(self) -> Column:
         self.n += 1
-        return F.pmod(F.xxhash64(self.row, F.lit(self.seed), F.lit(self.n)), F.lit(1 << 52)) / float(1 << 52)
+        digest = F.md5(F.concat_ws("-", F.col(self.row).cast("string"), F.lit(str(self.seed)), F.lit(str(self.n))))
+        return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
 
     def whole(self, low: int | Column, high: int | Column) -> Column:
         """low to high, both included"""
@@ -51,10 +54,15 @@ def private_ip(d: Draw) -> Column:
     return d.pick([dotted(F.lit(10), d.whole(0, 255), d.whole(0, 255), d.whole(1, 254)), dotted(F.lit(172), d.whole(16, 31), d.whole(0, 255), d.whole(1, 254)), dotted(F.lit(192), F.lit(168), d.whole(0, 255), d.whole(1, 254))])
 
 
+#: First octets of public addresses; 172 and 192 are public but for a part.
+FIRST_OCTETS = [x for x in range(1, 224) if x not in (10, 127)]
+
+
 def public_ip(d: Draw) -> Column:
-    """First octets that hold no private, loopback or multicast range."""
-    first = [x for x in range(11, 224) if x not in (127, 172, 192)]
-    return F.concat_ws(".", F.element_at(F.array(*map(F.lit, first)), d.whole(1, len(first)).cast("int")), d.whole(0, 255), d.whole(0, 255), d.whole(1, 254))
+    """Any address that isn't private, loopback or multicast; a draw from 172.16-31 or 192.168 lands beside it."""
+    first, second = F.element_at(F.array(*map(F.lit, FIRST_OCTETS)), d.whole(1, len(FIRST_OCTETS)).cast("int")), d.whole(0, 255)
+    second = F.when((first == 172) & second.between(16, 31), second + 16).when((first == 192) & (second == 168), second + 1).otherwise(second)
+    return F.concat_ws(".", first, second, d.whole(0, 255), d.whole(1, 254))
 
 
 def port_of(d: Draw, protocol: Column) -> Column:
@@ -66,6 +74,7 @@ def port_of(d: Draw, protocol: Column) -> Column:
 
 
 def flags_of(d: Draw, protocol: Column) -> Column:
+    """The shares of the kinds of segments."""
     r, bit = d.unit(), lambda chance: d.unit() < chance
     tcp = protocol.isin("TCP", "HTTP", "HTTPS")
     mixed = r >= 0.9
@@ -87,7 +96,9 @@ def place_of(d: Draw) -> Column:
 
 
 def as_flows(rows: DataFrame, seed: int = 0, **fixed: Column) -> DataFrame:
-    """Flows from rows of seq, ts_ms and kind (an anomaly's type or null); fixed columns replace drawn ones."""
+    """Flows from rows of seq, ts_ms and kind (an anomaly's type or null); fixed columns replace drawn ones.
+
+    Fixed values: the ranges of packets, sizes and durations of each kind."""
     d, kind = Draw(seed), F.col("kind")
     by_kind = lambda hv, ps, dd, other, normal: F.when(kind == "High Volume", hv).when(kind == "Port Scan", ps).when(kind == "DDoS Attack", dd).when(kind.isNotNull(), other).otherwise(normal)
     rows = rows.withColumn("protocol", fixed.get("protocol", d.pick(PROTOCOLS)))
