@@ -4,9 +4,9 @@ Documents are dealt by ranges of doc_id and sorted, so the partitions in their o
 order. Each task encodes its documents and writes one shard of two Arrow stream files:
 
 - `*-ids.arrow`: one record batch per 1024 sequences, of columns `ids` (fixed-size list of unsigned integers, 16 bits
-  where the vocabulary allows, else 32) and `mask` (fixed-size list of bytes, 0 for the padding that fills the
-  shard's last sequence, else 1). Lists of fixed size have no offsets, so a memory-mapped file is one flat array of ids
-  in each batch: TokenFile gives sequence i and its mask as views of the file's memory, without copying or decoding.
+  where the vocabulary allows, else 32) and `mask` (fixed-size list of booleans, false for the padding that fills
+  the shard's last sequence). Lists of fixed size have no offsets, so a memory-mapped file is one flat array of ids
+  in each batch: TokenFile gives sequence i and its mask's bits as views of the file's memory, without copying.
 - `*-documents.arrow`: doc_id, start (ids of the shard before it), n_tokens.
 
 Shards whose task ran twice are told apart by the task attempt in their names; the manifest names those that count.
@@ -41,7 +41,7 @@ class _SequenceFile:
     def __init__(self, sink, length: int, kind: pa.DataType):
         self.length, self.kind, self.sequences, self.rest = length, kind, 0, []
         self.held = 0
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.writer = pa.ipc.new_stream(sink, self.schema)
 
     def add(self, ids: np.ndarray) -> None:
@@ -57,7 +57,7 @@ class _SequenceFile:
         for a in range(0, whole, step):
             part = ids[a : min(a + step, whole)].astype(self.kind.to_pandas_dtype())
             n = -(-len(part) // self.length)
-            mask = (np.arange(n * self.length) < len(part)).astype(np.uint8)
+            mask = np.arange(n * self.length) < len(part)
             part = np.concatenate((part, np.zeros(n * self.length - len(part), part.dtype)))
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)]
             self.writer.write_batch(pa.record_batch(arrays, schema=self.schema))
@@ -86,6 +86,8 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str, end_id:
 
     tokenizer: path of a tokenizers file; folder: where the shards go, any place pyarrow's file systems reach.
     """
+    if sequence_length % 8:
+        raise ValueError("the sequence length must be a multiple of eight")
     kind = pa.uint16() if max(largest_id(tokenizer), end_id) < 1 << 16 else pa.uint32()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,20 +127,25 @@ class TokenFile:
     def __len__(self) -> int:
         return int(self.starts[-1])
 
-    def _of(self, name: str, i: int) -> np.ndarray:
+    def _of(self, name: str, i: int) -> tuple[pa.Array, int, int]:
+        """(all values of the batch that holds sequence i, where it begins there, its length)"""
         if not 0 <= i < len(self):
             raise IndexError(i)
         k = int(np.searchsorted(self.starts, i, "right")) - 1
         column = self.batches[k].column(name)
-        size = column.type.list_size
-        at = (i - int(self.starts[k])) * size
-        return column.values.to_numpy()[at : at + size]
+        return column.values, (i - int(self.starts[k])) * column.type.list_size, column.type.list_size
 
     def sequence(self, i: int) -> np.ndarray:
-        return self._of("ids", i)
+        values, at, size = self._of("ids", i)
+        return values.to_numpy()[at : at + size]
+
+    def mask_bits(self, i: int) -> np.ndarray:
+        """The mask as packed bits, the lowest first; sequence lengths are multiples of eight."""
+        values, at, size = self._of("mask", i)
+        return np.frombuffer(values.buffers()[1], np.uint8)[at // 8 : (at + size) // 8]
 
     def mask(self, i: int) -> np.ndarray:
-        return self._of("mask", i).view(bool)
+        return np.unpackbits(self.mask_bits(i), bitorder="little").view(bool)
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
@@ -163,7 +170,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                         while first + len(held) < s + n:
                             block = next(stream)
                             ids = block.column("ids").flatten().to_numpy()
-                            valid = block.column("mask").values.to_numpy().view(bool)
+                            valid = block.column("mask").values.to_numpy(zero_copy_only=False)
                             held, first = np.concatenate((held[s - first :], ids[valid].astype("<u4"))), s
                         crcs.append(zlib.crc32(held[s - first : s - first + n].tobytes()))
                     yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "start": start + row["base"], "n_tokens": size, "ids_crc32": pa.array(crcs, pa.int64())})
