@@ -34,7 +34,7 @@ def test_against_sql(spark, sf_dir, sql, name):
     assert rows(got) == rows(want)
 
 
-LEAST = {"kmeans_pp": 500, "elbow": 6, "isolation_forest": 10_000, "mean_shift": 500, "agglomerative": 120, "gmm": 500, "som": 500, "pca_projection": 10_000, "pca_reconstruction": 10_000, "viewport": 10_000, "tsne": 150, "cluster_hull": 9, "train_models": 2}
+LEAST = {"kmeans_pp": 10_000, "elbow": 6, "isolation_forest": 10_000, "mean_shift": 10_000, "agglomerative": 10_000, "gmm": 10_000, "som": 10_000, "pca_projection": 10_000, "pca_reconstruction": 10_000, "viewport": 10_000, "tsne": 10_000, "cluster_hull": 9, "train_models": 2}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))

@@ -1,8 +1,8 @@
 """Clustering of scaled feature rows (id, seq and the feature columns).
 
 Centroids are small and live on the driver as literals; rows stay distributed, and each iteration is one aggregate.
-Agglomeration takes a bounded number of rows (a parameter) and refuses more; other algorithms that need all pairs deal
-the rows as blocks and add up what the pairs of blocks give.
+Agglomeration takes a bounded number of rows (a parameter) and refuses more, or merges a bounded number of centres of
+all rows; other algorithms that need all pairs deal the rows as blocks and add up what the pairs of blocks give.
 """
 
 from __future__ import annotations
@@ -157,34 +157,74 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total, out=total)
 
 
-def against_all(scaled: DataFrame, function: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, bool], Iterator[pd.DataFrame]], schema: str, columns: list[str], *keep: str) -> DataFrame:
-    """function(rows, other rows, distances, whether both are the same rows) for parts of all pairs of rows, each pair from
-    both sides: rows are dealt to blocks of about BLOCK, each pair of blocks is a task's group, and its results are parts
-    that the caller adds up. keep: columns that the rows have besides id and columns."""
+#: Rows, other rows, distances between them, and where both are the same row.
+Met = tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]
+
+
+def _blocks(data: DataFrame, within: float | None, columns: list[str]) -> DataFrame:
+    """Adds _own, a row's block of about BLOCK rows, and _other, one at a time each block it has to meet: all of them, or
+    with `within` those of the same and the neighbour cells of a grid of that width over three columns of greatest
+    variance. A crowded cell has many blocks, so that none grows with the rows."""
+    axes = []
+    if within is not None:
+        spread = data.agg(*[F.coalesce(F.var_pop(c), F.lit(0.0)).alias(c) for c in columns]).first()
+        axes = sorted(columns, key=lambda c: -spread[c])[:3]
+    cell = F.array(*[F.floor(F.col(c) / (within * (1 + 1e-9))) for c in axes]) if axes else F.array().cast("array<bigint>")
+    cells = data.groupBy(cell.alias("_cell")).agg(F.ceil(F.count("*") / BLOCK).alias("_n")).checkpoint()
+    near = cells.withColumnRenamed("_n", "_blocks").withColumn("_near", F.col("_cell"))
+    for i in range(len(axes)):
+        near = near.withColumn("_step", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+        moved = [F.element_at("_near", j + 1) + (F.col("_step") if i == j else F.lit(0)) for j in range(len(axes))]
+        near = near.withColumn("_near", F.array(*moved)).drop("_step")
+    near = near.join(cells.withColumnRenamed("_cell", "_near"), "_near").groupBy("_cell", "_blocks").agg(F.collect_list(F.struct("_near", "_n")).alias("_near"))
+    every = F.flatten(F.transform("_near", lambda c: F.transform(F.sequence(F.lit(0).cast("long"), c["_n"] - 1), lambda b: F.concat(c["_near"], F.array(b)))))
+    dealt = data.withColumn("_cell", cell).join(near, "_cell")
+    own = F.concat("_cell", F.array(F.pmod(F.xxhash64("id"), F.col("_blocks"))))
+    return dealt.withColumn("_own", own).withColumn("_other", F.explode(every)).drop("_cell", "_blocks", "_near")
+
+
+def against_all(scaled: DataFrame, work: Callable[[Iterator[Met]], pd.DataFrame], schema: str, columns: list[str], *keep: str, within: float | None = None, both: bool = True, asks: str | None = None) -> DataFrame:
+    """What work makes of each part of all pairs of rows: rows are dealt to blocks, each pair of blocks is a task's group,
+    and its results are parts that the caller adds up. keep: columns that the rows have besides id and columns. within:
+    pairs further apart than that may be left out. both: each pair of rows comes from both sides. asks: a boolean column;
+    rows where it is true meet those where it is false."""
     data = scaled.select("id", *keep, *columns)
-    n = max(1, -(-data.count() // BLOCK))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.least(i, F.col("_own")).alias("i"), F.greatest(i, F.col("_own")).alias("j")))
-    dealt = data.withColumn("_own", own).withColumn("_pair", F.explode(pair)).select("*", "_pair.i", "_pair.j").drop("_pair")
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        left, right = part[part["_own"] == i], part[part["_own"] == j]
-        out = []
-        for rows, others in ((left, right),) if i == j else ((left, right), (right, left)):
-            y = others[columns].to_numpy(float)
-            for at in range(0, len(rows) if len(others) else 0, 64):
-                block = rows.iloc[at : at + 64]
-                d = _distances(block[columns].to_numpy(float), y)
-                itself = np.zeros(d.shape, bool)
-                if i == j:
-                    itself[np.arange(len(block)), at + np.arange(len(block))] = True
-                out.append(function(block, others, d, itself))
-        return pd.concat(out) if out else pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
+    dealt = _blocks(data, within, columns).withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other"))
+    dealt = dealt.withColumn("_left", F.col("_own") == F.col("i")).withColumn("_same", F.col("i") == F.col("j")).drop("_own", "_other")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        same = bool(part["_same"].iloc[0])
+        left, right = part[part["_left"]], part if same else part[~part["_left"]]
+
+        def met() -> Iterator[Met]:
+            for rows, others in ((left, right), (right, left))[: 1 if same or not both else 2]:
+                if asks:
+                    rows, others = rows[rows[asks]], others[~others[asks]]
+                y = others[columns].to_numpy(float)
+                for at in range(0, len(rows) if len(others) else 0, 64):
+                    block = rows.iloc[at : at + 64]
+                    d = _distances(block[columns].to_numpy(float), y)
+                    itself = np.zeros(d.shape, bool)
+                    if same and not asks:
+                        itself[np.arange(len(block)), at + np.arange(len(block))] = True
+                    yield block, others, d, itself
+
+        return work(met())
 
     return dealt.groupBy("i", "j").applyInPandas(run, schema)
 
 
+def each(function: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> Callable[[Iterator[Met]], pd.DataFrame]:
+    """Work that is done for a few rows at a time."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def work(met: Iterator[Met]) -> pd.DataFrame:
+        out = [function(*m) for m in met]
+        return pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
+
+    return work
+
+
 def k_distances(scaled: DataFrame, k: int = 5, columns: list[str] = NAMES) -> DataFrame:
     """(id, k_distance): distance to the k-th nearest other row, to the furthest if there are fewer; 0 without others."""
 
@@ -193,7 +233,8 @@ def k_distances(scaled: DataFrame, k: int = 5, columns: list[str] = NAMES) -> Da
         least = np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
         return pd.DataFrame({"id": rows["id"].to_numpy(), "near": [x[np.isfinite(x)] for x in least]})
 
-    parts = against_all(scaled, run, "id string, near array<double>", columns)
+    schema = "id string, near array<double>"
+    parts = against_all(scaled, each(run, schema), schema, columns)
     near = parts.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return near.select("id", F.coalesce(F.element_at("near", F.when(F.size("near") > 0, -1)), F.lit(0.0)).alias("k_distance"))
 
@@ -212,50 +253,63 @@ def estimate_epsilon(scaled: DataFrame, k: int = 5, columns: list[str] = NAMES)
     return ranked.orderBy(F.desc(far), "rank").first().k_distance
 
 
-def close_pairs(scaled: DataFrame, epsilon: float, columns: list[str] = NAMES, dims: int = 3) -> DataFrame:
-    """(a, b, distance), a before b, of all pairs of rows within epsilon: rows meet in the cells of a grid over the columns
-    of greatest variance, each row also in its neighbour cells, so that no pair is missed and distant ones never meet."""
-    spread = scaled.agg(*[F.coalesce(F.var_pop(c), F.lit(0.0)).alias(c) for c in columns]).first()
-    axes = sorted(columns, key=lambda c: -spread[c])[:dims]
-    cell = [F.floor(F.col(c) / epsilon) for c in axes]
-    home = scaled.select("seq", *columns, F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cell)]).alias("cell"))
-    near = home
-    for i in range(len(axes)):
-        near = near.withColumn(f"_o{i}", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    near = near.select(F.struct(*[(F.col(f"cell.c{i}") + F.col(f"_o{i}")).alias(f"c{i}") for i in range(len(axes))]).alias("cell"), F.col("seq").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    d = F.sqrt(sum(((F.col(c) - F.col(f"{c}_b")) * (F.col(c) - F.col(f"{c}_b")) for c in columns), F.lit(0.0)))
-    pairs = home.withColumnRenamed("seq", "a").join(near, "cell").filter("a < b").select("a", "b", d.alias("distance"))
-    return pairs.filter(F.col("distance") <= epsilon)
-
-
 def dbscan(scaled: DataFrame, epsilon: float | None = None, min_points: int = 5, columns: list[str] = NAMES) -> Clustering:
     """A row is core if it has min_points others within epsilon; clusters are components of core rows, numbered by
-    their first row; other rows near a core row join the lowest such cluster; the rest is noise (-1)."""
+    their first row; other rows near a core row join the lowest such cluster; the rest is noise (-1). seq is unique.
+
+    Pairs are met in blocks and never listed: first neighbours are counted, then a pair of blocks gives a spanning forest
+    of its core rows' links (fewer links than rows), then the remaining rows ask for clusters."""
     if epsilon is None:
         epsilon = estimate_epsilon(scaled, min_points, columns)
-    pairs = close_pairs(scaled, epsilon, columns).select("a", "b").checkpoint()
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    core = both.groupBy("a").count().filter(F.col("count") >= min_points).select("a").checkpoint()
-    links = pairs.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
-    parts = core.withColumnRenamed("a", "node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    reach = {"within": epsilon if epsilon > 0 else 1.0}
+
+    def count(rows, others, d, itself):
+        return pd.DataFrame({"id": rows["id"].to_numpy(), "n": ((d <= epsilon) & ~itself).sum(1)})
+
+    def forest(met):
+        links, trees = [], None
+        for rows, others, d, _ in met:
+            if trees is None:  # the other rows start as trees of their own; a tree is known by its first row
+                trees, to = np.arange(len(others)), others["seq"].to_numpy()
+            for seq, near in zip(rows["seq"], d <= epsilon, strict=True):
+                found = np.unique(trees[near])
+                links += [(seq, to[t]) for t in found if to[t] != seq]
+                if len(found) > 1:
+                    trees[np.isin(trees, found)] = found[0]
+        return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links]}, dtype="int64")
+
+    def border(rows, others, d, itself):
+        low = np.where(d <= epsilon, others["_c"].to_numpy()[None, :], np.iinfo(np.int32).max).min(1)
+        return pd.DataFrame({"seq": rows["seq"].to_numpy(), "border": low})
+
+    rows = scaled.select("id", "seq", *columns)
+    counts = against_all(rows, each(count, "id string, n long"), "id string, n long", columns, **reach).groupBy("id").agg(F.sum("n").alias("n"))
+    rows = rows.join(counts.filter(F.col("n") >= min_points).select("id", F.lit(True).alias("_core")), "id", "left").checkpoint()
+    core = rows.filter("_core")
+    links = against_all(core, forest, "a long, b long", columns, "seq", both=False, **reach).checkpoint()
+    parts = core.select(F.col("seq").alias("node")).join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     parts = parts.checkpoint()
-    firsts = parts.select("component").distinct()
     from tidewire.operators.browse import numbered
 
-    ids = numbered(firsts, "component", name="cluster_id").select("component", F.col("cluster_id").cast("int").alias("cluster_id"))
-    cores = parts.join(ids, "component").select(F.col("node").alias("seq"), "cluster_id").checkpoint()
-    border = both.join(cores.withColumnRenamed("seq", "b"), "b").groupBy("a").agg(F.min("cluster_id").alias("border")).withColumnRenamed("a", "seq")
-    out = scaled.select("id", "seq").join(cores, "seq", "left").join(border, "seq", "left")
-    return Clustering(out.select("id", F.coalesce("cluster_id", "border", F.lit(-1)).cast("int").alias("cluster_id")))
+    ids = numbered(parts.select("component").distinct(), "component", name="cluster_id").select("component", F.col("cluster_id").cast("int").alias("_c"))
+    cores = parts.join(ids, "component").select(F.col("node").alias("seq"), "_c")
+    labelled = rows.join(cores, "seq", "left").withColumn("_c", F.coalesce("_c", F.lit(-1))).withColumn("_ask", F.col("_core").isNull()).checkpoint()
+    schema = "seq long, border int"
+    asked = against_all(labelled, each(border, schema), schema, columns, "seq", "_c", "_ask", asks="_ask", **reach)
+    near = asked.groupBy("seq").agg(F.min("border").alias("border")).filter(F.col("border") < np.iinfo(np.int32).max)
+    out = labelled.join(near, "seq", "left").select("id", F.when(F.col("_ask"), F.coalesce("border", F.lit(-1))).otherwise(F.col("_c")).alias("cluster_id"))
+    return Clustering(out)
 
 
-def agglomerate(points: np.ndarray, k: int = 3, linkage: str = "average") -> tuple[np.ndarray, list[tuple[int, int, int, float, int]]]:
+def agglomerate(points: np.ndarray, k: int = 3, linkage: str = "average", weights: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int, int, float, int]]]:
     """Labels and the merge table (step, left, right, distance, size); nodes n and up are merges, in order.
 
     Repeatedly the closest pair of clusters merges (the first in order of creation among equals). The cut splits the
-    node of largest merge distance until k parts are there; labels are the places of the parts in that queue.
+    node of largest merge distance until k parts are there; labels are the places of the parts in that queue. A point
+    may stand for several rows, by its weight.
     """
     n = len(points)
+    weights = np.ones(n) if weights is None else weights
     base = _pairwise(points, points)
     members = {i: [i] for i in range(n)}
     d = {i: {j: base[i, j] for j in range(n) if j != i} for i in range(n)}
@@ -264,9 +318,12 @@ def agglomerate(points: np.ndarray, k: int = 3, linkage: str = "average") -> tup
     def between(a: int, b: int) -> float:
         if linkage in ("ward", "centroid"):
             gap = float(np.linalg.norm(centre[a] - centre[b]))
-            return gap if linkage == "centroid" else gap * gap * len(members[a]) * len(members[b]) / (len(members[a]) + len(members[b]))
+            m, o = weights[members[a]].sum(), weights[members[b]].sum()
+            return gap if linkage == "centroid" else gap * gap * m * o / (m + o)
         block = base[np.ix_(members[a], members[b])]
-        return float({"single": np.min, "complete": np.max, "average": np.mean}[linkage](block))
+        if linkage == "average":
+            return float(np.average(block, weights=np.outer(weights[members[a]], weights[members[b]])))
+        return float({"single": np.min, "complete": np.max}[linkage](block))
 
     if linkage in ("ward", "centroid"):
         d = {i: {j: between(i, j) for j in range(n) if j != i} for i in range(n)}
@@ -276,7 +333,7 @@ def agglomerate(points: np.ndarray, k: int = 3, linkage: str = "average") -> tup
         low, a, b = min((d[i][j], i, j) for x, i in enumerate(order) for j in order[x + 1 :])
         new = n + len(merges)
         members[new] = members.pop(a) + members.pop(b)
-        centre[new] = points[members[new]].mean(0)
+        centre[new] = np.average(points[members[new]], axis=0, weights=weights[members[new]])
         d.pop(a), d.pop(b)
         for other in d:
             d[other].pop(a), d[other].pop(b)
@@ -284,7 +341,7 @@ def agglomerate(points: np.ndarray, k: int = 3, linkage: str = "average") -> tup
         for other in [o for o in members if o != new]:
             d[new][other] = d[other][new] = between(other, new)
         children[new] = (a, b, low)
-        merges.append((len(merges), a, b, low, len(members[new])))
+        merges.append((len(merges), a, b, low, int(weights[members[new]].sum())))
     queue = list(members)
     while 0 < len(queue) < k:
         queue.sort(key=lambda x: -(children[x][2] if x in children else 0.0))
@@ -315,6 +372,34 @@ def hierarchical(scaled: DataFrame, k: int = 3, linkage: str = "average", column
     return Clustering(out, iterations=len(merges))
 
 
+def coarse(scaled: DataFrame, most: int, columns: list[str] = NAMES, iterations: int = 10, seed: int = 0) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """All rows (id, place) with their place among at most `most` centres, the centres and how many rows each has. The
+    centres are k-means' from rows drawn by hash; centres without rows are left out."""
+    found = k_means(scaled, most, max_iterations=iterations, seed=seed, plus=False, columns=columns).centroids
+    now = np.array(found).reshape(-1, len(columns))
+
+    def nearest_of(x: np.ndarray) -> np.ndarray:
+        return _distances(x, now).argmin(1) if len(now) else np.zeros(len(x), int)
+
+    used = gathered(scaled.select(*columns), columns, max(1, len(now)), lambda _, x: np.bincount(nearest_of(x), minlength=max(1, len(now))).astype(float))[: len(now)]
+    now, used = now[used > 0], used[used > 0]
+
+    def places(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"id": part["id"], "place": nearest_of(part[columns].to_numpy(float)).astype(np.int32)})
+
+    return scaled.select("id", *columns).mapInPandas(places, "id string, place int"), now, used
+
+
+def hierarchical_of_centres(scaled: DataFrame, k: int = 3, linkage: str = "average", columns: list[str] = NAMES, centres: int = 120, seed: int = 0) -> Clustering:
+    """Agglomeration of any number of rows: what merges are `centres` k-means centres, weighted by their rows, at every
+    size alike; a row has its centre's cluster. Only the centres are agglomerated at one place."""
+    placed, points, sizes = coarse(scaled, centres, columns, seed=seed)
+    labels, merges = agglomerate(points, k, linkage, sizes) if len(points) else (np.zeros(1, np.int32), [])
+    of = F.array(*[F.lit(int(x)) for x in labels])
+    return Clustering(placed.select("id", F.element_at(of, F.col("place") + 1).alias("cluster_id")), points.tolist(), len(merges))
+
+
 def mean_shift(scaled: DataFrame, bandwidth: float | None = 0.5, max_iterations: int = 100, tolerance: float = 1e-3, columns: list[str] = NAMES) -> Clustering:
     """Every row climbs to its mode over the density of all rows; modes are merged in order of seq with the first centre
     less than half a bandwidth away. bandwidth None: the median distance to the fifth neighbour. Each iteration deals the rows that still move and all rows as blocks, and adds up the sums."""
@@ -569,7 +654,8 @@ def silhouette(scaled: DataFrame, assignments: DataFrame, columns: list[str] = N
         i, c = np.nonzero(np.ones(count.shape, bool))
         return pd.DataFrame({"id": rows["id"].to_numpy()[i], "own": rows["_c"].to_numpy()[i], "other": of[c], "total": (d @ member)[i, c], "n": count[i, c]})
 
-    parts = against_all(data, run, "id string, own int, other int, total double, n double", columns, "_c")
+    schema = "id string, own int, other int, total double, n double"
+    parts = against_all(data, each(run, schema), schema, columns, "_c")
     means = parts.groupBy("id", "own", "other").agg((F.sum("total") / F.when(F.sum("n") > 0, F.sum("n"))).alias("mean"))
     same = F.col("own") == F.col("other")
     ab = means.groupBy("id", "own").agg(F.coalesce(F.max(F.when(same, F.col("mean"))), F.lit(0.0)).alias("a"), F.coalesce(F.min(F.when(~same, F.col("mean"))), F.lit(0.0)).alias("b"))

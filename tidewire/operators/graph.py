@@ -46,5 +46,5 @@ def components(links: DataFrame, limit: int = 1000) -> DataFrame:
         new = spread.join(jump, "to", "left").select("node", F.coalesce("far", "to").alias("component"), "was").checkpoint()
         labels = new.select("node", "component")
         if not new.filter("component <> was").limit(1).count():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still change after {limit} rounds")

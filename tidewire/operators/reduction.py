@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.features import NAMES, Scaler
-from tidewire.operators.clustering import bounded, gathered
+from tidewire.operators.clustering import bounded, coarse, gathered
 
 
 def covariance(df: DataFrame, columns: list[str] = NAMES) -> DataFrame:
@@ -123,14 +123,12 @@ def cluster_hulls(points: DataFrame) -> DataFrame:
     return points.select("cluster_id", "x", "y").mapInPandas(local, schema).groupBy("cluster_id").applyInPandas(whole, "cluster_id int, corner int, x double, y double")
 
 
-def tsne(df: DataFrame, perplexity: float = 30.0, iterations: int = 100, rate: float = 200.0, seed: int = 0, columns: list[str] = NAMES, most: int = 1000) -> DataFrame:
-    """Two-dimensional t-SNE of at most `most` rows: each point's bandwidth is found by bisection, then gradient descent
-    with momentum 0.5 and per-value gains. Quadratic in the rows and not distributed."""
-    rows = bounded(df, most, columns)
-    n = len(rows)
+def _embedded(x: np.ndarray, perplexity: float, iterations: int, rate: float, seed: int) -> np.ndarray:
+    """t-SNE of the rows of an array: each point's bandwidth is found by bisection, then gradient descent with momentum
+    0.5 and per-value gains."""
+    n = len(x)
     y = np.random.default_rng(seed).normal(0, 1e-2, (n, 2))
     if n > 2:
-        x = rows[columns].to_numpy(float)
         far = ((x[:, None] - x[None]) ** 2).sum(2)
         target, p = np.log(min(perplexity, (n - 1) / 3)), np.zeros((n, n))
         for i in range(n):
@@ -156,4 +154,30 @@ def tsne(df: DataFrame, perplexity: float = 30.0, iterations: int = 100, rate: f
             step = 0.5 * step - rate * gains * grad
             y = y + step
             y -= y.mean(0)
+    return y
+
+
+def tsne(df: DataFrame, perplexity: float = 30.0, iterations: int = 100, rate: float = 200.0, seed: int = 0, columns: list[str] = NAMES, most: int = 1000) -> DataFrame:
+    """Two-dimensional t-SNE of at most `most` rows. Quadratic in the rows and not distributed."""
+    rows = bounded(df, most, columns)
+    y = _embedded(rows[columns].to_numpy(float), perplexity, iterations, rate, seed)
     return df.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(rows["id"], y)], "id string, x double, y double")
+
+
+def tsne_of_landmarks(df: DataFrame, perplexity: float = 30.0, iterations: int = 100, rate: float = 200.0, seed: int = 0, columns: list[str] = NAMES, landmarks: int = 150) -> DataFrame:
+    """Two-dimensional t-SNE of any number of rows, at every size alike: `landmarks` k-means centres are embedded, and each
+    row lies at the mean of its three nearest ones, weighted by a kernel whose squared width is their mean squared distance."""
+    _, points, _ = coarse(df, landmarks, columns, seed=seed)
+    at = _embedded(points, perplexity, iterations, rate, seed)
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            x = part[columns].to_numpy(float)
+            far = sum((x[:, i, None] - points[None, :, i]) ** 2 for i in range(len(columns)))
+            near = np.argsort(far, 1, kind="stable")[:, :3]
+            d = np.take_along_axis(far, near, 1)
+            w = np.exp(-(d - d[:, :1]) / np.maximum(d.mean(1, keepdims=True), 1e-300))
+            y = (at[near] * w[:, :, None]).sum(1) / w.sum(1)[:, None]
+            yield pd.DataFrame({"id": part["id"], "x": y[:, 0], "y": y[:, 1]})
+
+    return df.select("id", *columns).mapInPandas(place, "id string, x double, y double")

@@ -12,7 +12,7 @@ from tidewire.functions.distance import array_distance
 from tidewire.functions.features import NAMES, Scaler, features, visual_columns
 from tidewire.functions.network import display_units, simulated_protocol
 from tidewire.operators import browse, clustering, detect, graph, models, reduction, sinks, statistics
-from tidewire.plans.views import FEATURES, FLOWS, FLOWS_DUP, PACKETS, distance_sql, flows, flows_dup, flows_small, packets, scaled_sql, tsv_lines
+from tidewire.plans.views import FEATURES, FLOWS, FLOWS_DUP, PACKETS, distance_sql, flows, flows_dup, packets, scaled_sql, tsv_lines
 from tidewire.sources import capture, generator
 
 QUERIES: dict = {}
@@ -48,11 +48,7 @@ def scaled(df: DataFrame) -> DataFrame:
     return Scaler.min_max(rows).apply(rows)
 
 
-def small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaled(flows_small(spark, sf_dir))
-
-
-SMALL = f"WITH RECURSIVE {FLOWS}, {FEATURES}, {scaled_sql('seq < 500')}"
+SCALED = f"WITH RECURSIVE {FLOWS}, {FEATURES}, {scaled_sql()}"
 
 
 # --- statistics
@@ -428,15 +424,15 @@ def _update(i: int, k: int) -> str:
     return f"c{i + 1} AS (SELECT k.c, {means} FROM (SELECT unnest(range(0, {k})) AS c) k LEFT JOIN (SELECT n{i}.c AS nc, s.* FROM n{i} JOIN scaled s USING (seq)) m ON m.nc = k.c GROUP BY k.c)"
 
 
-@query(f"{SMALL}, {_first(3)}, {_nearest(0)} SELECT seq, CAST(c AS INTEGER) AS cluster_id, round(d, 6) AS distance FROM n0")
+@query(f"{SCALED}, {_first(3)}, {_nearest(0)} SELECT seq, CAST(c AS INTEGER) AS cluster_id, round(d, 6) AS distance FROM n0")
 def nearest_centroid(spark, sf_dir):
-    rows = small(spark, sf_dir)
+    rows = scaled(flows(spark, sf_dir))
     return rounded(clustering.nearest(rows, clustering.first_rows(rows, 3)).select("seq", "cluster_id", "distance"))
 
 
-@query(f"{SMALL}, {_first(3)}, {_nearest(0)}, {_update(0, 3)}, {_nearest(1)}, {_update(1, 3)}, {_nearest(2)} SELECT CAST(seq AS VARCHAR) AS id, CAST(c AS INTEGER) AS cluster_id FROM n2")
+@query(f"{SCALED}, {_first(3)}, {_nearest(0)}, {_update(0, 3)}, {_nearest(1)}, {_update(1, 3)}, {_nearest(2)} SELECT CAST(seq AS VARCHAR) AS id, CAST(c AS INTEGER) AS cluster_id FROM n2")
 def kmeans_fixed(spark, sf_dir):
-    rows = small(spark, sf_dir)
+    rows = scaled(flows(spark, sf_dir))
     return clustering.k_means(rows, 3, init=clustering.first_rows(rows, 3), max_iterations=2, fixed=True).assignments
 
 
@@ -478,50 +474,50 @@ def cluster_boxes(spark, sf_dir):
     return rounded(clustering.boxes(points, ["x", "y"]))
 
 
-@query(f"{SMALL} SELECT CAST(seq % 3 AS INTEGER) AS cluster_id, " + ", ".join(f"round({f}({n}), 6) AS {f}_{n}" for n in NAMES for f in ("min", "max")) + " FROM scaled GROUP BY 1")
+@query(f"{SCALED} SELECT CAST(seq % 3 AS INTEGER) AS cluster_id, " + ", ".join(f"round({f}({n}), 6) AS {f}_{n}" for n in NAMES for f in ("min", "max")) + " FROM scaled GROUP BY 1")
 def cluster_bounds(spark, sf_dir):
-    rows = small(spark, sf_dir)
+    rows = scaled(flows(spark, sf_dir))
     return rounded(clustering.bounds(rows, by_remainder(rows)))
 
 
-@query(f"""{SMALL}, p AS (SELECT a.seq, a.seq % 3 AS own, b.seq % 3 AS other, avg({distance_sql('a', 'b')}) AS d FROM scaled a JOIN scaled b ON a.seq <> b.seq GROUP BY ALL),
+@query(f"""{SCALED}, p AS (SELECT a.seq, a.seq % 3 AS own, b.seq % 3 AS other, avg({distance_sql('a', 'b')}) AS d FROM scaled a JOIN scaled b ON a.seq <> b.seq GROUP BY ALL),
 q AS (SELECT seq, own, coalesce(max(d) FILTER (WHERE own = other), 0) AS a, coalesce(min(d) FILTER (WHERE own <> other), 0) AS b FROM p GROUP BY ALL)
 SELECT CAST(seq AS VARCHAR) AS id, CAST(own AS INTEGER) AS cluster_id, round(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS score FROM q""")
 def silhouette(spark, sf_dir):
-    rows = small(spark, sf_dir)
+    rows = scaled(flows(spark, sf_dir))
     return rounded(clustering.silhouette(rows, by_remainder(rows)))
 
 
-@query(f"""{SMALL}, {_first(3)}, {_nearest(0)}, m AS (SELECT c, avg(d) * 1.2 AS lim FROM n0 GROUP BY c)
+@query(f"""{SCALED}, {_first(3)}, {_nearest(0)}, m AS (SELECT c, avg(d) * 1.2 AS lim FROM n0 GROUP BY c)
 SELECT CAST(seq AS VARCHAR) AS id, CAST(n0.c AS INTEGER) AS nearest_id, round(d, 6) AS distance, round(least(1, d / (2 * lim)), 6) AS score, round(least(1, d / lim - 1), 6) AS confidence FROM n0 JOIN m USING (c) WHERE d > lim""")
 def cluster_outliers(spark, sf_dir):
-    rows = small(spark, sf_dir)
+    rows = scaled(flows(spark, sf_dir))
     centres = clustering.first_rows(rows, 3)
     assigned = clustering.nearest(rows, centres).select("id", "cluster_id")
     out = detect.cluster_outliers(rows, assigned, centres, NAMES, detect.Thresholds(outlier_factor=1.2))
     return rounded(out.select("id", "nearest_id", "distance", "score", "confidence"))
 
 
-@query(f"""{SMALL}, p AS (SELECT a.seq AS a, b.seq AS b FROM scaled a JOIN scaled b ON a.seq <> b.seq WHERE {distance_sql('a', 'b')} <= 1.0), k AS (SELECT a FROM p GROUP BY a HAVING count(*) >= 5),
+@query(f"""{SCALED}, p AS (SELECT a.seq AS a, b.seq AS b FROM scaled a JOIN scaled b ON a.seq <> b.seq WHERE {distance_sql('a', 'b')} <= 1.0), k AS (SELECT a FROM p GROUP BY a HAVING count(*) >= 5),
 l AS (SELECT p.a, p.b FROM p JOIN k ON k.a = p.a JOIN k j ON j.a = p.b), r(node, low) AS (SELECT a, a FROM k UNION SELECT l.b, r.low FROM l JOIN r ON l.a = r.node),
 m AS (SELECT node, min(low) AS root FROM r GROUP BY node), i AS (SELECT node, dense_rank() OVER (ORDER BY root) - 1 AS c FROM m), e AS (SELECT p.a, min(i.c) AS c FROM p JOIN i ON i.node = p.b GROUP BY p.a)
 SELECT s.id, CAST(coalesce(i.c, e.c, -1) AS INTEGER) AS cluster_id FROM scaled s LEFT JOIN i ON i.node = s.seq LEFT JOIN e ON e.a = s.seq""")
 def dbscan(spark, sf_dir):
-    return clustering.dbscan(small(spark, sf_dir), 1.0, 5).assignments
+    return clustering.dbscan(scaled(flows(spark, sf_dir)), 1.0, 5).assignments
 
 
-_KD = f"kd AS (SELECT a.id, {distance_sql('a', 'b')} AS d FROM scaled a JOIN scaled b ON a.seq <> b.seq QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {distance_sql('a', 'b')}) = 5)"
+_KD = f"kd AS (SELECT a.id, min({distance_sql('a', 'b')}, 5)[5] AS d FROM scaled a JOIN scaled b ON a.seq <> b.seq GROUP BY a.id)"
 
 
-@query(f"{SMALL}, {_KD} SELECT id, round(d, 6) AS k_distance FROM kd")
+@query(f"{SCALED}, {_KD} SELECT id, round(d, 6) AS k_distance FROM kd")
 def k_distance(spark, sf_dir):
-    return rounded(clustering.k_distances(small(spark, sf_dir), 5))
+    return rounded(clustering.k_distances(scaled(flows(spark, sf_dir)), 5))
 
 
-@query(f"""{SMALL}, {_KD}, o AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () - 1 AS n, min(d) OVER () AS lo, max(d) OVER () AS hi FROM kd)
+@query(f"""{SCALED}, {_KD}, o AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () - 1 AS n, min(d) OVER () AS lo, max(d) OVER () AS hi FROM kd)
 SELECT round(d, 6) AS epsilon FROM o ORDER BY abs((hi - lo) * i - n * (d - lo)) DESC, i LIMIT 1""")
 def epsilon_elbow(spark, sf_dir):
-    return spark.createDataFrame([(round(clustering.estimate_epsilon(small(spark, sf_dir), 5), 6),)], "epsilon double")
+    return spark.createDataFrame([(round(clustering.estimate_epsilon(scaled(flows(spark, sf_dir)), 5), 6),)], "epsilon double")
 
 
 # --- without SQL
@@ -551,7 +547,7 @@ def mean_shift(spark, sf_dir):
 
 @query()
 def agglomerative(spark, sf_dir):
-    return clustering.hierarchical(small(spark, sf_dir).filter("seq < 120"), 4, "average").assignments
+    return clustering.hierarchical_of_centres(scaled(flows(spark, sf_dir)), 4, "average").assignments
 
 
 @query()
@@ -587,7 +583,7 @@ def viewport(spark, sf_dir):
 
 @query()
 def tsne(spark, sf_dir):
-    return reduction.tsne(small(spark, sf_dir).filter("seq < 150"))
+    return reduction.tsne_of_landmarks(scaled(flows(spark, sf_dir)))
 
 
 @query()

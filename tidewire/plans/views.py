@@ -65,10 +65,6 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*f.columns)
 
 
-def flows_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows(spark, sf_dir).filter("seq < 500")
-
-
 def tsv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flows as capture lines."""
     f, empty = flows(spark, sf_dir), F.lit("")
@@ -109,10 +105,10 @@ _CELLS = [*_NUMBERS, *_ONE_HOT, *_TIMES, "syn", "ack", "fin", "rst", "psh", "urg
 FEATURES = "feats AS (SELECT seq, id, " + ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for x, n in zip(_CELLS, NAMES, strict=True)) + " FROM flows)"
 
 
-def scaled_sql(where: str = "true", name: str = "scaled") -> str:
-    """CTE of the min-max scaled features of the flows that fit a condition."""
+def scaled_sql() -> str:
+    """CTE of the min-max scaled features of all flows."""
     parts = ", ".join(f"CASE WHEN max({n}) OVER () > min({n}) OVER () THEN ({n} - min({n}) OVER ()) / (max({n}) OVER () - min({n}) OVER ()) ELSE 0.0 END AS {n}" for n in NAMES)
-    return f"{name} AS (SELECT seq, id, {parts} FROM feats WHERE {where})"
+    return f"scaled AS (SELECT seq, id, {parts} FROM feats)"
 
 
 def distance_sql(a: str, b: str) -> str:
