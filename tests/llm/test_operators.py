@@ -304,6 +304,42 @@ def test_sentencepiece_character_map():
         assert len(align) == len(got) + 1 and align == sorted(align) and align[-1] <= len(text.encode())
 
 
+def mapped_model(path) -> str:
+    """A model with a compiled character map and a few stated pieces, without byte pieces."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    rule = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True)
+    model = sentencepiece_model_pb2.ModelProto.FromString(rule.serialized_model_proto())
+    model.ClearField("pieces")
+    kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
+    for piece, score, kind in [("<unk>", 0, kinds.UNKNOWN), ("<s>", 0, kinds.CONTROL), ("</s>", 0, kinds.CONTROL), *[(x, -3.0 + len(x), kinds.NORMAL) for x in ["▁", *"abcefinABC1", "▁a", "fi", "fin", "▁fine", "ABC", "é", "ガ"]]]:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    model.trainer_spec.model_type = model.trainer_spec.UNIGRAM
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+def test_spans_through_a_character_map(spark, tmp_path):
+    """Ids and spans as the library's own, where characters change, vanish, merge or are unknown."""
+    import sentencepiece
+
+    from tidewire.llm.sentencepiece_codec import encode_documents
+
+    path = mapped_model(tmp_path / "mapped.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(7)
+    parts = ["ﬁne", "　", " ", "  ", "ＡＢＣ", "ｶﾞ", "①", "é", "e\u0301", "a", "b", "中文", "😀", "z", "\u200b", "\u00a0", "\n", "㍿"]
+    texts = ["", " ", None, "中", "中文 ﬁne", *["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(300)]]
+    got = encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    for r in got.collect():
+        text = texts[r.doc_id] or ""
+        want = library.encode(text, return_type="proto").pieces
+        assert r.ids == [p.id for p in want] + [2]
+        raw = text.encode()
+        assert [raw[a:b].decode() for a, b in zip(r.begins, r.ends)] == [p.surface for p in want] + [""], text
+
+
 def test_token_counts(spark, documents):
     from tidewire.llm.token_counts import TokenCounter, count_tokens
 
@@ -498,3 +534,36 @@ def test_pipeline_stages_keep_columns(spark, sf_dir):
             assert out.columns == docs.columns, name
             ids = sorted(r.doc_id for r in out.collect())
             assert ids == ([] if part is not docs else [1, 2, 3] if name == "minhash_near_dedup" else [1, 2, 3, 4]), name
+
+
+def test_packing_is_near_its_lower_bound():
+    from itertools import product
+
+    from tidewire.llm.packing import best_fit_decreasing, lower_bound, pack_histogram
+
+    def least(lengths, size):
+        """By trying: the fewest sequences of a few pieces."""
+        best = len(lengths)
+        for places in product(range(len(lengths)), repeat=len(lengths)):
+            loads = [0] * len(lengths)
+            for p, s in zip(places, lengths):
+                loads[p] += s
+            if max(loads) <= size:
+                best = min(best, sum(x > 0 for x in loads))
+        return best
+
+    rng = random.Random(3)
+    for _ in range(40):
+        lengths = [rng.randrange(1, 21) for _ in range(6)]
+        h = {s: lengths.count(s) for s in lengths}
+        best, plan = least(lengths, 20), sum(n for _, n in pack_histogram(h, 20))
+        assert lower_bound(h, 20) <= best <= plan <= sum(best_fit_decreasing(h, 20).values())
+    for seed in range(4):
+        rng = random.Random(seed)
+        h: dict[int, int] = {}
+        for _ in range(3000):
+            s = min(1024, int(rng.lognormvariate(5.5, 1)) + 1)
+            h[s] = h.get(s, 0) + 1
+        bound, plan = lower_bound(h), sum(n for _, n in pack_histogram(h))
+        assert -(-sum(s * n for s, n in h.items()) // 1024) <= bound <= plan <= bound + 2
+    assert lower_bound({}) == 0

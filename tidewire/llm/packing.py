@@ -169,6 +169,23 @@ def best_fit_decreasing(histogram: dict[int, int], size: int) -> Counter:
     return done
 
 
+def lower_bound(histogram: dict[int, int], size: int = SIZE) -> int:
+    """Sequences that no packing can do without: the greatest value of the configuration program's dual over a family of
+    feasible prices. For each t up to half the size, lengths over size - t cost a whole sequence, those over half need one
+    each, and those from t on need the room that these leave; shorter ones cost nothing."""
+    count = np.zeros(size + 1, np.int64)
+    for s, n in histogram.items():
+        count[s] = n
+    total = count * np.arange(size + 1)
+    half, best = size // 2, 0
+    for t in range(half + 1):
+        large, over = count[size - t + 1 :].sum(), slice(half + 1, size - t + 1)
+        room = count[over].sum() * size - total[over].sum()
+        rest = total[t : half + 1].sum() - room
+        best = max(best, int(large + count[over].sum() + max(0, -(-int(rest) // size))))
+    return best
+
+
 def pack_histogram(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """(configuration as (length, times) pairs, number of sequences): every piece is in one."""
     if not histogram:

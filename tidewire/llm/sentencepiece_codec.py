@@ -144,14 +144,19 @@ class Codec:
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             _, align = self.normalizer.normalize(raw[a:b])
             ids = np.array(self.library.encode(raw[a:b].decode()), np.int64)
-            at = np.concatenate(([0], np.cumsum(self.sizes[ids])))
+            sizes = self.sizes[ids]
+            if (unknown := ids == self.library.unk_id()).any():  # such a piece is as long as what it stands for
+                names = self.library.encode(raw[a:b].decode(), out_type=str)
+                sizes[unknown] = [len(names[i].encode()) for i in np.flatnonzero(unknown)]
+            at = np.concatenate(([0], np.cumsum(sizes)))
             align = np.array(align, np.int64)
             at = np.minimum(at, len(align) - 1)
             all_ids.append(ids)
             counts.append(len(ids))
             begins.append(align[at[:-1]])
             ends.append(align[at[1:]])
-        return np.concatenate(all_ids), np.array(counts), np.concatenate(begins), np.concatenate(ends)
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(none + all_ids), np.array(counts, np.int64), np.concatenate(none + begins), np.concatenate(none + ends)
 
 
 @cache
