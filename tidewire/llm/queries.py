@@ -81,7 +81,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_minhash_near_dedup, op4_substring_dedup, op5_best_fit_packing, op6_toxicity, op7_sentencepiece, op8_token_counts, op9_top_k, op10_embedding_dedup)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_minhash_near_dedup, op4_substring_dedup, op5_best_fit_packing, op6_toxicity, op7_sentencepiece, op8_token_counts, op9_top_k, op10_embedding_dedup, op12_filter_audit)}
 
 _SPLIT_URLS = r"""
 SELECT page_id, url,
@@ -109,4 +115,32 @@ scores AS (
   FROM q a JOIN q b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1, 2),
 ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op12_filter_audit": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM w GROUP BY text),
+f AS (
+  SELECT w.doc_id, part, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 5 * length(w.text))::INT
+    + 8 * regexp_matches(w.text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS fails
+  FROM w JOIN firsts ON w.text = firsts.text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, fails),
+letters AS (SELECT unnest([0, 1, 2, 3, 4]) AS k),
+orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (
+  SELECT array_to_string(list_transform(o, lambda k: chr(65 + k)), '') AS filter_order, s AS step, CAST(power(2, o[s]) AS INT) AS own,
+    CAST(coalesce(list_sum(list_transform(o[1:s - 1], lambda k: power(2, k))), 0) AS INT) AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s))
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+  CAST(coalesce(sum(n) FILTER (WHERE fails & (own | earlier) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (WHERE fails & own > 0 AND fails & earlier = 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (WHERE fails & own > 0 AND fails & earlier > 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (WHERE fails = own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (WHERE fails & own > 0 AND fails & earlier = 0), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (WHERE fails & own > 0 AND fails & earlier = 0), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * 120 / bit_count(fails)) FILTER (WHERE fails & own > 0), 0) AS BIGINT) AS shapley
+FROM m, steps GROUP BY part, filter_order, step""",
 }
