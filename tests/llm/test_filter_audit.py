@@ -28,7 +28,7 @@ def plain_failures(rows):
 
 def plain_audit(rows, labels):
     """rows: (doc_id, text, part)"""
-    good, toxic = {d for d, q, _ in labels if q == 1}, {d for d, _, t in labels if t == 1}
+    good, toxic = ({d for d, *x in labels if d is not None and x[k] == 1} for k in (0, 1))
     fails = plain_failures([r[:2] for r in rows])
     out = {}
     for part in {r[2] or "" for r in rows}:
