@@ -86,7 +86,7 @@ class FileWriter(DataSourceArrowWriter):
             for part in self.encode(counted()):
                 if out is None:
                     store.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)
                 out.write(part)
         finally:
             if out is not None:
