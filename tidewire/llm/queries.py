@@ -93,7 +93,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_minhash_near_dedup, op4_substring_dedup, op5_best_fit_packing, op6_toxicity, op7_sentencepiece, op8_token_counts, op9_top_k, op10_embedding_dedup, op11_spelling_variants, op12_filter_audit)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_minhash_near_dedup, op4_substring_dedup, op5_best_fit_packing, op6_toxicity, op7_sentencepiece, op8_token_counts, op9_top_k, op10_embedding_dedup, op11_spelling_variants, op12_filter_audit, op13_warc)}
 
 _SPLIT_URLS = r"""
 SELECT page_id, url,
@@ -184,4 +190,9 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step,
   CAST(coalesce(sum(toxic) FILTER (WHERE fails & own > 0 AND fails & earlier = 0), 0) AS BIGINT) AS toxic_lost,
   CAST(coalesce(sum(n * 120 / bit_count(fails)) FILTER (WHERE fails & own > 0), 0) AS BIGINT) AS shapley
 FROM m, steps GROUP BY part, filter_order, step""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, row_number() OVER same AS r, max(page_id) OVER (PARTITION BY html) AS last FROM p WINDOW same AS (PARTITION BY html ORDER BY page_id DESC))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND r > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND r > 1 THEN last END AS refers_to
+FROM d""",
 }
