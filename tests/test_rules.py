@@ -11,7 +11,8 @@ from tidewire.functions.distance import array_distance
 from tidewire.functions.features import Scaler
 from tidewire.operators import browse, clustering, detect, models, reduction, sinks, statistics
 from tidewire.sources import capture, generator
-from tidewire.sources.pcap import packets, read_pcap
+from plain_pcap import packets
+from tidewire.sources.pcap import read_pcap
 
 
 def one(df, *columns):
@@ -99,7 +100,7 @@ def test_pcap(spark, tmp_path):
             list(packets(bad))
     (tmp_path / "a.pcap").write_bytes(capture_file(frames))
     (tmp_path / "b.txt").write_bytes(b"no capture")
-    rows = read_pcap(spark, str(tmp_path)).orderBy("packet").collect()
+    rows = read_pcap(spark, str(tmp_path)).orderBy("offset").collect()
     assert [r.protocol for r in rows] == ["HTTPS", "DNS"] and rows[0].flags.syn and rows[0].flags.ack and not rows[0].flags.fin
     assert capture.uploads(spark, str(tmp_path)).count() == 1 and capture.uploads(spark, str(tmp_path), 10).count() == 0
 

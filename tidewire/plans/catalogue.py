@@ -19,8 +19,6 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 #: Thresholds at which every rule has flows that fire and flows that don't on the test tables.
 SHOWN = detect.Thresholds(ports=25, burst=1, cv=0.9)
-#: Values of seq in a capture file; the writer takes a million flows at most.
-CAPTURE = 500_000
 
 
 def query(sql: str | None = None):
@@ -726,19 +724,14 @@ def train_models(spark, sf_dir):
 q AS (SELECT *, coalesce({_port_case('destination_port', _tables()[0])}, {_port_case('source_port', _tables()[0])}, transport) AS app, greatest(byte_count, CASE transport WHEN 'TCP' THEN 54 ELSE 42 END) AS length FROM p)
 SELECT source_ip, destination_ip, app AS protocol, CAST(sum(length) AS BIGINT) AS byte_count, arg_min(ts_ms, seq) AS ts_ms FROM q GROUP BY source_ip, source_port, destination_ip, destination_port, app""")
 def pcap_import(spark, sf_dir):
-    """Captures of all flows but ICMP's, one for each slice of seq, read back and merged."""
+    """All flows written as captures, read back and merged; the reader leaves ICMP packets out."""
     from tidewire.sources.pcap import read_pcap, write_pcap
 
     path = scratch(spark)
-    rows = flows(spark, sf_dir).filter("protocol <> 'ICMP'").withColumn("slice", F.floor(F.col("seq") / CAPTURE))
-    for i in sorted(r.slice for r in rows.select("slice").distinct().collect()):
-        fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{i:012d}.pcap")
-        out = fs.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs)
-        out.write(write_pcap(rows.filter(F.col("slice") == i)))
-        out.close()
+    write_pcap(flows(spark, sf_dir), path)
     got = read_pcap(spark, path)
-    order = browse.numbered(got, "path", "packet", name="seq")
-    return statistics.merge_flows(order.drop("path", "packet")).select("source_ip", "destination_ip", "protocol", "byte_count", "ts_ms")
+    order = browse.numbered(got, "path", "offset", name="seq")
+    return statistics.merge_flows(order.drop("path", "offset")).select("source_ip", "destination_ip", "protocol", "byte_count", "ts_ms")
 
 
 @query(f"""WITH {FLOWS} SELECT count(*) AS total_flows, CAST(sum(coalesce(nullif(byte_count, 0), 64)) AS BIGINT) AS total_bytes, count(*) AS total_packets,
