@@ -20,14 +20,14 @@ def frame(rng, kind, payload):
     return bytes(12) + rng.choice([b"\x08\x00"] * 4 + [b"\x86\xdd"]) + ip + part + payload
 
 
-def capture(n, seed, order="<", unit=10**6, inner=b""):
+def capture(n, seed, order="<", unit=10**6, inner=b"", more=9):
     """Payloads are random, zeros, small numbers, or captures themselves."""
     rng = random.Random(seed)
     out = struct.pack(f"{order}IHHiIII", 0xA1B2C3D4 if unit == 10**6 else 0xA1B23C4D, 2, 4, 0, 0, 400, 1)
     for i in range(n):
         payload = rng.choice([rng.randbytes(rng.randrange(60)), bytes(rng.randrange(90)), struct.pack(f"{order}I", rng.randrange(1, 40)) * rng.randrange(30), inner[24 : 24 + rng.randrange(300)]])
         f = frame(rng, rng.choice([6, 6, 17, 1]), payload) if rng.random() < 0.95 else rng.randbytes(rng.randrange(1, 40))
-        out += struct.pack(f"{order}IIII", 1_700_000_000 + i, rng.randrange(unit), len(f), len(f) + rng.randrange(9)) + f
+        out += struct.pack(f"{order}IIII", 1_700_000_000 + i, rng.randrange(unit), len(f), len(f) + rng.randrange(more)) + f
     return out
 
 
@@ -70,6 +70,15 @@ def test_a_capture_within_a_packet():
         assert offsets(data, 24, cut, 1 << 15) + offsets(data, cut, len(data), 1 << 15) == want
 
 
+def test_shadows():
+    """Where captured and original lengths are equal, a second chain runs four bytes behind the headers."""
+    data = capture(300, 13, more=1)
+    want = every_offset(data)
+    for cut in range(24, len(data), 7):
+        form = Format("<", 10**6, 450)
+        assert first_header(io.BytesIO(data), form, cut, len(data), len(data)) == next((o for o in want if o >= cut), len(data))
+
+
 def test_small_reads(monkeypatch):
     data = capture(60, 7, inner=capture(9, 1))
     for n in (16, 50, 200):

@@ -2,11 +2,13 @@
 
 Reading: a file is cut into blocks of bytes, a task each; a block's task reads the packets whose record headers begin in
 it, a few MB at a time. Classic captures have no marks at which a reader could start, so a task looks at all offsets of
-the stretch before its block at which a header could be (a possible length, a possible fraction of a second) and follows
-each from header to header. The file's own chain of headers never breaks, so where all chains that reach the block arrive
-at one place, that is the first header of the block. Where they arrive at several, a longer stretch is taken, at last the
-whole file up to there, whose first header is known. Chains of other offsets hardly ever last: they break or run into the
-file's own.
+a stretch before its block at which a header could be (a possible length, a possible fraction of a second) and follows
+each from header to header. The file's own chain of headers has one within the longest packet from the stretch's begin,
+and never breaks. Other chains from there break on the way or run into it, but for one: four bytes behind a header stand
+the captured and the original length, which are equal in most packets and read as a fraction and a length, so the
+file's chain has a shadow four bytes behind it. So, of two places four bytes apart at which chains arrive in the block the
+first one counts. Where there still are several, a longer stretch is taken, up to MOST_BEFORE, where the chain that begins
+first counts, or to the file's first header, whose chain is the file's own.
 
 A header that can't be one ends its block (zeros behind the last packet, a file cut short, damage); after damage, blocks
 go on at the first offset from which headers follow each other to the end of a window.
@@ -43,6 +45,8 @@ FILE_HEADER, HEADER = 24, 16
 LONGEST = 1 << 18
 BLOCK_BYTES = 64 << 20
 _READ = 4 << 20
+#: Bytes before a block that are looked at where less of them leave several places for its first header.
+MOST_BEFORE = 16 << 20
 
 _OCTETS = pa.array([str(i) for i in range(256)])
 
@@ -97,17 +101,22 @@ def _read_at(file, at: int, n: int) -> np.ndarray:
 
 def first_header(file, form: Format, start: int, end: int, size: int) -> int:
     """The first header of a block; its end if it has none."""
-    stretch = form.longest + HEADER
+    longest = form.longest + HEADER
+    stretch = 4 * longest
     while start > FILE_HEADER:
         a = max(FILE_HEADER, start - stretch)
         arrives = _followed(form.next(_read_at(file, a, start - a + HEADER - 1), a, start - a, size), a, start)
-        places = np.unique(arrives[arrives >= start])
+        if a == FILE_HEADER and arrives[0] >= start:
+            return min(int(arrives[0]), end)
+        early = arrives[:longest]  # the file's own chain has a header among the first offsets
+        places = np.unique(early[early >= start])
+        places = places[~np.isin(places - 4, places)]  # without shadows
         if len(places) == 1:
             return min(int(places[0]), end)
         if not len(places):
             return _after_damage(file, form, start, end, size)
-        if a == FILE_HEADER:
-            return min(int(arrives[0] if arrives[0] >= start else places[0]), end)
+        if a == FILE_HEADER or stretch >= MOST_BEFORE:
+            return min(int(early[np.isin(early, places)][0]), end)
         stretch *= 4
     return FILE_HEADER
 
