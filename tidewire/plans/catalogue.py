@@ -14,6 +14,7 @@ from tidewire.functions.network import display_units, simulated_protocol
 from tidewire.operators import browse, clustering, detect, graph, models, reduction, sinks, statistics
 from tidewire.plans.views import FEATURES, FLOWS, FLOWS_DUP, PACKETS, distance_sql, flows, flows_dup, packets, scaled_sql, tsv_lines
 from tidewire.sources import capture, generator
+from tidewire.streaming.alerts import Rule
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +38,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-")
+    """A new folder name in the folder that all executors share; on one machine a temporary folder may stand for it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidewire-")
     return f"{base.rstrip('/')}/tidewire-{uuid.uuid4().hex}"
 
 
@@ -749,6 +755,54 @@ def stream_stats(spark, sf_dir):
     return rounded(statistics.totals(spark.read.parquet(f"{path}/out/flows"))).join(served)
 
 
+HOUR_MS, LATE_MS = 3_600_000, 300_000
+#: Every metric and operator; windows without flows count where `quiet` and `cluster` are judged.
+ALERTS = [
+    Rule("busy", "flow_count", ">", 20, HOUR_MS, 2 * HOUR_MS, "high", "Busy hour"),
+    Rule("quiet", "flow_count", "<=", 0, HOUR_MS // 6, HOUR_MS, "low"),
+    Rule("bytes", "byte_count", ">=", 1_500_000, HOUR_MS),
+    Rule("packets", "packet_count", ">", 400, HOUR_MS // 4, HOUR_MS // 2, "critical"),
+    Rule("anomaly", "anomaly_count", "=", 1, HOUR_MS // 2, 24 * HOUR_MS),
+    Rule("web", "protocol_ratio", ">=", 0.5, HOUR_MS, 6 * HOUR_MS, of="HTTP"),
+    Rule("cluster", "cluster_density", "<", 0.2, 2 * HOUR_MS, 12 * HOUR_MS, of=0),
+    Rule("off", "flow_count", ">", 0, HOUR_MS, enabled=False),
+]
+
+
+def _alerts_sql() -> str:
+    """Each rule's windows without gaps, those that hold, and of these the first and then each one after a cooldown."""
+    of = {"flow_count": "count(ts_ms)", "byte_count": "coalesce(sum(byte_count), 0)", "packet_count": "coalesce(sum(packet_count), 0)", "anomaly_count": "count(*) FILTER (WHERE is_anomaly)"}
+    parts = []
+    for r in ALERTS:
+        if r.enabled:
+            column = {"protocol_ratio": "protocol", "cluster_density": "cluster"}.get(r.metric)
+            value = of.get(r.metric) or f"coalesce(count(*) FILTER (WHERE {column} = {r.of!r}) / nullif(count(ts_ms), 0), 0)"
+            spine = f"SELECT unnest(range(t0 // {r.window_ms} * {r.window_ms}, (t1 - {LATE_MS}) // {r.window_ms} * {r.window_ms}, {r.window_ms})) AS s FROM b"
+            parts.append(f"SELECT '{r.id}' AS rule, '{r.name or r.id}' AS name, '{r.severity}' AS severity, '{r.metric}' AS metric, s AS window_start, s + {r.window_ms} AS window_end, CAST({value} AS DOUBLE) AS value, CAST({r.threshold} AS DOUBLE) AS threshold, {r.cooldown_ms} AS cooldown FROM ({spine}) LEFT JOIN x ON ts_ms // {r.window_ms} * {r.window_ms} = s GROUP BY s HAVING {value} {r.operator} {r.threshold}")
+    return f"""WITH RECURSIVE {FLOWS}, x AS (SELECT *, seq % 3 AS cluster FROM flows), b AS (SELECT min(ts_ms) AS t0, max(ts_ms) AS t1 FROM flows), held AS ({" UNION ALL ".join(parts)}),
+following AS (SELECT h.rule, h.window_end, min(i.window_end) AS n FROM held h JOIN held i ON h.rule = i.rule AND i.window_end > h.window_end AND i.window_end >= h.window_end + h.cooldown GROUP BY ALL),
+fired(rule, e) AS (SELECT rule, min(window_end) FROM held GROUP BY rule UNION ALL SELECT f.rule, n FROM fired f JOIN following g ON f.rule = g.rule AND f.e = g.window_end)
+SELECT rule, name, severity, metric, window_start, window_end, round(value, 6) AS value, threshold FROM held JOIN fired USING (rule) WHERE window_end = e"""
+
+
+@query(_alerts_sql())
+def alert_rules(spark, sf_dir):
+    """Flows replayed in slices of time; after each the query is stopped and started again from its checkpoint."""
+    from tidewire.streaming.alerts import ALERT, start_alerts
+
+    path = scratch(spark)
+    f = flows(spark, sf_dir).select("ts_ms", "byte_count", "packet_count", "is_anomaly", "protocol", (F.col("seq") % 3).cast("int").alias("cluster_id"))
+    f.limit(0).write.parquet(f"{path}/flows")
+    first, last = f.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    for i in range(3):
+        a, b = (first + (last + 1 - first) * k // 3 for k in (i, i + 1))
+        f.filter(F.col("ts_ms").between(a, b - 1)).write.mode("append").parquet(f"{path}/flows")
+        running = start_alerts(spark.readStream.schema(f.schema).parquet(f"{path}/flows"), ALERTS, f"{path}/alerts", f"{path}/state", f"{LATE_MS} milliseconds", 0)
+        running.processAllAvailable()
+        running.stop()
+    return rounded(spark.read.schema(ALERT).parquet(f"{path}/alerts"))
+
+
 @query(f"WITH {FLOWS} SELECT seq, id, source_ip, destination_ip, byte_count FROM flows WHERE is_anomaly")
 def flagged_flows(spark, sf_dir):
     return flows(spark, sf_dir).filter("is_anomaly").select("seq", "id", "source_ip", "destination_ip", "byte_count")
