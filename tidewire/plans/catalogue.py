@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -744,15 +745,93 @@ def pcap_import(spark, sf_dir):
 CAST(0 AS DOUBLE) AS avg_duration, least(count(*), 1000) AS served_flows FROM flows""")
 def stream_stats(spark, sf_dir):
     """Capture lines as a stream: totals of all flows that it appended, and how many the serving tables hold in the end."""
-    from tidewire.streaming.live import read_lines, start
+    from tidewire.streaming.live import read_lines, served, start
 
     path = scratch(spark)
     tsv_lines(spark, sf_dir).select("value").repartition(4).write.text(f"{path}/lines")
     running = start(read_lines(spark, f"{path}/lines", 2), f"{path}/out", f"{path}/state", seconds=0)
     running.processAllAvailable()
     running.stop()
-    served = spark.read.parquet(f"{path}/out/totals").select(F.col("total_flows").alias("served_flows"))
-    return rounded(statistics.totals(spark.read.parquet(f"{path}/out/flows"))).join(served)
+    count = served(spark, f"{path}/out", "totals").select(F.col("total_flows").alias("served_flows"))
+    return rounded(statistics.totals(spark.read.parquet(f"{path}/out/flows"))).join(count)
+
+
+#: Slices of time in which streams are replayed.
+SLICES = 3
+
+
+def sliced(df: DataFrame) -> list[DataFrame]:
+    """The rows of equal spans of time, in their order."""
+    first, last = df.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    bounds = [first + (last + 1 - first) * i // SLICES for i in range(SLICES + 1)]
+    return [df.filter(F.col("ts_ms").between(a, b - 1)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+_SLICED = f"x AS (SELECT f.*, (SELECT count(*) FROM range(1, {SLICES}) WHERE f.ts_ms >= t0 + (t1 + 1 - t0) * range // {SLICES}) AS slice FROM flows f, (SELECT min(ts_ms) AS t0, max(ts_ms) AS t1 FROM flows))"
+
+
+@query(f"""WITH {FLOWS}, p AS (SELECT *, {_PROTO} AS n FROM flows ORDER BY ts_ms DESC LIMIT 1000),
+q AS (SELECT ts_ms, source_ip, CASE WHEN n IN (6, 17) THEN source_port ELSE 0 END AS sp, CASE WHEN n IN (6, 17) THEN destination_port ELSE 0 END AS dp, n, coalesce(nullif(byte_count, 0), 64) AS bytes FROM p),
+r AS (SELECT *, CASE WHEN n IN (6, 17) THEN coalesce({_port_case('dp', _tables()[0])}, {_port_case('sp', _tables()[0])}, CASE n WHEN 6 THEN 'TCP' ELSE 'UDP' END) WHEN n = 1 THEN 'ICMP' ELSE 'OTHER' END AS protocol FROM q),
+b AS (SELECT min(ts_ms) AS t0, max(ts_ms) AS t1, greatest(60000, (max(ts_ms) - min(ts_ms)) // 100) AS w FROM r), c AS (SELECT (ts_ms - t0) // w AS i, count(*) AS f, sum(bytes) AS s FROM r, b GROUP BY 1)
+SELECT 'totals' AS "table", 'all' AS key, count(*) AS flow_count, CAST(sum(bytes) AS BIGINT) AS byte_count FROM r UNION ALL SELECT 'protocols', protocol, count(*), 0 FROM r GROUP BY protocol
+UNION ALL SELECT 'ports', CAST(dp AS VARCHAR), count(*), 0 FROM r GROUP BY dp UNION ALL (SELECT 'talkers', source_ip, count(*), CAST(sum(bytes) AS BIGINT) FROM r GROUP BY source_ip ORDER BY sum(bytes) DESC LIMIT 10)
+UNION ALL SELECT 'series', CAST(t0 + g.i * w AS VARCHAR), coalesce(f, 0), CAST(coalesce(s, 0) AS BIGINT) FROM (SELECT unnest(range(0, (t1 - t0) // w + 1)) AS i, t0, w FROM b) g LEFT JOIN c ON g.i = c.i""")
+def stream_serving(spark, sf_dir):
+    """All serving tables after capture lines came in slices of time, with a new start of the stream between them."""
+    from tidewire.streaming.live import read_lines, served, start
+
+    path = scratch(spark)
+    times = tsv_lines(spark, sf_dir).join(flows(spark, sf_dir).select("seq", "ts_ms"), "seq")
+    times.limit(0).select("value").write.text(f"{path}/lines")
+    for part in sliced(times):
+        part.select("value").write.mode("append").text(f"{path}/lines")
+        running = start(read_lines(spark, f"{path}/lines"), f"{path}/out", f"{path}/state", seconds=0)
+        running.processAllAvailable()
+        running.stop()
+    of = lambda name: served(spark, f"{path}/out", name)
+    none = F.lit(0).cast("long")  # these tables have no bytes
+    shown = {
+        "totals": (F.lit("all"), F.col("total_flows"), F.col("total_bytes")),
+        "protocols": (F.col("protocol"), F.col("flow_count"), none),
+        "ports": (F.col("destination_port").cast("string"), F.col("flow_count"), none),
+        "talkers": (F.col("source_ip"), F.col("flow_count"), F.col("byte_count")),
+        "series": (F.col("start_ms").cast("string"), F.col("flow_count"), F.col("byte_count")),
+    }
+    parts = [of(name).select(F.lit(name).alias("table"), key.alias("key"), n.alias("flow_count"), size.alias("byte_count")) for name, (key, n, size) in shown.items()]
+    return functools.reduce(DataFrame.union, parts)
+
+
+def _mini_batches_sql(k: int, decay: float) -> str:
+    """Centres after each slice, scaled by the first slice's minima and maxima."""
+    bounds = ", ".join(f"min({n}) FILTER (WHERE slice = 0) OVER () AS lo_{n}, max({n}) FILTER (WHERE slice = 0) OVER () AS hi_{n}" for n in NAMES)
+    scaled_ = ", ".join(f"CASE WHEN hi_{n} > lo_{n} THEN ({n} - lo_{n}) / (hi_{n} - lo_{n}) ELSE 0.0 END AS {n}" for n in NAMES)
+    ctes = [FLOWS, _SLICED, FEATURES, f"b AS (SELECT feats.*, slice, {bounds} FROM feats JOIN x USING (seq))", f"scaled AS (SELECT seq, slice, {scaled_} FROM b)"]
+    ctes.append(f"c0 AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS c, 0.0 AS weight, * EXCLUDE (seq, slice) FROM scaled WHERE slice = 0 ORDER BY seq LIMIT {k})")
+    for i in range(SLICES):
+        d = distance_sql("s", "c")
+        ctes.append(f"n{i} AS (SELECT s.*, c.c FROM scaled s CROSS JOIN c{i} c WHERE s.slice = {i} QUALIFY row_number() OVER (PARTITION BY s.seq ORDER BY {d}, c.c) = 1)")
+        w = f"({decay} * any_value(c.weight) + count(n.c))"
+        means = ", ".join(f"CASE WHEN {w} > 0 THEN ({decay} * any_value(c.weight) * any_value(c.{n}) + coalesce(sum(n.{n}), 0)) / {w} ELSE any_value(c.{n}) END AS {n}" for n in NAMES)
+        ctes.append(f"c{i + 1} AS (SELECT c.c, {w} AS weight, {means} FROM c{i} c LEFT JOIN n{i} n ON n.c = c.c GROUP BY c.c)")
+    return "WITH " + ", ".join(ctes) + f" SELECT CAST(c AS INTEGER) AS cluster_id, round(CAST(weight AS DOUBLE), 6) AS weight, {', '.join(f'round({n}, 6) AS {n}' for n in NAMES)} FROM c{SLICES}"
+
+
+@query(_mini_batches_sql(4, 0.8))
+def stream_clusters(spark, sf_dir):
+    """Centres kept by a stream of flows that come in slices of time, with a new start of the stream between them."""
+    from tidewire.streaming.live import served, start_clusters
+
+    path = scratch(spark)
+    f = flows(spark, sf_dir)
+    f.limit(0).write.parquet(f"{path}/flows")
+    for part in sliced(f):
+        part.write.mode("append").parquet(f"{path}/flows")
+        running = start_clusters(spark.readStream.schema(f.schema).parquet(f"{path}/flows"), f"{path}/out", f"{path}/state", 4, 0.8, 0)
+        running.processAllAvailable()
+        running.stop()
+    got = served(spark, f"{path}/out", "clusters")
+    return rounded(got.select("cluster_id", "weight", *[F.col("centre")[i].alias(n) for i, n in enumerate(NAMES)]))
 
 
 HOUR_MS, LATE_MS = 3_600_000, 300_000
@@ -793,10 +872,8 @@ def alert_rules(spark, sf_dir):
     path = scratch(spark)
     f = flows(spark, sf_dir).select("ts_ms", "byte_count", "packet_count", "is_anomaly", "protocol", (F.col("seq") % 3).cast("int").alias("cluster_id"))
     f.limit(0).write.parquet(f"{path}/flows")
-    first, last = f.agg(F.min("ts_ms"), F.max("ts_ms")).first()
-    for i in range(3):
-        a, b = (first + (last + 1 - first) * k // 3 for k in (i, i + 1))
-        f.filter(F.col("ts_ms").between(a, b - 1)).write.mode("append").parquet(f"{path}/flows")
+    for part in sliced(f):
+        part.write.mode("append").parquet(f"{path}/flows")
         running = start_alerts(spark.readStream.schema(f.schema).parquet(f"{path}/flows"), ALERTS, f"{path}/alerts", f"{path}/state", f"{LATE_MS} milliseconds", 0)
         running.processAllAvailable()
         running.stop()
