@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.features import NAMES
 from tidewire.operators.graph import components
+from tidewire.operators.neighbours import nearest_neighbours
 
 #: Rows of a block where all pairs of rows are met.
 BLOCK = 4096
@@ -227,16 +228,8 @@ def each(function: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]
 
 def k_distances(scaled: DataFrame, k: int = 5, columns: list[str] = NAMES) -> DataFrame:
     """(id, k_distance): distance to the k-th nearest other row, to the furthest if there are fewer; 0 without others."""
-
-    def run(rows, others, d, itself):
-        d[itself] = np.inf
-        least = np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "near": [x[np.isfinite(x)] for x in least]})
-
-    schema = "id string, near array<double>"
-    parts = against_all(scaled, each(run, schema), schema, columns)
-    near = parts.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    return near.select("id", F.coalesce(F.element_at("near", F.when(F.size("near") > 0, -1)), F.lit(0.0)).alias("k_distance"))
+    near = nearest_neighbours(scaled, k, columns)
+    return near.select("id", F.coalesce(F.element_at("distances", F.when(F.size("distances") > 0, -1)), F.lit(0.0)).alias("k_distance"))
 
 
 def estimate_epsilon(scaled: DataFrame, k: int = 5, columns: list[str] = NAMES) -> float:
