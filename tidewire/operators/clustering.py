@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.features import NAMES
 from tidewire.operators.graph import components
 from tidewire.operators.neighbours import nearest_neighbours
+from tidewire.operators.statistics import value_at_rank
 
 #: Rows of a block where all pairs of rows are met.
 BLOCK = 4096
@@ -393,12 +394,19 @@ def hierarchical_of_centres(scaled: DataFrame, k: int = 3, linkage: str = "avera
     return Clustering(placed.select("id", F.element_at(of, F.col("place") + 1).alias("cluster_id")), points.tolist(), len(merges))
 
 
+def estimate_bandwidth(scaled: DataFrame, columns: list[str] = NAMES, k: int = 5) -> float | None:
+    """The median distance to the k-th neighbour, between the two middle ones of an even number; None without rows."""
+    far = k_distances(scaled, k, columns).checkpoint()
+    n = far.count()
+    middle = [value_at_rank(far, "k_distance", r) for r in ((n + 1) // 2, n // 2 + 1)] if n else [None]
+    return None if middle[0] is None else sum(middle) / len(middle)
+
+
 def mean_shift(scaled: DataFrame, bandwidth: float | None = 0.5, max_iterations: int = 100, tolerance: float = 1e-3, columns: list[str] = NAMES) -> Clustering:
     """Every row climbs to its mode over the density of all rows; modes are merged in order of seq with the first centre
     less than half a bandwidth away. bandwidth None: the median distance to the fifth neighbour. Each iteration deals the rows that still move and all rows as blocks, and adds up the sums."""
     if bandwidth is None:
-        row = k_distances(scaled, 5, columns).agg(F.percentile("k_distance", 0.5).alias("m")).first()
-        bandwidth = row.m or 0.5
+        bandwidth = estimate_bandwidth(scaled, columns) or 0.5
     fixed = scaled.select(*columns).withColumn("at", F.array(*columns)).select("at").checkpoint()
     n = max(1, -(-fixed.count() // BLOCK))
     block = F.pmod(F.xxhash64("at", F.monotonically_increasing_id()), F.lit(n)).cast("int")
@@ -591,8 +599,8 @@ def isolation_forest(scaled: DataFrame, trees: int = 100, sample: int = 256, con
             yield pd.DataFrame({"id": part["id"], "score": 2.0 ** (-depth / len(grown) / norm)})
 
     scored = scaled.select("id", *columns).mapInPandas(score, "id string, score double").checkpoint()
-    rank = int(contamination * n + 1e-9) + 1
-    cut = scored.agg(F.expr(f"percentile_disc({(rank - 0.5) / n}) within group (order by score desc)").alias("cut")).first().cut or 0.5
+    cut = value_at_rank(scored, "score", n - int(contamination * n + 1e-9))
+    cut = 0.5 if cut is None else cut
     flagged = scored.withColumn("cluster_id", F.when(F.col("score") >= cut, -1).otherwise(0))
     return Clustering(flagged.select("id", "cluster_id"), scores=scored, iterations=trees)
 
@@ -656,6 +664,41 @@ def silhouette(scaled: DataFrame, assignments: DataFrame, columns: list[str] = N
     return ab.select("id", F.col("own").alias("cluster_id"), F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0).alias("score"))
 
 
+def sampled_silhouette(scaled: DataFrame, assignments: DataFrame, columns: list[str] = NAMES, most: int = 200) -> DataFrame:
+    """As silhouette, of a systematic sample of at most about `most` rows, each against all rows: one pass, in which every
+    task adds up its rows' distances to the sample by cluster."""
+    from tidewire.operators.browse import systematic_sample
+
+    data = scaled.select("id", "seq", *columns).join(assignments.filter("cluster_id >= 0").select("id", F.col("cluster_id").cast("int").alias("_c")), "id").checkpoint()
+    sample = systematic_sample(data, most).orderBy("seq").select("id", "_c", *columns).toPandas()  # a bounded number
+    points, ids = sample[columns].to_numpy(float), sample["id"].to_numpy()
+    place = {x: i for i, x in enumerate(ids)}
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for part in parts:
+            for i in range(0, len(part), 4096):
+                block = part.iloc[i : i + 4096]
+                d, of = _distances(block[columns].to_numpy(float), points), block["_c"].to_numpy()
+                other = np.ones(d.shape)
+                for row, name in enumerate(block["id"]):
+                    if name in place:
+                        d[row, place[name]] = other[row, place[name]] = 0.0
+                for c in np.unique(of).tolist():
+                    total[c] = total.get(c, 0) + np.stack((d[of == c].sum(0), other[of == c].sum(0)))
+        for c, (far, n) in total.items():
+            yield pd.DataFrame({"place": np.arange(len(points), dtype=np.int32), "other": np.int32(c), "total": far, "n": n})
+
+    schema = "place int, other int, total double, n double"
+    means = data.select("id", "_c", *columns).mapInPandas(sums, schema).groupBy("place", "other").agg((F.sum("total") / F.when(F.sum("n") > 0, F.sum("n"))).alias("mean"))
+    own = scaled.sparkSession.createDataFrame([(i, x, int(c)) for i, (x, c) in enumerate(zip(ids, sample["_c"], strict=True))], "place int, id string, cluster_id int")
+    same = F.col("other") == F.col("cluster_id")
+    of_row = means.join(own, "place").groupBy("id", "cluster_id")
+    ab = of_row.agg(F.coalesce(F.max(F.when(same, F.col("mean"))), F.lit(0.0)).alias("a"), F.coalesce(F.min(F.when(~same, F.col("mean"))), F.lit(0.0)).alias("b"))
+    top = F.greatest("a", "b")
+    return ab.select("id", "cluster_id", F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0).alias("score"))
+
+
 ALGORITHMS: dict[str, Callable[..., Clustering]] = {
     "kmeans": lambda df, **p: k_means(df, plus=False, **p),
     "kmeans++": k_means,

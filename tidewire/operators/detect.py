@@ -1,7 +1,7 @@
 """Rule-based and cluster-based anomaly detection.
 
-All rules are columns of one table: flows with the global baseline (one row), with their source's aggregates (one
-shuffle on source_ip) and with the count around them at their destination (one shuffle on destination_ip).
+All rules are columns of one table: flows with the global baseline (one row), with their source's aggregates and with
+the count around them at their destination. Sources with a large share of the flows are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.network import is_broadcast, is_mismatch, is_private, recommendation, severity
+from tidewire.operators.skew import heavy_keys, spread_join
 from tidewire.operators.statistics import baseline as baseline_of
 from tidewire.operators.statistics import burst_counts, drop_exact_duplicates, interarrival
 
@@ -48,7 +49,7 @@ def enrich(flows: DataFrame, baseline: DataFrame | None = None, t: Thresholds =
     per_source = gaps.join(seen, "source_ip")
     counted = burst_counts(flows, t.burst_ms, baseline)
     fill = {"distinct_ports": 0, "distinct_countries": 0, "source_flows": 0}
-    return counted.join(per_source, "source_ip", "left").fillna(fill).withColumn("base", base)
+    return spread_join(counted, per_source, "source_ip", heavy_keys(flows, "source_ip"), "seq").fillna(fill).withColumn("base", base)
 
 
 def rule_columns(t: Thresholds = Thresholds()) -> list[tuple[str, Column, Column]]:

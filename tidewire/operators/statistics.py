@@ -142,17 +142,55 @@ def burst_counts(flows: DataFrame, within_ms: int = 60_000, known: DataFrame | N
 def trailing_zscore(series: DataFrame, value: str, n: int = 10, threshold: float = 2.0, partition: str | None = None, piece: int = 100_000) -> DataFrame:
     """z of each value against the n before it (none of which may lack), whether it exceeds the threshold, and a score.
 
-    Without a partition column the whole series is cut into pieces of rows, each with the n rows before it."""
+    The series, or the series of all values of the partition column one behind the other, is cut into pieces of rows,
+    each with the n rows before it, so that a long series is many groups and short ones share a group."""
     names = series.columns
-    if partition is None:
-        series = numbered(series, "ts_ms", "seq", name="_row").withColumn("_piece", F.floor(F.col("_row") / piece)).withColumn("_own", F.lit(True))
-        ahead = series.filter(F.col("_row") % piece >= piece - n).withColumn("_piece", F.col("_piece") + 1).withColumn("_own", F.lit(False))
-        series, partition = series.unionByName(ahead), "_piece"
-    past = Window.partitionBy(partition).orderBy("ts_ms", "seq").rowsBetween(-n, -1)
-    out = series.withColumns({"_mean": F.avg(value).over(past), "_std": F.stddev_pop(value).over(past), "_have": F.count(value).over(past)})
-    if "_own" in out.columns:
-        out = out.filter("_own")
+    order = [*([partition] if partition else []), "ts_ms", "seq"]
+    series = numbered(series, *order, name="_row").withColumn("_piece", F.floor(F.col("_row") / piece)).withColumn("_own", F.lit(True))
+    ahead = series.filter(F.col("_row") % piece >= piece - n).withColumn("_piece", F.col("_piece") + 1).withColumn("_own", F.lit(False))
+    past = Window.partitionBy("_piece", *([partition] if partition else [])).orderBy("_row").rowsBetween(-n, -1)
+    out = series.unionByName(ahead).withColumns({"_mean": F.avg(value).over(past), "_std": F.stddev_pop(value).over(past), "_have": F.count(value).over(past)}).filter("_own")
     z = F.abs(F.col(value) - F.col("_mean")) / F.coalesce(F.nullif("_std", F.lit(0.0)), F.lit(1.0))
     flag = F.coalesce(F.col("z") > threshold, F.lit(False))
     score = F.when(F.col("is_outlier"), F.least(F.lit(1.0), F.col("z") / (2 * threshold))).otherwise(0.0)
     return out.withColumn("z", F.when(F.col("_have") == n, z)).withColumn("is_outlier", flag).withColumn("score", score).select(*names, "z", "is_outlier", "score")
+
+
+def value_at_rank(df: DataFrame, column: str, rank: int, buckets: int = 4096) -> float | None:
+    """The value that stands at a rank (from 1, ascending) among those that are neither null nor NaN; None outside of it.
+
+    Distributed selection: values are counted by equal intervals, then only those of the interval that holds the rank,
+    between its least and greatest value, and so on until these are the same; ties are no special case."""
+    value = F.col(column).cast("double")
+    held = df.select(value.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    n, low, high = held.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not 1 <= rank <= n:
+        return None
+    while low < high:
+        if low == float("-inf") or high == float("inf"):  # infinite values have no intervals: they are counted first
+            below, above = held.agg(F.count_if(F.col("v") == float("-inf")), F.count_if(F.col("v") == float("inf"))).first()
+            if rank <= below:
+                return float("-inf")
+            if rank > n - above:
+                return float("inf")
+            rank -= below
+            held = held.filter(F.abs("v") < float("inf"))
+            n, low, high = held.agg(F.count("*"), F.min("v"), F.max("v")).first()
+            continue
+        span = 0.5 * high - 0.5 * low  # halves can't overflow
+        share = (F.lit(0.5) * F.col("v") - 0.5 * low) / span if span > 0 else (F.col("v") > low).cast("double")
+        at = F.least(F.floor(share * buckets), F.lit(buckets - 1))
+        counts = held.filter(F.col("v").between(low, high)).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        for r in sorted(counts, key=lambda r: r.at):
+            if rank <= r.n:
+                break
+            rank -= r.n
+        low, high = r.low, r.high
+    return low
+
+
+def reaching_rank(df: DataFrame, column: str, share: float) -> DataFrame:
+    """Adds is_top: the value reaches that of rank floor(share * n) + 1 from above; values equal to that one do too."""
+    n = df.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).count()
+    cut = value_at_rank(df, column, n - int(share * n + 1e-9)) if n else None
+    return df.withColumn("is_top", F.coalesce(F.col(column) >= F.lit(cut), F.lit(False)))

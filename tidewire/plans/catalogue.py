@@ -493,6 +493,30 @@ def silhouette(spark, sf_dir):
     return rounded(clustering.silhouette(rows, by_remainder(rows)))
 
 
+_KD = f"kd AS (SELECT a.id, min({distance_sql('a', 'b')}, 5)[5] AS d FROM scaled a JOIN scaled b ON a.seq <> b.seq GROUP BY a.id)"
+
+
+@query(f"""{SCALED}, r AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS r, count(*) OVER () AS n FROM scaled), t AS (SELECT * FROM r WHERE n <= 200 OR r % CAST(ceil(n / 200) AS BIGINT) = 0),
+p AS (SELECT a.seq, a.seq % 3 AS own, b.seq % 3 AS other, avg({distance_sql('a', 'b')}) AS d FROM t a JOIN scaled b ON a.seq <> b.seq GROUP BY ALL),
+q AS (SELECT seq, own, coalesce(max(d) FILTER (WHERE own = other), 0) AS a, coalesce(min(d) FILTER (WHERE own <> other), 0) AS b FROM p GROUP BY ALL)
+SELECT CAST(seq AS VARCHAR) AS id, CAST(own AS INTEGER) AS cluster_id, round(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS score FROM q""")
+def silhouette_sample(spark, sf_dir):
+    rows = scaled(flows(spark, sf_dir))
+    return rounded(clustering.sampled_silhouette(rows, by_remainder(rows)))
+
+
+@query(f"""WITH {FLOWS}, r AS (SELECT byte_count AS cut FROM flows ORDER BY byte_count DESC LIMIT 1 OFFSET (SELECT CAST(floor(0.1 * count(*)) AS BIGINT) FROM flows))
+SELECT seq, byte_count, byte_count >= cut AS is_top FROM flows, r""")
+def rank_threshold(spark, sf_dir):
+    """Flows whose bytes reach the rank of a tenth of all flows."""
+    return statistics.reaching_rank(flows(spark, sf_dir), "byte_count", 0.1).select("seq", "byte_count", "is_top")
+
+
+@query(f"{SCALED}, {_KD}, o AS (SELECT d, row_number() OVER (ORDER BY d) AS i, count(*) OVER () AS n FROM kd) SELECT round(avg(d), 6) AS bandwidth FROM o WHERE i IN ((n + 1) // 2, n // 2 + 1)")
+def bandwidth_estimate(spark, sf_dir):
+    return spark.createDataFrame([(round(clustering.estimate_bandwidth(scaled(flows(spark, sf_dir))), 6),)], "bandwidth double")
+
+
 @query(f"""{SCALED}, {_first(3)}, {_nearest(0)}, m AS (SELECT c, avg(d) * 1.2 AS lim FROM n0 GROUP BY c)
 SELECT CAST(seq AS VARCHAR) AS id, CAST(n0.c AS INTEGER) AS nearest_id, round(d, 6) AS distance, round(least(1, d / (2 * lim)), 6) AS score, round(least(1, d / lim - 1), 6) AS confidence FROM n0 JOIN m USING (c) WHERE d > lim""")
 def cluster_outliers(spark, sf_dir):
@@ -511,9 +535,6 @@ def dbscan(spark, sf_dir):
     return clustering.dbscan(scaled(flows(spark, sf_dir)), 1.0, 5).assignments
 
 
-_KD = f"kd AS (SELECT a.id, min({distance_sql('a', 'b')}, 5)[5] AS d FROM scaled a JOIN scaled b ON a.seq <> b.seq GROUP BY a.id)"
-
-
 @query(f"{SCALED}, {_KD} SELECT id, round(d, 6) AS k_distance FROM kd")
 def k_distance(spark, sf_dir):
     return rounded(clustering.k_distances(scaled(flows(spark, sf_dir)), 5))
