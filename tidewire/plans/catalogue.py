@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.distance import array_distance
 from tidewire.functions.features import NAMES, Scaler, features, visual_columns
 from tidewire.functions.network import display_units, simulated_protocol
-from tidewire.operators import browse, clustering, detect, graph, models, reduction, sinks, statistics
+from tidewire.operators import browse, clustering, detect, graph, linkage, models, reduction, sinks, statistics
+from tidewire.operators.stored import scratch
 from tidewire.plans.views import FEATURES, FLOWS, FLOWS_DUP, PACKETS, distance_sql, flows, flows_dup, packets, scaled_sql, tsv_lines
 from tidewire.sources import capture, generator
 from tidewire.streaming.alerts import Rule
@@ -38,16 +37,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name in the folder that all executors share; on one machine a temporary folder may stand for it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidewire-")
-    return f"{base.rstrip('/')}/tidewire-{uuid.uuid4().hex}"
-
-
 def scaled(df: DataFrame) -> DataFrame:
     rows = features(df, "seq", "id")
     return Scaler.min_max(rows).apply(rows)
@@ -493,6 +482,15 @@ def silhouette(spark, sf_dir):
     return rounded(clustering.silhouette(rows, by_remainder(rows)))
 
 
+@query(f"""{SCALED}, p AS (SELECT a.seq AS a, b.seq AS b FROM scaled a JOIN scaled b ON a.seq <> b.seq WHERE {distance_sql('a', 'b')} <= 0.6),
+r(node, low) AS (SELECT seq, seq FROM scaled UNION SELECT p.b, r.low FROM p JOIN r ON p.a = r.node WHERE r.low < p.b), m AS (SELECT node, min(low) AS root FROM r GROUP BY node)
+SELECT CAST(node AS VARCHAR) AS id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS cluster_id FROM m""")
+def single_linkage(spark, sf_dir):
+    """All flows merged up to a height."""
+    rows = scaled(flows(spark, sf_dir))
+    return linkage.cut(rows, linkage.minimum_spanning_tree(rows), height=0.6)
+
+
 _KD = f"kd AS (SELECT a.id, min({distance_sql('a', 'b')}, 5)[5] AS d FROM scaled a JOIN scaled b ON a.seq <> b.seq GROUP BY a.id)"
 
 
