@@ -264,6 +264,34 @@ def json_roundtrip(spark, sf_dir):
     return rounded(capture.read_json(spark, path, f.schema).select("seq", "id", "source_ip", "byte_count", "duration", "flags.syn", "geo.country"))
 
 
+@query(f"WITH {FLOWS} SELECT seq, id, source_ip, byte_count, round(duration, 6) AS duration FROM flows")
+def xml_roundtrip(spark, sf_dir):
+    path = scratch(spark)
+    sinks.write_xml(flows(spark, sf_dir), path)
+    got = spark.read.format("xml").option("rowTag", "flow").schema("seq long, id string, source_ip string, byte_count long, duration double").load(path)
+    return rounded(got.select("seq", "id", "source_ip", "byte_count", "duration"))
+
+
+@query(f"WITH {FLOWS} SELECT 'flows' AS part, count(*) AS n, CAST(sum(byte_count) AS BIGINT) AS byte_count FROM flows UNION ALL SELECT 'anomalies', count(*), CAST(coalesce(sum(byte_count), 0) AS BIGINT) FROM flows WHERE is_anomaly")
+def export_parts(spark, sf_dir):
+    """An export of chosen parts, read back."""
+    path = scratch(spark)
+    f = flows(spark, sf_dir)
+    sinks.export({"flows": f, "anomalies": f.filter("is_anomaly")}, path, "csv")
+    of = lambda part: capture.read_csv(spark, f"{path}/{part}", f.schema).agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.coalesce(F.sum("byte_count"), F.lit(0)).alias("byte_count"))
+    return of("flows").union(of("anomalies"))
+
+
+@query(f"WITH {FLOWS} SELECT CAST(sum(16 + CASE WHEN protocol IN ('UDP', 'ICMP') THEN 42 ELSE 54 END) AS BIGINT) AS record_bytes FROM flows")
+def upload_list(spark, sf_dir):
+    """Bytes of the records of all captures that may be uploaded, by their sizes alone."""
+    from tidewire.sources.pcap import FILE_HEADER, write_pcap
+
+    path = scratch(spark)
+    write_pcap(flows(spark, sf_dir), path)
+    return capture.uploads(spark, path).agg(F.sum(F.col("length") - FILE_HEADER).alias("record_bytes"))
+
+
 # --- features and distances
 
 _ROUND = ", ".join(f"round({n}, 6) AS {n}" for n in NAMES)
@@ -321,9 +349,13 @@ def covariance(spark, sf_dir):
     return rounded(reduction.covariance(scaled(flows(spark, sf_dir)))).withColumn("value", F.col("value") + 0.0)
 
 
-@query(f"WITH {FLOWS}, {FEATURES} SELECT " + ", ".join(f"round(var_pop({n}), 3) AS {n}" for n in NAMES[2:]) + " FROM feats")
+#: Variances in units in which they have few digits before the point.
+_UNITS = {n: 1e6 for n in ("f00", "f03", "f04", "f06")}
+
+
+@query(f"WITH {FLOWS}, {FEATURES} SELECT " + ", ".join(f"round(var_pop({n}) / {_UNITS.get(n, 1.0)}, 3) AS {n}" for n in NAMES) + " FROM feats")
 def variance_vector(spark, sf_dir):
-    return rounded(features(flows(spark, sf_dir)).agg(*[F.var_pop(n).alias(n) for n in NAMES[2:]]), 3)
+    return rounded(features(flows(spark, sf_dir)).agg(*[(F.var_pop(n) / _UNITS.get(n, 1.0)).alias(n) for n in NAMES]), 3)
 
 
 @query("""WITH a AS (SELECT l_linenumber AS i, l_suppkey % 7 AS j, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2)
@@ -482,13 +514,13 @@ def silhouette(spark, sf_dir):
     return rounded(clustering.silhouette(rows, by_remainder(rows)))
 
 
-@query(f"""{SCALED}, p AS (SELECT a.seq AS a, b.seq AS b FROM scaled a JOIN scaled b ON a.seq <> b.seq WHERE {distance_sql('a', 'b')} <= 0.6),
+@query(f"""{SCALED}, p AS (SELECT a.seq AS a, b.seq AS b FROM scaled a JOIN scaled b ON a.seq <> b.seq WHERE {distance_sql('a', 'b')} <= 0.3),
 r(node, low) AS (SELECT seq, seq FROM scaled UNION SELECT p.b, r.low FROM p JOIN r ON p.a = r.node WHERE r.low < p.b), m AS (SELECT node, min(low) AS root FROM r GROUP BY node)
 SELECT CAST(node AS VARCHAR) AS id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS cluster_id FROM m""")
 def single_linkage(spark, sf_dir):
     """All flows merged up to a height."""
     rows = scaled(flows(spark, sf_dir))
-    return linkage.cut(rows, linkage.minimum_spanning_tree(rows), height=0.6)
+    return linkage.cut(rows, linkage.minimum_spanning_tree(rows), height=0.3)
 
 
 _KD = f"kd AS (SELECT a.id, min({distance_sql('a', 'b')}, 5)[5] AS d FROM scaled a JOIN scaled b ON a.seq <> b.seq GROUP BY a.id)"
@@ -525,6 +557,18 @@ def cluster_outliers(spark, sf_dir):
     return rounded(out.select("id", "nearest_id", "distance", "score", "confidence"))
 
 
+@query(f"""{_FOUND}, {FEATURES}, {scaled_sql()}, {_first(3)}, {_nearest(0)}, m AS (SELECT c, avg(d) * 1.2 AS lim FROM n0 GROUP BY c),
+o AS (SELECT seq, least(1, d / (2 * lim)) AS score FROM n0 JOIN m USING (c) WHERE d > lim AND seq NOT IN (SELECT seq FROM found))
+SELECT seq, array_to_string(types, '|') AS types, round(score, 5) AS score, severity FROM found UNION ALL SELECT seq, 'Cluster Outlier', round(score, 5), {_SEVERITY} FROM o""")
+def detect_with_outliers(spark, sf_dir):
+    """Findings of the rules, and outliers of clusters among the other flows."""
+    f = flows(spark, sf_dir)
+    rows = scaled(f)
+    centres = clustering.first_rows(rows, 3)
+    outliers = detect.cluster_outliers(rows, clustering.nearest(rows, centres).select("id", "cluster_id"), centres, NAMES, detect.Thresholds(outlier_factor=1.2))
+    return rounded(detect.detect_all(f, outliers, SHOWN).select("seq", F.concat_ws("|", "types").alias("types"), "score", "severity"), 5)
+
+
 @query(f"""{SCALED}, p AS (SELECT a.seq AS a, b.seq AS b FROM scaled a JOIN scaled b ON a.seq <> b.seq WHERE {distance_sql('a', 'b')} <= 1.0), k AS (SELECT a FROM p GROUP BY a HAVING count(*) >= 5),
 l AS (SELECT p.a, p.b FROM p JOIN k ON k.a = p.a JOIN k j ON j.a = p.b), r(node, low) AS (SELECT a, a FROM k UNION SELECT l.b, r.low FROM l JOIN r ON l.a = r.node),
 m AS (SELECT node, min(low) AS root FROM r GROUP BY node), i AS (SELECT node, dense_rank() OVER (ORDER BY root) - 1 AS c FROM m), e AS (SELECT p.a, min(i.c) AS c FROM p JOIN i ON i.node = p.b GROUP BY p.a)
@@ -740,6 +784,20 @@ def attack_pattern(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2]).select("seq", "ts_ms", "kind", "source_ip", "destination_ip", "destination_port", "byte_count")
 
 
+_DELETED = ("10.0.0.1", "198.51.100.3")
+
+
+@query(f"""WITH {FLOWS}, m AS (SELECT min(seq) AS seq, source_ip AS id, avg(duration) / 100 AS quality FROM flows GROUP BY source_ip HAVING source_ip NOT IN {_DELETED})
+SELECT count(*) AS n_models, round(avg(quality), 6) AS avg_quality, arg_min(id, (-quality, seq)) AS best, arg_max(id, seq) AS latest FROM m""")
+def model_statistics(spark, sf_dir):
+    """A registry with a model per source, saved, read, without two that were deleted, summed up."""
+    path = scratch(spark)
+    rows = flows(spark, sf_dir).groupBy("source_ip").agg(F.min("seq").alias("seq"), (F.avg("duration") / 100).alias("quality"))
+    none = lambda t: F.lit(None).cast(t)
+    models.save(rows.select("seq", F.col("source_ip").alias("id"), F.lit("baseline").alias("name"), none("long").alias("trained_at_ms"), *[none("double").alias(c) for c in ("silhouette", "test_silhouette", "noise_share")], "quality", F.lit("{}").alias("parameters")), path)
+    return rounded(models.statistics(models.without(models.load(spark, path), *_DELETED)))
+
+
 @query()
 def train_models(spark, sf_dir):
     rows = models.compare(flows(spark, sf_dir), [("K-Means++", {"k": 3, "max_iterations": 5}), ("Gaussian Mixture Model", {"k": 3, "max_iterations": 5}), ("Spectral", {})])
