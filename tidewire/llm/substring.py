@@ -202,12 +202,12 @@ def _kept(raw: bytes, runs: WordRuns, stay: np.ndarray) -> bytes:
     return b" ".join([raw[s:e] for s, e in zip(runs.starts[stay[first]].tolist(), runs.ends[stay[last]].tolist(), strict=True)])
 
 
-def remove_duplicates(documents: DataFrame, columns: list[str] | tuple[str, ...] = ("kept_sha256",)) -> DataFrame:
+def remove_duplicates(documents: DataFrame, columns: list[str] | tuple[str, ...] = ("kept_sha256",), carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, n_factors, and of `columns` any of kept_sha256, kept (the words that stay, joined by
-    one space; null for null texts), cut (the same, but the text itself where nothing is removed) and, as a struct named
-    documents, other columns of the documents."""
+    one space; null for null texts), cut (the same, but the text itself where nothing is removed). carry: columns of the
+    documents, whatever their names, that come along as a struct named documents."""
     kinds = {"kept": "string", "cut": "string", "kept_sha256": "string"}
-    others = [c for c in columns if c not in kinds]
+    others = [*carry, *(c for c in columns if c not in kinds)]
     spans = duplicate_spans(documents).withColumn("version", F.shiftright("place", PLACE)).withColumn("place", F.col("place").bitwiseAND(F.lit((1 << PLACE) - 1)))
     by_doc = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).agg(F.collect_list(F.struct("place", "size", "ref_doc", "ref_place")).alias("_spans"))
     rows = documents.select("doc_id", "text", carried(documents, others))
