@@ -1,7 +1,11 @@
 """The corpus pipeline: toxicity filter, near-duplicate removal, substring removal, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again for the next one. The
-first three return the columns of documents; the last returns the packed pieces.
+first three return the columns of documents, whatever else these are named; the last returns the packed pieces.
+
+Null texts count as empty: they are clean, near duplicates of nothing, lose no words, and are packed as their end id.
+Texts of any length are taken whole. Rows without doc_id are kept by the first three stages. Of rows that repeat a doc_id
+the second stage keeps that of smallest text, then of smallest other columns. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one of smallest doc_id; of rows that repeat a doc_id, the
-    one of smallest text. Rows without doc_id stay."""
+    one of smallest text, and of smallest other columns (as JSON) among these. Rows without doc_id stay."""
     gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, F.struct("text")).alias("documents"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct("text", F.to_json(F.struct(*others))) if others else F.struct("text")
+    one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, order).alias("documents"))
     kept = one.join(gone, "doc_id", "left_anti").select("documents.*")
     return kept.union(docs.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -36,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated 20-word windows go; a text that changes has its words joined by one space, others stay as
     they are. Texts may become empty; their rows stay."""
-    cut = remove_duplicates(docs, ["cut", *(c for c in docs.columns if c not in ("doc_id", "text"))])
+    cut = remove_duplicates(docs, ["cut"], [c for c in docs.columns if c not in ("doc_id", "text")])
     changed = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
         length = F.length("cut").cast(docs.schema["n_chars"].dataType)
