@@ -172,6 +172,14 @@ def graph_components(spark, sf_dir):
     return graph.components(e.select(u.alias("a"), (F.floor(u / 3) * 3 + u * 7 % 3).alias("b")))
 
 
+@query(f"""WITH RECURSIVE {FLOWS}, e AS (SELECT DISTINCT source_ip AS a, destination_ip AS b FROM flows WHERE is_anomaly AND byte_count > 250000), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, low) AS (SELECT a, a FROM u UNION SELECT u.b, r.low FROM u JOIN r ON u.a = r.node) SELECT node, min(low) AS component FROM r GROUP BY node""")
+def host_components(spark, sf_dir):
+    """Hosts that large flagged flows connect."""
+    large = flows(spark, sf_dir).filter("is_anomaly and byte_count > 250000")
+    return graph.components(large.select(F.col("source_ip").alias("a"), F.col("destination_ip").alias("b")))
+
+
 # --- browsing
 
 
