@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewire.plans.views import flows
 from tidewire.sources import pcap
-from tidewire.sources.pcap import Block, Format, block_packets, decoded, first_header, read_pcap, write_pcap
+from tidewire.sources.pcap import Block, Format, block_packets, decoded, first_header, hosts, read_pcap, write_pcap
 
 
 def frame(rng, kind, payload):
@@ -153,3 +153,20 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
     assert [x for _, _, names in os.walk(tmp_path) for x in names] == []
     write_pcap(f.limit(0), f"file://{tmp_path}/none")
     assert read_pcap(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_addresses_that_need_more_than_four_bytes(spark, tmp_path):
+    """Octets above 255 (the tables' sources from user 65536 on), names, and addresses of the stand-ins' own block."""
+    f = flows(spark, "/root/testdata/sf0.001").filter("protocol <> 'ICMP'").repartition(5)
+    other = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("10.0.258."), F.col("seq") % 40)).when(F.col("seq") % 50 == 1, "240.0.0.1").when(F.col("seq") % 50 == 2, "::1")
+    f = f.withColumns({"source_ip": F.coalesce(other, "source_ip"), "destination_ip": F.when(F.col("seq") % 2 == 0, "a host").otherwise(F.col("destination_ip"))})
+    table = hosts(f)
+    rows = table.collect()
+    assert len({r.address for r in rows}) == len(rows) and {"10.0.258.0", "240.0.0.1", "::1", "a host"} <= {r.name for r in rows}
+    assert all(r.address.startswith("240.0.0.") for r in rows)
+    path = f"file://{tmp_path}/out"
+    write_pcap(f, path, hosts=table)
+    got = read_pcap(spark, path, hosts=table)
+    ends = ("ts_ms", "source_ip", "destination_ip", "source_port", "destination_port")
+    assert sorted(tuple(r) for r in got.select(*ends).collect()) == sorted(tuple(r) for r in f.select(*ends).collect())
+    assert hosts(flows(spark, "/root/testdata/sf0.001")).count() == 0

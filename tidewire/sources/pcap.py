@@ -13,24 +13,29 @@ first counts, or to the file's first header, whose chain is the file's own.
 A header that can't be one ends its block (zeros behind the last packet, a file cut short, damage); after damage, blocks
 go on at the first offset from which headers follow each other to the end of a window.
 
-Writing: a file per task of header-only packets, moved into place on commit (files.FileWriter).
+Writing: a file per task of header-only packets, moved into place on commit (files.FileWriter). An address has 32 bits in
+a capture; flows whose addresses are others (names, IPv6, octets above 255) are written with stand-ins of 240.0.0.0/4,
+which no host has, from a table that gives them back after reading (hosts).
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tidewire.functions.network import app_protocol
+from tidewire.operators.browse import numbered
+from tidewire.operators.skew import heavy_keys, spread_join
+from tidewire.operators.stored import stored
 from tidewire.schema import FLAGS
 from tidewire.sources.files import FileWriter, listing, opened
 
@@ -47,6 +52,9 @@ BLOCK_BYTES = 64 << 20
 _READ = 4 << 20
 #: Bytes before a block that are looked at where less of them leave several places for its first header.
 MOST_BEFORE = 16 << 20
+#: First octet of the stand-ins, how many there are, and what stands for itself: dotted quads below them.
+STAND_IN, STAND_INS = 240, 1 << 28
+PLAIN = r"^(2[0-3][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}\z"
 
 _OCTETS = pa.array([str(i) for i in range(256)])
 
@@ -303,11 +311,35 @@ class PcapSource(DataSource):
         return PcapWriter(self.options["path"], overwrite)
 
 
-def read_pcap(spark: SparkSession, path: str, resolve_app_protocol: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A flow per IPv4 TCP or UDP packet; path and offset give their order, times are the packets' own."""
+def hosts(flows: DataFrame) -> DataFrame:
+    """(name, address): a stand-in for each address of the flows that isn't an IPv4 address below 240.0.0.0."""
+    ends = flows.select(F.explode(F.array("source_ip", "destination_ip")).alias("name"))
+    table = numbered(ends.filter(~F.col("name").rlike(PLAIN)).distinct(), "name", name="n")
+    octets = [(F.shiftright("n", 24) + STAND_IN), *[F.shiftright("n", b).bitwiseAND(255) for b in (16, 8, 0)]]
+    table = stored(table.select("name", F.concat_ws(".", *octets).alias("address")))
+    if table.count() > STAND_INS:
+        raise ValueError(f"more than {STAND_INS} addresses need stand-ins")
+    return table
+
+
+def _replaced(flows: DataFrame, table: DataFrame, key: str, value: str, needed: Callable[[Column], Column], *by: str) -> DataFrame:
+    """The flows with those addresses that need it replaced by the table's value for them."""
+    table = table.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    for column in ("source_ip", "destination_ip"):
+        keyed = flows.withColumn("_key", F.when(needed(F.col(column)), F.col(column)))
+        joined = spread_join(keyed, table, "_key", heavy_keys(keyed.select("_key"), "_key"), *by)
+        flows = joined.withColumn(column, F.coalesce("_value", column)).select(*flows.columns)
+    return flows
+
+
+def read_pcap(spark: SparkSession, path: str, resolve_app_protocol: bool = True, block_bytes: int = BLOCK_BYTES, hosts: DataFrame | None = None) -> DataFrame:
+    """A flow per IPv4 TCP or UDP packet; path and offset give their order, times are the packets' own. hosts: the table
+    of stand-ins that the captures were written with."""
     spark.dataSource.register(PcapSource)
     got = spark.read.format("pcap").option("blockBytes", block_bytes).load(path)
     protocol = app_protocol(F.col("destination_port"), F.col("source_port"), F.col("protocol")) if resolve_app_protocol else F.col("protocol")
+    if hosts is not None and not hosts.isEmpty():
+        got = _replaced(got, hosts, "address", "name", lambda c: F.split_part(c, F.lit("."), F.lit(1)).cast("int") >= STAND_IN, "path", "offset")
     return got.select(
         F.concat_ws("-", F.sha1("path"), "offset").alias("id"),
         *("path", "offset", "ts_ms", "source_ip", "destination_ip", "source_port", "destination_port"),
@@ -321,9 +353,13 @@ def read_pcap(spark: SparkSession, path: str, resolve_app_protocol: bool = True,
     )
 
 
-def write_pcap(flows: DataFrame, folder: str, overwrite: bool = False) -> None:
-    """Captures of the flows in their order: files are ranges of seq."""
+def write_pcap(flows: DataFrame, folder: str, overwrite: bool = False, hosts: DataFrame | None = None) -> None:
+    """Captures of the flows in their order: files are ranges of seq. hosts: stand-ins for what is no IPv4 address; without
+    them such flows are an error."""
     flows.sparkSession.dataSource.register(PcapSource)
-    ordered = flows.repartitionByRange("seq").sortWithinPartitions("seq")
     columns = ("ts_ms", "source_ip", "destination_ip", "source_port", "destination_port", "protocol", "byte_count", "flags", "ttl", "window_size")
+    flows = flows.select("seq", *columns)
+    if hosts is not None and not hosts.isEmpty():
+        flows = _replaced(flows, hosts, "name", "address", lambda c: ~c.rlike(PLAIN), "seq")
+    ordered = flows.repartitionByRange("seq").sortWithinPartitions("seq")
     ordered.select(*columns).write.format("pcap").mode("overwrite" if overwrite else "append").save(folder)
