@@ -567,3 +567,14 @@ def test_packing_is_near_its_lower_bound():
         bound, plan = lower_bound(h), sum(n for _, n in pack_histogram(h))
         assert -(-sum(s * n for s, n in h.items()) // 1024) <= bound <= plan <= bound + 2
     assert lower_bound({}) == 0
+
+
+def test_embedding_dedup_looks_codes_up_alike_at_every_size(spark, monkeypatch):
+    """Also where the number of vectors passes what once was a limit."""
+    from tidewire.llm import embedding_dedup as E
+
+    found, seen = E._found, []
+    monkeypatch.setattr(E, "_found", lambda reps, model, width, tables, probes, cosine: seen.append((tables, probes)) or found(reps, model, width, tables, probes, cosine))
+    for rows in ([(i, [1.0, 0.01 * i, 0.5], "a") for i in range(4)],):
+        assert E.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).count() == 4
+    assert seen == [(4, 1)]

@@ -3,9 +3,9 @@
 1. ITQ: on a bounded sample of unit vectors, principal axes and a rotation are learned so that the signs of the rotated
    coordinates are balanced binary codes of little quantisation error. Every vector gets a code of at most 64 bits.
 2. Codes are cut into parts, a table each; vectors of one label and dimension meet in a table's bucket where the part is
-   equal. Below 2**20 vectors there are eight parts; from there on four wider ones, so that buckets stay small, and every
-   code is also looked up with each single bit of the part turned over. Either way codes that differ in seven bits or
-   fewer always meet, and most others do.
+   equal or differs in one bit: at every size alike there are four wide parts, so that buckets stay small, and every code
+   is also looked up with each single bit of the part turned over. Codes that differ in seven bits or fewer always meet,
+   and most others do.
 3. In buckets, pairs within RADIUS bits of Hamming distance are ranked again by the cosine of the original vectors in
    double precision. Large buckets are dealt as pairs of blocks of bounded size; links are counted and joined to trees
    inside the task, never listed pair by pair. A pair that meets several times counts in the first table.
@@ -30,6 +30,8 @@ from tidewire.llm.common import components, map_arrow, written
 COSINE, SAMPLE, BLOCK, WIDTH = 0.98, 6000, 768, 4096
 #: Bits in which codes of linked vectors may differ: 0.98 is an angle of 11.5 degrees, 4.1 of 64 bits on average.
 RADIUS = 18
+#: Parts of a code, and bits of a part that may be turned over.
+TABLES, PROBES = 4, 1
 
 
 def fit_itq(sample: np.ndarray, rounds: int = 40, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +103,7 @@ def near_duplicate_vectors(embeddings: DataFrame, cosine: float = COSINE) -> Dat
         width = min(about.width, WIDTH)
         sample = reps.select(padded("embedding", width).alias("embedding"), F.xxhash64("k").alias("h")).orderBy("h").limit(SAMPLE).toArrow()
         model = fit_itq(_unit(matrix(sample["embedding"].combine_chunks())))
-        tables, probes = (8, 0) if about.n < 1 << 20 else (4, 1)
-        found = _found(reps, model, width, tables, probes, cosine)
+        found = _found(reps, model, width, TABLES, PROBES, cosine)
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
         parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
         known = reps.select("k", "k2", "node", "rep", "copies").join(links, "node", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
