@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.features import NAMES, Scaler
-from tidewire.operators.clustering import bounded, coarse, gathered
+from tidewire.operators.clustering import _by_products, bounded, coarse, gathered
 
 
 def covariance(df: DataFrame, columns: list[str] = NAMES) -> DataFrame:
@@ -173,9 +173,12 @@ def tsne_of_landmarks(df: DataFrame, perplexity: float = 30.0, iterations: int =
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             x = part[columns].to_numpy(float)
-            far = sum((x[:, i, None] - points[None, :, i]) ** 2 for i in range(len(columns)))
-            near = np.argsort(far, 1, kind="stable")[:, :3]
-            d = np.take_along_axis(far, near, 1)
+            far = _by_products(x, points, root=False)
+            near = np.zeros((len(x), min(3, len(points))), int)
+            for k in range(near.shape[1]):
+                near[:, k] = far.argmin(1)
+                far[np.arange(len(x)), near[:, k]] = np.inf
+            d = ((x[:, None, :] - points[near]) ** 2).sum(2)
             w = np.exp(-(d - d[:, :1]) / np.maximum(d.mean(1, keepdims=True), 1e-300))
             y = (at[near] * w[:, :, None]).sum(1) / w.sum(1)[:, None]
             yield pd.DataFrame({"id": part["id"], "x": y[:, 0], "y": y[:, 1]})
