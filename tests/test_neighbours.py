@@ -85,3 +85,16 @@ def test_k_distances_of_no_rows(spark):
     assert clustering.k_distances(spark.createDataFrame([], "id string, x double"), 5, ["x"]).count() == 0
     one = spark.createDataFrame([("a", 1.0)], "id string, x double")
     assert [tuple(r) for r in clustering.k_distances(one, 5, ["x"]).collect()] == [("a", 0.0)]
+
+
+def test_distances_alone(spark, monkeypatch):
+    """Without names, and from rows far from the origin with copies, whose distances products alone would blur."""
+    for name, value in (("LEAF", 4), ("PART", 60), ("CHUNK", 20), ("BOX", 16)):
+        monkeypatch.setattr(neighbours, name, value)
+    x = made("crowd", 300) + 1e4
+    x[5] = x[4]
+    df = spark.createDataFrame([(str(i), *map(float, r)) for i, r in enumerate(x)], "id string, x double, y double, z double")
+    near = nearest_neighbours(df, 4, ["x", "y", "z"], names=False)
+    assert near.columns == ["id", "distances"]
+    got, want = dict(near.collect()), kth(x, 4)
+    assert len(got) == len(x) and all(got[str(i)] == pytest.approx(want[i].tolist(), rel=1e-14, abs=0) for i in range(len(x)))
