@@ -43,6 +43,71 @@ def test_encoders(name, long_text):
         assert counts.tolist() == [len(want)] and ids.tolist() == want
 
 
+@pytest.fixture
+def counted_texts(monkeypatch):
+    """How many texts the library gets: (a new encoder of the vocabulary that drops white space, list of their numbers)."""
+    import tokenizers
+
+    from tidewire.llm.chunks import json_tokenizer
+
+    asked = []
+
+    class Counted:
+        def __init__(self, path):
+            self.inner = real.from_file(path)
+
+        from_file = classmethod(lambda cls, path: cls(path))
+
+        def encode_batch_fast(self, texts, **options):
+            asked.append(len(texts))
+            return self.inner.encode_batch_fast(texts, **options)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    real = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    return json_tokenizer.__wrapped__(tokenizer_path("word_bpe_49k.json")), asked
+
+
+def test_new_words_share_texts(counted_texts):
+    encoder, asked = counted_texts
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinSHRDLUéñß") for _ in range(rng.randrange(4, 14))) for _ in range(5000)]
+    text = " ".join(words)
+    ids, _ = encoder.encode(*bytes_of(text))
+    assert ids.tolist() == library(text)
+    assert sum(asked) < 100  # not one for each word
+    # the same words with marks behind them bring only the marks
+    asked.clear()
+    text = " ".join(w + rng.choice(["$$$", "&&&", ".", ")", "'s", "7"]) for w in words)
+    ids, _ = encoder.encode(*bytes_of(text))
+    assert ids.tolist() == library(text)
+    assert sum(asked) < 10
+
+
+def library(text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_any_characters():
+    from tokenizers import Tokenizer
+
+    from tidewire.llm.chunks import json_tokenizer
+
+    rng = random.Random(4)
+    signs = [*"aAbBsStdérRlLmMveéÉñÑ×÷ßÿĀİſΣς''''..,-_$&<|>/\\19 \t\n\r\x0b\x01\xa0\u0301\u0307\u0331\u0338\u2028中🙂Å", "<|endoftext|>", "<|startoftext|>", "</w>", "'ll", "'RE", "  "]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(20_000)]
+    encoder, library = json_tokenizer(tokenizer_path("word_bpe_49k.json")), Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    sizes = [len(t.encode()) for t in texts]
+    ids, counts = encoder.encode(bytes_of("".join(texts))[0], np.cumsum([0, *sizes]))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    at = np.cumsum([0, *counts]).tolist()
+    assert [t for t, a, b, w in zip(texts, at, at[1:], want) if ids[a:b].tolist() != w] == []
+
+
 def test_codec(long_text):
     from tidewire.llm.sentencepiece_codec import codec
 

@@ -8,7 +8,8 @@ distinct piece goes through the library once, and its ids are looked up afterwar
 - `spaces` (piece vocabularies): cut before a space that follows another character.
 - `lone space`: like `spaces`, if a printable ASCII character follows.
 - `dropped` (vocabularies that drop white space): cut at white space, which belongs to no piece, and between a letter
-  and a mark.
+  (ASCII, or of two bytes up to U+00FF) and any other printable ASCII character that no added token holds. So most
+  pieces are one word, and many of these go through the library as one text, whose ids tell where words end.
 
 "Surely none" are printable ASCII and two-byte characters from U+00C0 on; after others the text isn't cut.
 
@@ -18,6 +19,7 @@ the library itself. A long row is taken in parts of bounded size, parted where a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 from itertools import chain
@@ -40,6 +42,14 @@ def _among(values: Sequence[int]) -> np.ndarray:
 
 _BLANK, _PLAIN, _LEADS_TWO = _among(_WHITE), _among(range(0x21, 0x7F)), _among(range(0xC3, 0xE0))
 _LETTER, _MARK = _among([*range(0x41, 0x5B), *range(0x61, 0x7B)]), _among(b".,!?;:")
+#: In mode `dropped`: what may be cut off a letter before it, and the second bytes of the letters U+00C0 to U+00FF.
+_NO_LETTER, _LATIN = _PLAIN & ~_LETTER & ~_among(b"<|>"), _among({*range(0x80, 0xC0)} - {0x97, 0xB7})
+
+#: The words of vocabularies that drop white space, and pieces that are surely one word each.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ONE_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: So many of them make one text for the library.
+_JOINED = 128
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray]:
@@ -50,15 +60,17 @@ def cuts(data: np.ndarray, offsets: np.ndarray, mode: str) -> tuple[np.ndarray,
     before = np.zeros(n, np.uint8)
     before[1:] = data[:-1]
     letter = _LETTER[before]
-    two = (before >= 0x80) & (before < 0xC0) & np.concatenate(([False, False], _LEADS_TWO[data[:-2]]))[:n]
-    mark = _MARK[data] & letter
     if mode == "dropped":
+        letter[2:] |= (data[:-2] == 0xC3) & _LATIN[before[2:]]
+        mark = _NO_LETTER[data] & letter
         inside = ~_BLANK[data]
         starts = np.flatnonzero(inside & (row[:-1] | _BLANK[before] | mark | (np.arange(n) == 0)))
         edge = np.ones(n + 1, bool)
         edge[:-1] = row[:-1] | ~inside | mark
         ends = np.flatnonzero(inside & edge[1:]) + 1
         return starts, ends
+    two = (before >= 0x80) & (before < 0xC0) & np.concatenate(([False, False], _LEADS_TWO[data[:-2]]))[:n]
+    mark = _MARK[data] & letter
     space = _BLANK[data] if mode == "leading" else data == 0x20
     if mode == "lone space":
         space &= np.append(_PLAIN[data[1:]], False)
@@ -224,6 +236,28 @@ def largest_id(path: str) -> int:
     return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
 
 
+def _word_library(tokenizer, suffix: str | None) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """For vocabularies that drop white space. suffix: ends the last token of each word, and no other."""
+    final = np.zeros(1 + max(tokenizer.get_vocab(with_added_tokens=True).values()), bool)
+    final[[i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if suffix and token.endswith(suffix)]] = True
+
+    def library(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that are surely one word go many as one text, parted by spaces; the others go alone."""
+        one = np.fromiter((bool(suffix and _ONE_WORD.fullmatch(p)) for p in pieces), bool, len(pieces))
+        joint, rest = np.flatnonzero(one), np.flatnonzero(~one)
+        words = [pieces[i] for i in joint.tolist()]
+        texts = [b" ".join(words[k : k + _JOINED]) for k in range(0, len(words), _JOINED)]
+        ids, n = _flat([e.ids for e in tokenizer.encode_batch_fast([t.decode() for t in (*texts, *(pieces[i] for i in rest.tolist()))], add_special_tokens=False)])
+        held = int(n[: len(texts)].sum())
+        at, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        size[joint] = np.diff(np.flatnonzero(final[ids[:held]]) + 1, prepend=0)
+        size[rest] = n[len(texts) :]
+        at[joint], at[rest] = np.cumsum(size[joint]) - size[joint], held + np.cumsum(size[rest]) - size[rest]
+        return ids[ragged(at, size)], size
+
+    return library
+
+
 @cache
 def json_tokenizer(path: str) -> PieceEncoder:
     """For a tokenizers file whose pieces can be cut as this module says; other pre-tokenizers are refused. One per
@@ -239,10 +273,12 @@ def json_tokenizer(path: str) -> PieceEncoder:
     tokenizer.no_padding()
     spec = json.loads(tokenizer.to_str())
     pre = spec["pre_tokenizer"] or {}
-    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or set(" \t\r\n.,!?;:") & set(t["content"]) for t in spec["added_tokens"]):
+    dropped = pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed"
+    places = _BLANK | (_NO_LETTER if dropped else _MARK)
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or places[list(t["content"].encode())].any() for t in spec["added_tokens"]):
         raise ValueError("added tokens that hold a place of a cut are not supported")
-    if pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed":
-        return PieceEncoder(lambda pieces: _flat([e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]), "dropped")
+    if dropped and pre["pretokenizers"][0].get("pattern") == {"Regex": _WORDS}:
+        return PieceEncoder(_word_library(tokenizer, spec["model"].get("end_of_word_suffix")), "dropped")
     if pre.get("type") != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"] or spec["normalizer"]:
         raise ValueError(f"pre-tokenizer not supported: {pre.get('type')}")
     lengths = np.zeros(1 + max(tokenizer.get_vocab(with_added_tokens=True).values()), np.int64)
